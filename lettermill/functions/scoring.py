@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lettermill import rules
-from lettermill.functions.text import any_pattern, is_blank, text_array
+from lettermill.functions.text import is_blank, text_array
 
 UNKNOWN = "unknown"
 
@@ -34,18 +32,3 @@ def id_label(position: Column, labels: Sequence[str] = tuple(rules.REJECTION_LAB
 def unless_blank(text: Column, label: Column) -> Column:
     """Blank text is unknown and never reaches the model."""
     return F.when(is_blank(text), F.lit(UNKNOWN)).otherwise(label)
-
-
-def pattern_scores(text: Column) -> Column:
-    """A stand-in scorer that needs no weights: each label's share of pattern hits.
-
-    One vote always goes to unknown, so a text without hits scores 1 for it.
-    """
-    def hits(patterns: Sequence[str]) -> Column:
-        return reduce(add, [text.rlike(any_pattern([p])).cast("double") for p in patterns])
-
-    votes = F.array(
-        hits(rules.HARD_REJECTION_PATTERNS), hits(rules.SOFT_REJECTION_PATTERNS), F.lit(1.0)
-    )
-    total = F.aggregate(votes, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(votes, lambda v: v / total)

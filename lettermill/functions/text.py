@@ -77,19 +77,22 @@ def count_contained(text: Column, phrases: Sequence[str]) -> Column:
 
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """The value of the first rule whose keyword occurs in the text."""
+    if not rules:
+        return F.lit(default)
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in rules])
     hits = F.filter(table, lambda r: F.contains(text, r["k"]))
     return F.coalesce(F.try_element_at(hits, F.lit(1))["v"], F.lit(default))
 
 
-def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
-    """Rows meeting a costly condition, which is worked out once per row.
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters cannot make Spark compute again.
 
-    The optimizer copies a plain filter's condition below the projection that
-    computes it, and every phrase test then rebuilds its input text. A generated
-    marker stays where it is put. Null counts as false, as in a filter.
+    The optimizer copies a filter's condition below the projection that computes
+    its columns, with every inner projection written out in full: a filter on
+    the mail category then rebuilds the text for each of some sixty phrase
+    tests. A filter is never moved below the generator that makes its column.
     """
-    marker = "__keep"
-    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias(marker)).drop(
-        marker
+    staged = df.withColumn("__pinned", value)
+    return staged.select(
+        *[c for c in df.columns if c != name], F.explode(F.array("__pinned")).alias(name)
     )

@@ -1,23 +1,32 @@
-"""Choosing the classifier of rejection mail."""
+"""Choosing how rejection mail is labelled.
+
+A labeller adds a label column from a text column, in steps: whatever several
+expressions need is a column of its own, so it is worked out once per row.
+"""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill import rules
 from lettermill.functions.extract import rejection_type
-from lettermill.functions.scoring import pattern_scores, top_label, unless_blank
-from lettermill.functions.text import first_words, text_array
+from lettermill.functions.scoring import top_label, unless_blank
+from lettermill.functions.text import any_pattern, first_words, text_array
 
 log = logging.getLogger(__name__)
 
 RULES, SCORED, FITTED = "rules", "scored", "fitted"
 BACKENDS = (RULES, SCORED, FITTED)
 
+Labeller = Callable[[DataFrame, str, str], DataFrame]
+Scorer = Callable[[DataFrame, str, str], DataFrame]
+
 
 def backend_name(given: str | None) -> str:
     """A known backend; anything else means rules."""
@@ -25,55 +34,77 @@ def backend_name(given: str | None) -> str:
     return name if name in (SCORED, FITTED) else RULES
 
 
-def scored_classifier(
-    scorer: Callable[[Column], Column] | None = None,
-    labels: Column | None = None,
+def label_by_rules(df: DataFrame, text: str, out: str) -> DataFrame:
+    return df.withColumn(out, rejection_type(F.col(text)))
+
+
+def pattern_scores(df: DataFrame, text: str, out: str) -> DataFrame:
+    """A stand-in scorer that needs no weights: each label's share of pattern hits.
+
+    One vote always goes to unknown, so a text without hits scores 1 for it.
+    """
+    def hits(patterns: Sequence[str]) -> Column:
+        return reduce(add, [F.col(text).rlike(any_pattern([p])).cast("int") for p in patterns])
+
+    votes = df.withColumns(
+        {
+            "__hard": hits(rules.HARD_REJECTION_PATTERNS),
+            "__soft": hits(rules.SOFT_REJECTION_PATTERNS),
+        }
+    )
+    total = F.col("__hard") + F.col("__soft") + F.lit(1)
+    shares = F.array(F.col("__hard") / total, F.col("__soft") / total, F.lit(1) / total)
+    return votes.withColumn(out, shares).drop("__hard", "__soft")
+
+
+def column_scorer(score: Callable[[Column], Column]) -> Scorer:
+    """A scorer from a column function, such as a Python model's."""
+    return lambda df, text, out: df.withColumn(out, score(F.col(text)))
+
+
+def label_by_scores(
+    scorer: Scorer = pattern_scores,
+    labels: Sequence[str] = tuple(rules.REJECTION_LABELS),
     threshold: float = rules.LABEL_THRESHOLD,
     words: int | None = rules.CLASSIFIER_WORDS,
-) -> Callable[[Column], Column]:
-    """A classifier from a scorer of fixed labels.
+) -> Labeller:
+    """A labeller from a scorer, which adds one score per label in label order.
 
-    ``scorer`` maps text to one score per label. A Python model joins through
-    ``model_column``; blank text is labelled unknown and sent as null.
+    The scorer sees the first words of the text, and null for blank text, which
+    is labelled unknown.
     """
-    score = pattern_scores if scorer is None else scorer
-    names = text_array(rules.REJECTION_LABELS) if labels is None else labels
-
-    def classify(text: Column) -> Column:
-        shortened = first_words(text, words)
-        scores = score(F.nullif(shortened, F.lit("")))
-        return unless_blank(text, top_label(names, scores, threshold))
+    def label(df: DataFrame, text: str, out: str) -> DataFrame:
+        short = F.nullif(first_words(F.col(text), words), F.lit(""))
+        scored = scorer(df.withColumn("__short", short), "__short", "__scores")
+        best = top_label(text_array(labels), F.col("__scores"), threshold)
+        return scored.withColumn(out, unless_blank(F.col("__short"), best)).drop(
+            "__short", "__scores"
+        )
 
-    return classify
+    return label
 
 
-def classifier_for(
+def labeller_for(
     backend: str,
     model_path: str | None = None,
-    scorer: Callable[[Column], Column] | None = None,
+    scorer: Scorer = pattern_scores,
     threshold: float = rules.LABEL_THRESHOLD,
-) -> Callable[[DataFrame], DataFrame]:
-    """A step that adds ``label`` to a table with ``text``, for any backend.
-
-    A fitted backend without a saved model falls back to the scored one.
-    """
+) -> Labeller:
+    """The labeller of a backend; a fitted one without a saved model uses scores."""
     from lettermill.models.fitted import apply_model, load_model, model_exists
 
     if backend not in BACKENDS:
         raise ValueError(f"backend must be one of {BACKENDS}, got {backend!r}")
-
-    def by_column(classify: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
-        return lambda df: df.withColumn("label", classify(F.col("text")))
-
     if backend == RULES:
-        return by_column(rejection_type)
+        return label_by_rules
+    by_scores = label_by_scores(scorer, threshold=threshold)
     if backend == SCORED:
-        return by_column(scored_classifier(scorer, threshold=threshold))
+        return by_scores
 
-    def fitted(df: DataFrame) -> DataFrame:
+    def fitted(df: DataFrame, text: str, out: str) -> DataFrame:
         if model_path is None or not model_exists(df.sparkSession, model_path):
             log.warning("no model at %s, using scored labels", model_path)
-            return by_column(scored_classifier(scorer, threshold=threshold))(df)
-        return apply_model(load_model(model_path), df, threshold)
+            return by_scores(df, text, out)
+        return apply_model(load_model(model_path), df, text, out, threshold)
 
     return fitted

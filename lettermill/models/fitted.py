@@ -39,8 +39,8 @@ def _features(size: int) -> list:
     ]
 
 
-def _shorten(df: DataFrame, words: int | None) -> DataFrame:
-    return df.withColumn("__short", first_words(or_empty(F.col("text")), words))
+def _shorten(df: DataFrame, text: str, words: int | None) -> DataFrame:
+    return df.withColumn("__short", first_words(or_empty(F.col(text)), words))
 
 
 def train(
@@ -58,7 +58,7 @@ def train(
     epoch's held-out log loss.
     """
     known, _ = split_known_labels(labelled, labels)
-    rows = _shorten(known, words).withColumn("__label", label_id(F.col("label"), labels).cast("double"))
+    rows = _shorten(known, "text", words).withColumn("__label", label_id(F.col("label"), labels).cast("double"))
     train_rows, test_rows = split_rows(rows, TRAIN_SHARE, *id_columns)
     prepare = Pipeline(stages=_features(features)).fit(train_rows)
     columns = ["__label", "features"]
@@ -108,18 +108,19 @@ def model_exists(spark: SparkSession, path: str) -> bool:
 def apply_model(
     model: PipelineModel,
     df: DataFrame,
+    text: str = "text",
+    out: str = "label",
     threshold: float = rules.LABEL_THRESHOLD,
     labels: Sequence[str] = tuple(rules.REJECTION_LABELS),
     words: int | None = rules.CLASSIFIER_WORDS,
+    score: str | None = None,
 ) -> DataFrame:
-    """Add ``label`` and ``score`` to a table with ``text``."""
-    scored = model.transform(_shorten(df, words))
-    scores = vector_to_array("probability")
-    kept = [*df.columns, scores.alias("__scores")]
-    found = scored.select(*kept)
-    label = top_label(text_array(labels), F.col("__scores"), threshold)
-    return found.select(
-        *df.columns,
-        unless_blank(F.col("text"), label).alias("label"),
-        F.array_max("__scores").alias("score"),
+    """Add the label of each text, and its score when ``score`` names a column."""
+    scored = model.transform(_shorten(df, text, words)).select(
+        *df.columns, vector_to_array("probability").alias("__scores")
     )
+    label = top_label(text_array(labels), F.col("__scores"), threshold)
+    found = {out: unless_blank(F.col(text), label)}
+    if score is not None:
+        found[score] = F.array_max("__scores")
+    return scored.withColumns(found).drop("__scores")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill import rules
-from lettermill.functions.text import contains_any, count_contained, head, or_empty
+from lettermill.functions.text import contains_any, count_contained, head, or_empty, pin
 
 REJECTION, APPLICATION, UNRELATED = rules.CATEGORIES
 
@@ -41,8 +41,9 @@ def classify(
 ) -> DataFrame:
     """Add ``category``, and the evidence for it when ``with_scores`` is set.
 
-    The text to search is built once in an inner projection. Without the scores
-    phrases are counted only for mail that the cheaper tests leave open.
+    The text to search is built once in an inner projection, and the category is
+    pinned, so that filters on it cost nothing twice. Without the scores phrases
+    are counted only for mail that the cheaper tests leave open.
     """
     lowered = mails.select("*", F.lower(or_empty(F.col(subject))).alias("__subject"))
     preview = F.lower(head(or_empty(F.col(body)), body_chars))
@@ -75,7 +76,7 @@ def classify(
         .when(found["strong_application"], APPLICATION)
         .otherwise(by_score)
     )
-    return texts.select("*", category.alias("category")).drop("__subject", "__text")
+    return pin(texts, "category", category).drop("__subject", "__text")
 
 
 def category_counts(classified: DataFrame) -> DataFrame:

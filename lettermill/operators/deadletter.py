@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lettermill import rules, schemas
-from lettermill.functions.text import keep_rows, or_empty
+from lettermill.functions.text import or_empty, pin
 from lettermill.operators.events import DLQ_OF_TOPIC, content_id, utc_now
 
 NULL_PAYLOAD, EMPTY_PAYLOAD, OVERSIZE, MALFORMED = (
@@ -53,21 +53,22 @@ def parse_payloads(
         .when(F.col(f"__event.{_CORRUPT}").isNotNull() | F.col("__event").isNull(), MALFORMED)
     )
     fields = F.struct(*[F.col(f"__event.{name}").alias(name) for name in schema.names])
-    return parsed.select("*", fields.alias("event"), reason.alias("failure_reason")).drop(
+    return pin(parsed.select("*", fields.alias("event")), "failure_reason", reason).drop(
         "__event", "__oversize"
     )
 
 
 def good_events(parsed: DataFrame) -> DataFrame:
     """The events of readable payloads, one column per field, with their topic."""
-    return keep_rows(parsed, F.col("failure_reason").isNull()).select("topic", "event.*")
+    readable = F.when(F.col("failure_reason").isNull(), F.array("event"))
+    return parsed.select("topic", F.inline(readable))
 
 
 def dead_letters(
     parsed: DataFrame, producer_name: str, failed_at: Column | None = None
 ) -> DataFrame:
     """Unreadable payloads as dead letters, with the dead-letter topic of each."""
-    bad = keep_rows(parsed, F.col("failure_reason").isNotNull())
+    bad = parsed.filter(F.col("failure_reason").isNotNull())
     return to_dead_letters(
         bad, F.col("topic"), F.col("failure_reason"), F.col("payload"), producer_name, failed_at
     )

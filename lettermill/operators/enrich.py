@@ -23,7 +23,7 @@ def enrich(
     sender: str = "sender_email",
     body_chars: int | None = rules.ENRICH_BODY_CHARS,
     candidates: str | None = None,
-    classifier: Callable[[Column], Column] = extract.rejection_type,
+    labeller: Callable[[DataFrame, str, str], DataFrame] | None = None,
     guard_empty: bool = True,
 ) -> DataFrame:
     """Add ``company_name, role_title, rejection_type, job_board, confidence``.
@@ -31,11 +31,13 @@ def enrich(
     ``event_type`` is one kind for the whole table or a column, so that a mixed
     table is read once. ``candidates`` names an array column of organisation
     names in text order; without it, or with none usable, the sender's domain
-    names the company. ``classifier`` maps the text to a rejection label. An
+    names the company. ``labeller`` adds a rejection label from a text column;
+    the default is the pattern rules, and applications are never labelled. An
     event with neither subject nor body gets the defaults unless
     ``guard_empty`` is off.
     """
     kind = F.lit(event_type) if isinstance(event_type, str) else event_type
+    is_rejection = F.col("__kind") == REJECTION
     empty = (or_empty(F.col(subject)) == "") & (or_empty(F.col(body)) == "")
     texts = events.select(
         "*",
@@ -48,7 +50,15 @@ def enrich(
     if candidates:
         named = extract.first_entity(F.col(candidates))
         company = F.coalesce(F.nullif(named, F.lit("")), company)
-    label = F.when(F.col("__kind") == REJECTION, classifier(text)).otherwise(NOT_APPLICABLE)
+    if isinstance(event_type, str) and event_type == APPLICATION:
+        label = F.lit(NOT_APPLICABLE)
+    elif labeller is None:
+        label = F.when(is_rejection, extract.rejection_type(text)).otherwise(NOT_APPLICABLE)
+    else:
+        texts = labeller(
+            texts.withColumn("__labelled", F.when(is_rejection, text)), "__labelled", "__label"
+        ).drop("__labelled")
+        label = F.when(is_rejection, F.col("__label")).otherwise(NOT_APPLICABLE)
 
     def unless_empty(default: str, value: Column) -> Column:
         return F.when(F.col("__empty"), F.lit(default)).otherwise(value)
@@ -57,13 +67,12 @@ def enrich(
         "*",
         unless_empty("", company).alias("company_name"),
         unless_empty("", extract.role_title(text)).alias("role_title"),
-        F.when(
-            F.col("__empty"),
-            F.when(F.col("__kind") == REJECTION, "unknown").otherwise(NOT_APPLICABLE),
-        )
+        F.when(F.col("__empty"), F.when(is_rejection, "unknown").otherwise(NOT_APPLICABLE))
         .otherwise(label)
         .alias("rejection_type"),
         unless_empty(rules.DEFAULT_BOARD, extract.job_board(F.col(sender))).alias("job_board"),
     )
     score = extract.confidence(F.col("company_name"), F.col("role_title"), F.col("job_board"))
-    return found.select("*", score.alias("confidence")).drop("__text", "__kind", "__empty")
+    return found.select("*", score.alias("confidence")).drop(
+        "__text", "__kind", "__empty", "__label"
+    )

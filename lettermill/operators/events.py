@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill import rules, schemas
 from lettermill.functions.extract import job_board
-from lettermill.functions.text import keep_rows, or_empty
+from lettermill.functions.text import or_empty
 
 TOPIC_OF_CATEGORY = {
     "rejection": rules.TOPIC_REJECTIONS,
@@ -48,8 +48,8 @@ def topic_of(category: Column) -> Column:
 
 def route(classified: DataFrame) -> DataFrame:
     """Add ``topic`` and drop unrelated mail, in one pass over the mail."""
-    return keep_rows(
-        classified.withColumn("topic", topic_of(F.col("category"))), F.col("topic").isNotNull()
+    return classified.withColumn("topic", topic_of(F.col("category"))).filter(
+        F.col("topic").isNotNull()
     )
 
 

@@ -1,25 +1,28 @@
 """Finding the entries of a phrase table in texts.
 
-A short table travels as one array value and needs no shuffle. A table beyond
-``small_rows`` is joined on an anchor, the start of each phrase, with both
-sides salted; no pair of text and phrase is formed without a shared anchor.
+A short table becomes literals of the plan and needs no shuffle; at most
+``small_rows`` rows of it are fetched to find out. A longer table is joined on
+an anchor, the start of each phrase, with both sides salted; no pair of text
+and phrase is formed without a shared anchor.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lettermill import rules
-from lettermill.functions.text import head, or_empty, text_array
+from lettermill.functions.text import first_rule, head, or_empty, text_array
 
 SMALL_ROWS = 500
 SALTS = 16
 ANCHOR_CHARS = 3
 
 
-def _is_small(table: DataFrame, small_rows: int) -> bool:
-    return table.limit(small_rows + 1).count() <= small_rows
+def _rows_if_small(table: DataFrame, small_rows: int) -> list[Row] | None:
+    """All rows of a short table, or None: never more than the bound is fetched."""
+    rows = table.limit(small_rows + 1).collect() if small_rows else [None]
+    return rows if len(rows) <= small_rows else None
 
 
 def plain_words(text: Column) -> Column:
@@ -52,32 +55,33 @@ def with_candidates(
     """Add the gazetteer names found in each text, in text order, longest first at a place.
 
     ``gazetteer`` has one column ``name``. Names match as whole words and with
-    their case. A named-entity model can take this operator's place: any
+    their case. A long gazetteer joins the texts back by ``uid``, so hand over
+    only the columns that are needed. A named-entity model can take this operator's place: any
     ``array<string>`` in text order will do.
     """
     names = gazetteer.select(
         F.col("name").alias("__name"), plain_words(F.col("name")).alias("__words")
     ).filter(F.col("__words") != "").dropDuplicates(["__words"])
     plain = texts.withColumn("__plain", plain_words(head(text, text_chars)))
-    order_and_name = lambda found: F.array_distinct(
-        F.transform(F.array_sort(found), lambda f: f["__name"])
-    )
 
-    if _is_small(names, small_rows):
-        table = names.agg(F.collect_list(F.struct("__name", "__words"))).scalar()
-        padded = F.concat(F.lit(" "), F.col("__plain"), F.lit(" "))
+    def order_and_name(found: Column) -> Column:
+        return F.array_distinct(F.transform(F.array_sort(found), lambda f: f["__name"]))
+
+    few = _rows_if_small(names, small_rows)
+    if few is not None:
+        padded = plain.withColumn("__padded", F.concat(F.lit(" "), "__plain", F.lit(" ")))
+        words = text_array([f" {row['__words']} " for row in few])
+        labels = text_array([row["__name"] for row in few])
+        table = F.arrays_zip(words.alias("words"), labels.alias("name"))
         placed = F.transform(
-            F.filter(
-                table,
-                lambda n: F.contains(padded, F.concat(F.lit(" "), n["__words"], F.lit(" "))),
-            ),
+            F.filter(table, lambda n: F.contains(F.col("__padded"), n["words"])),
             lambda n: F.struct(
-                F.instr(padded, F.concat(F.lit(" "), n["__words"], F.lit(" "))).alias("at"),
-                (-F.length(n["__words"])).alias("size"),
-                n["__name"].alias("__name"),
+                F.instr(F.col("__padded"), n["words"]).alias("at"),
+                (-F.length(n["words"])).alias("size"),
+                n["name"].alias("__name"),
             ),
         )
-        return plain.withColumn(out, order_and_name(placed)).drop("__plain")
+        return padded.withColumn(out, order_and_name(placed)).drop("__plain", "__padded")
 
     longest = names.agg(F.max(F.size(F.split("__words", " ")))).scalar()
     table = names.withColumn("__anchor", F.split_part("__words", F.lit(" "), F.lit(1)))
@@ -95,8 +99,7 @@ def with_candidates(
     hits = _join_on_anchor(pieces, table, uid).filter(
         F.startswith("__rest", F.concat("__words", F.lit(" ")))
     )
-    first_places = hits.groupBy(uid, "__name", "__words").agg(F.min("at").alias("at"))
-    found = first_places.groupBy(uid).agg(
+    found = hits.groupBy(uid).agg(
         F.collect_list(
             F.struct("at", (-F.length("__words")).alias("size"), F.col("__name"))
         ).alias("__found")
@@ -131,13 +134,11 @@ def with_first_rule(
     ).filter(or_empty(F.col("keyword")) != "")
     lowered = texts.withColumn("__lower", F.lower(or_empty(text)))
 
-    if _is_small(table, small_rows):
-        ordered = table.agg(
-            F.array_sort(F.collect_list(F.struct("priority", "__keyword", "__value")))
-        ).scalar()
-        hits = F.filter(ordered, lambda r: F.contains(F.col("__lower"), r["__keyword"]))
-        value = F.try_element_at(hits, F.lit(1))["__value"]
-        return lowered.withColumn(out, F.coalesce(value, F.lit(default))).drop("__lower")
+    few = _rows_if_small(table, small_rows)
+    if few is not None:
+        ordered = sorted((row["priority"], row["__keyword"], row["__value"]) for row in few)
+        value = first_rule(F.col("__lower"), [rule[1:] for rule in ordered], default)
+        return lowered.withColumn(out, value).drop("__lower")
 
     sizes = table.agg(
         F.min(F.length("__keyword")).alias("short"), F.max(F.length("__keyword")).alias("long")

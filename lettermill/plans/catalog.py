@@ -14,7 +14,7 @@ from lettermill.functions.dates import MONTHS, display_date, mail_date_to_iso
 from lettermill.functions.html import html_text, html_text_parsed
 from lettermill.functions.scoring import id_label, label_id, top_label
 from lettermill.functions.text import first_words, text_array
-from lettermill.models.backends import scored_classifier
+from lettermill.models.backends import label_by_scores
 from lettermill.models.fitted import apply_model, load_model, save_model, train
 from lettermill.operators import deadletter, display, events, metrics, phrases, select
 from lettermill.operators.classify import category_counts, classify
@@ -437,11 +437,9 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def backend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both classifiers on the same mail, in one pass."""
-    scored = enrich(mails(spark, sf_dir), "rejection", **MAIL).select(
-        "confidence",
-        "rejection_type",
-        scored_classifier()(_mail_text()).alias("scored_label"),
-    )
+    enriched = enrich(mails(spark, sf_dir), "rejection", **MAIL)
+    texts = enriched.withColumn("text", _mail_text())
+    scored = label_by_scores()(texts, "text", "scored_label")
     per_backend = scored.select(
         F.inline(
             F.array(
@@ -498,7 +496,7 @@ def label_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = mails(spark, sf_dir).select("doc_id", _mail_text(None).alias("text"))
-    return texts.select("doc_id", scored_classifier()(F.col("text")).alias("label"))
+    return label_by_scores()(texts, "text", "label").drop("text")
 
 
 @query
@@ -524,7 +522,7 @@ def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = train(labelled, id_columns=("doc_id",))
     path = work_dir(spark, "model")
     save_model(model, path)
-    scored = apply_model(load_model(path), texts)
+    scored = apply_model(load_model(path), texts, score="score")
     return scored.select("doc_id", "label", F.round("score", 4).alias("score"))
 
 
@@ -706,7 +704,7 @@ def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_dead_letters(spark, _drained(spark, sf_dir)).drop("batch_id")
+    return read_dead_letters(spark, _drained(spark, sf_dir)).drop("batch_id", "event_type")
 
 
 @query

@@ -218,8 +218,8 @@ MAIL_CANDIDATES = _candidates(
     f"SELECT doc_id, {_plain_words(f'left({MAIL_TEXT}, {rules.ENTITY_TEXT_CHARS})')} AS plain FROM mails",
 )
 FIRST_CANDIDATE = f"""first_names AS (
-  SELECT m.*, coalesce(list_filter(string_split(candidates, '|'), c -> length(c) > 2
-    AND NOT list_contains({_list(rules.ENTITY_NOISE)}, lower(c)))[1], '') AS named
+  SELECT m.*, coalesce([c FOR c IN string_split(candidates, '|') IF length(c) > 2
+    AND NOT list_contains({_list(rules.ENTITY_NOISE)}, lower(c))][1], '') AS named
   FROM mails m JOIN candidates USING (doc_id))"""
 NAMED_COMPANY = f"CASE WHEN named <> '' THEN named ELSE {_company('sender')} END"
 

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lettermill import rules, schemas
 from lettermill.functions.dates import iso_instant
-from lettermill.functions.extract import rejection_type
 from lettermill.operators.deadletter import dead_letters, parse_payloads
 from lettermill.operators.enrich import enrich
 from lettermill.operators.events import utc_now
@@ -40,7 +39,7 @@ class Pipeline:
 
     out_dir: str
     backend: str = "rules"
-    classifier: Callable[[Column], Column] = rejection_type
+    labeller: Callable[[DataFrame, str, str], DataFrame] | None = None
     producer_name: str = "stream"
     second_sink: SecondSink | None = None
     processed_at: Column | None = None
@@ -57,7 +56,7 @@ class Pipeline:
             "event.*",
             F.col("event.rejection_type").alias("payload_rejection_type"),
         )
-        return enrich(flat, event_type, classifier=self.classifier)
+        return enrich(flat, event_type, labeller=self.labeller)
 
     def handle(self, records: DataFrame, batch_id: int, event_type: str) -> None:
         """Write one batch. All outputs come from one kept result, read once."""
@@ -76,7 +75,7 @@ class Pipeline:
             )
             letters = dead_letters(batch, self.producer_name, stamp)
             letters.drop("topic").write.mode("overwrite").json(
-                files.batch_path(self.out_dir, "dead_letters", event_type, batch_id)
+                f"{self.out_dir}/dead_letters/event_type={event_type}/batch_id={batch_id}"
             )
             self._write_second(good, event_type, batch_id)
             write_batch_metrics(
@@ -146,10 +145,8 @@ def batch_seconds(query: StreamingQuery) -> float | None:
 
 
 def read_dead_letters(spark: SparkSession, out_dir: str) -> DataFrame:
-    """All dead letters; the event kind is the folder they lie in."""
-    return spark.read.schema(schemas.DEAD_LETTER).json(
-        [f"{out_dir}/dead_letters/{kind}" for kind in files.FOLDERS]
-    )
+    """All dead letters with their event kind and batch."""
+    return spark.read.schema(schemas.DEAD_LETTER).json(f"{out_dir}/dead_letters")
 
 
 def dedup_stream(events: DataFrame, delay: str = "1 hour", key: str = "event_id") -> DataFrame:
