@@ -13,6 +13,7 @@ from lettermill.functions.text import (
     contains_any,
     first_rule,
     java_pattern,
+    let,
     or_empty,
     squeeze,
     strip,
@@ -25,13 +26,22 @@ def mail_text(subject: Column, body: Column, body_chars: int | None) -> Column:
     return F.concat(or_empty(subject), F.lit(". "), body)
 
 
-def role_title(text: Column, pattern: str = rules.ROLE_PATTERN, whole_words: bool = False) -> Column:
+def role_title(
+    text: Column,
+    pattern: str = rules.ROLE_PATTERN,
+    whole_words: bool = False,
+    first_letters: str | None = rules.ROLE_FIRST_LETTERS,
+) -> Column:
     """The first role title, its white space squeezed; empty where there is none.
 
     ``whole_words`` stops matches inside a word, such as the one in "misread".
+    ``first_letters`` are all letters a title can start with; give None with a
+    pattern of another kind.
     """
     if whole_words:
-        pattern = rf"\b{pattern}\b"
+        pattern = rf"\b(?:{pattern})\b"
+    if first_letters:
+        pattern = f"(?=[{first_letters}])(?:{pattern})"
     return squeeze(F.regexp_extract(text, java_pattern(pattern), 0))
 
 
@@ -60,11 +70,15 @@ def sender_company(
 
     Empty for mail and hiring services and where there is no domain.
     """
-    domain = sender_domain(sender)
-    labels = F.split(domain, "\\.")
-    label = F.coalesce(F.try_element_at(labels, F.lit(-2)), domain)
-    name = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 2_000_000_000))
-    return F.when(contains_any(domain, noise), "").otherwise(name)
+    def name(domain: Column) -> Column:
+        label = F.coalesce(F.try_element_at(F.split(domain, "\\."), F.lit(-2)), domain)
+        capitalised = let(
+            label,
+            lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2_000_000_000)),
+        )
+        return F.when(contains_any(domain, noise), "").otherwise(capitalised)
+
+    return let(sender_domain(sender), name)
 
 
 def job_board(

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lettermill.functions.text import let
+
 # --- fixed values: named references decoded without a parser ----------------
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
@@ -23,8 +25,10 @@ ENTITIES = {
 # --- end of fixed values ----------------------------------------------------
 
 _GAP = "\u0001"
-_HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
-_MARKUP = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+_HIDDEN = "|".join(rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style"))
+_MARKUP = rf"(?is)<(?:!--.*?-->|{_HIDDEN}|/?[a-z][^>]*>|[!?][^>]*>)"
+# Named references but &amp;, which comes last.
+_NAMED = "&(?!amp;)([a-zA-Z]+[0-9]*);"
 
 
 def _code_points(text: Column) -> Column:
@@ -52,16 +56,27 @@ def _code_points(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")) & (F.size(pieces) > 1), decoded).otherwise(text)
 
 
+def _named_references(text: Column) -> Column:
+    """Replace only the references a text has: looking for all of them takes longer."""
+    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_NAMED), 1))
+
+    def replace(done: Column, name: Column) -> Column:
+        reference = F.concat(F.lit("&"), name, F.lit(";"))
+        return F.coalesce(F.replace(done, reference, F.try_element_at(table, name)), done)
+
+    return F.aggregate(names, text, replace)
+
+
 def html_text(html: Column) -> Column:
-    """Text nodes joined by one space, without scripts, styles and comments."""
-    text = F.regexp_replace(html, _HIDDEN, _GAP)
-    text = F.regexp_replace(text, _MARKUP, _GAP)
-    text = F.regexp_replace(text, f"{_GAP}+", _GAP)
-    text = F.regexp_replace(text, f"^{_GAP}|{_GAP}$", "")
-    text = F.translate(text, _GAP, " ")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(_code_points(text), F.lit("&amp;"), F.lit("&"))
+    """Text nodes joined by one space, without scripts, styles and comments.
+
+    Of the named references those in ``ENTITIES`` are decoded, and numeric ones.
+    """
+    marked = F.regexp_replace(F.regexp_replace(html, _MARKUP, _GAP), f"{_GAP}+", _GAP)
+    text = F.replace(F.btrim(marked, F.lit(_GAP)), F.lit(_GAP), F.lit(" "))
+    decoded = let(let(text, _named_references), _code_points)
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
 
 
 class _TextNodes(HTMLParser):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 # Unicode white space plus the four ASCII separators Python also strips.
 SPACE = r"[\s\x1c-\x1f]"
 
+_LITERAL_START = re.compile(r"[A-Za-z](?![?*{])")
+# A bar that is, or could be, outside every bracket.
+_TOP_LEVEL_BAR = re.compile(r"\\[()|]|^[^(]*\||\)[^(]*\|")
+
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     """A pattern with Python's reading of ``\\s``, ``\\w``, ``\\d``, case and dot.
@@ -21,7 +26,25 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
 
 
 def any_pattern(patterns: Sequence[str]) -> str:
-    return java_pattern("|".join(patterns))
+    """One pattern that matches where any of them does.
+
+    Where all start with a letter, a look at the first letter spares trying
+    them one by one at most places, which more than halves the time.
+    """
+    either = "|".join(patterns)
+    if all(_LITERAL_START.match(p) and not _TOP_LEVEL_BAR.search(p) for p in patterns):
+        firsts = "".join(sorted({p[0].lower() for p in patterns}))
+        either = f"(?=[{firsts}])(?:{either})"
+    return java_pattern(either)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used.
+
+    Spark writes an expression out again wherever a function names it, and
+    inside a lambda works it out again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def or_empty(text: Column) -> Column:
@@ -63,7 +86,7 @@ def text_array(values: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
-    return F.exists(text_array(phrases), lambda p: F.contains(text, p))
+    return let(text, lambda t: F.exists(text_array(phrases), lambda p: F.contains(t, p)))
 
 
 def count_contained(text: Column, phrases: Sequence[str]) -> Column:
@@ -72,7 +95,7 @@ def count_contained(text: Column, phrases: Sequence[str]) -> Column:
     A literal array keeps the generated code small however long the list is;
     a sum of a few dozen ``contains`` terms grows past what the JVM compiles.
     """
-    return F.size(F.filter(text_array(phrases), lambda p: F.contains(text, p)))
+    return let(text, lambda t: F.size(F.filter(text_array(phrases), lambda p: F.contains(t, p))))
 
 
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
@@ -80,7 +103,7 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str) ->
     if not rules:
         return F.lit(default)
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in rules])
-    hits = F.filter(table, lambda r: F.contains(text, r["k"]))
+    hits = let(text, lambda t: F.filter(table, lambda r: F.contains(t, r["k"])))
     return F.coalesce(F.try_element_at(hits, F.lit(1))["v"], F.lit(default))
 
 

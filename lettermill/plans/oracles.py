@@ -277,10 +277,9 @@ scored AS (
 
 def _html(column: str) -> str:
     gap = "chr(1)"
-    text = column
-    for name in ("script", "style"):
-        text = f"regexp_replace({text}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', {gap}, 'g')"
-    text = f"regexp_replace({text}, '(?s)<!--.*?-->|</?[a-zA-Z][^>]*>|<[!?][^>]*>', {gap}, 'g')"
+    hidden = "|".join(f"{tag}\\b[^>]*>.*?</{tag}\\s*>" for tag in ("script", "style"))
+    markup = f"(?is)<(?:!--.*?-->|{hidden}|/?[a-z][^>]*>|[!?][^>]*>)"
+    text = f"regexp_replace({column}, '{markup}', {gap}, 'g')"
     text = f"trim(regexp_replace({text}, '\\x01+', {gap}, 'g'), {gap})"
     text = f"replace({text}, {gap}, ' ')"
     for name, char in ENTITIES.items():

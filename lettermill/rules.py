@@ -104,6 +104,8 @@ ROLE_PATTERN = (
     r"(?:\s+(?:I{1,3}|IV|V|\d))?"
 )
 
+ROLE_FIRST_LETTERS = "sjlpamdbfr"
+
 # (keyword, board); the first keyword found in the lower-cased sender wins.
 JOB_BOARDS = [
     ("linkedin", "LinkedIn"),
