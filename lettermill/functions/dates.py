@@ -19,7 +19,7 @@ _MAIL_DATE = (
     r"(?i)^\s*(?:[a-z]+,?\s+)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{2}|\d{4})\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4}|[a-z]{1,4})?\s*(?:\(.*\))?\s*$"
 )
-_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def utc_text(ts: Column) -> Column:
@@ -36,14 +36,15 @@ def utc_text(ts: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """ISO-8601 text to an instant; text without an offset is UTC; else null."""
-    tidy = F.trim(text)
-    zone = F.regexp_extract(tidy, _ISO, 1)
-    full = F.when(F.length(tidy) == 10, F.concat(tidy, F.lit("T00:00:00Z"))).otherwise(
-        F.concat(tidy, F.when(zone == "", "Z").otherwise(""))
-    )
-    colon = F.regexp_replace(full, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    shaped = F.when(F.length(tidy) == 10, full).otherwise(colon)
-    return F.when(tidy.rlike(_ISO), F.try_to_timestamp(shaped))
+    full = F.trim(text)
+    for pattern, replacement in (
+        (r"^(.{10})$", "$1T00:00"),
+        (r"^(.{16})(?!:)", "$1:00"),
+        (r"^(.{19}(?:\.\d+)?)$", "$1Z"),
+        (r"([+-]\d{2})(\d{2})$", "$1:$2"),
+    ):
+        full = F.regexp_replace(full, pattern, replacement)
+    return F.when(F.trim(text).rlike(_ISO), F.try_to_timestamp(full))
 
 
 def display_date(text: Column) -> Column:

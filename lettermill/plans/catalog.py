@@ -655,7 +655,7 @@ def _drained(spark: SparkSession, sf_dir: str, second_sink=None) -> str:
         for topic in (rules.TOPIC_REJECTIONS, rules.TOPIC_APPLICATIONS)
     }
     pipeline = Pipeline(
-        out_dir, processed_at=F.lit(STREAM_STAMP), producer_name="stream", second_sink=second_sink
+        out_dir, processed_at=STREAM_STAMP, producer_name="stream", second_sink=second_sink
     )
     drain(spark, pipeline, streams, work_dir(spark, "checkpoint"))
     return out_dir

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,7 +42,7 @@ class Pipeline:
     labeller: Callable[[DataFrame, str, str], DataFrame] | None = None
     producer_name: str = "stream"
     second_sink: SecondSink | None = None
-    processed_at: Column | None = None
+    processed_at: str | None = None
     max_bytes: int = rules.MAX_MESSAGE_BYTES
     failures: list[str] = field(default_factory=list)
 
@@ -61,7 +61,7 @@ class Pipeline:
     def handle(self, records: DataFrame, batch_id: int, event_type: str) -> None:
         """Write one batch. All outputs come from one kept result, read once."""
         started = time.perf_counter()
-        stamp = self.processed_at if self.processed_at is not None else utc_now()
+        stamp = utc_now() if self.processed_at is None else F.lit(self.processed_at)
         batch = self.enrich_batch(records, event_type).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if batch.isEmpty():
