@@ -8,8 +8,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators Python also strips.
-SPACE = r"[\s\x1c-\x1f]"
+# What Python counts as white space, as a list for trimming and as a class.
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RARE_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _LITERAL_START = re.compile(r"[A-Za-z](?![?*{])")
 # A bar that is, or could be, outside every bracket.
@@ -62,7 +67,7 @@ def head(text: Column, chars: int | None) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)\\A{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -70,15 +75,22 @@ def is_blank(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Words of a text joined by single spaces."""
-    return F.regexp_replace(strip(text), f"(?U){SPACE}+", " ")
+    """Words of a text joined by single spaces.
+
+    The wide class costs three times the plain one, so only text with rare
+    white space is searched for it.
+    """
+    plain = F.regexp_replace(strip(text), r"\s+", " ")
+    return let(
+        plain,
+        lambda t: F.when(t.rlike(_RARE_SPACE), F.regexp_replace(t, f"{SPACE}+", " ")).otherwise(t),
+    )
 
 
 def first_words(text: Column, words: int | None) -> Column:
     """The first words of a text joined by single spaces; ``None`` keeps all."""
-    if words is None:
-        return squeeze(text)
-    return F.array_join(F.slice(F.split(strip(text), f"(?U){SPACE}+"), 1, words), " ")
+    squeezed = squeeze(text)
+    return squeezed if words is None else F.substring_index(squeezed, " ", words)
 
 
 def text_array(values: Sequence[str]) -> Column:

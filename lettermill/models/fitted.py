@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill import rules
@@ -21,24 +21,19 @@ SEED = 42
 TRAIN_SHARE = 0.85
 
 
+def _drawn(share: float, columns: Sequence[str], seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
 def split_rows(df: DataFrame, share: float, *columns: str, seed: int = SEED):
     """A random split that depends only on a row's content and the seed.
 
     A lost task that runs again puts each row where it was, and no sort is needed.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000))
-    first = draw < int(share * 1_000_000)
+    first = _drawn(share, columns, seed)
     return df.filter(first), df.filter(~first)
 
 
-def _features(size: int) -> list:
-    return [
-        RegexTokenizer(inputCol="__short", outputCol="__tokens", pattern=r"[^\p{L}\p{N}']+"),
-        HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=size),
-        IDF(inputCol="__counts", outputCol="features"),
-    ]
-
-
 def _shorten(df: DataFrame, text: str, words: int | None) -> DataFrame:
     return df.withColumn("__short", first_words(or_empty(F.col(text)), words))
 
@@ -54,20 +49,29 @@ def train(
 ) -> tuple[PipelineModel, list[float]]:
     """Fit on 85% of ``text, label``; keep the epoch with the lowest held-out loss.
 
-    Rows with an unknown label are left out. Returns the model and each
+    Rows with an unknown label are left out. The texts are read once: only their
+    word counts are kept for the passes that follow. Returns the model and each
     epoch's held-out log loss.
     """
     known, _ = split_known_labels(labelled, labels)
-    rows = _shorten(known, "text", words).withColumn("__label", label_id(F.col("label"), labels).cast("double"))
-    train_rows, test_rows = split_rows(rows, TRAIN_SHARE, *id_columns)
-    prepare = Pipeline(stages=_features(features)).fit(train_rows)
-    columns = ["__label", "features"]
-    fit_on = prepare.transform(train_rows).select(*columns).persist()
-    check_on = prepare.transform(test_rows).select(*columns).persist()
-    evaluator = MulticlassClassificationEvaluator(labelCol="__label", metricName="logLoss")
+    marked = known.withColumns(
+        {
+            "__label": label_id(F.col("label"), labels).cast("double"),
+            "__train": _drawn(TRAIN_SHARE, id_columns, SEED),
+        }
+    )
+    tokenizer = RegexTokenizer(inputCol="__short", outputCol="__tokens", pattern=r"[^\p{L}\p{N}']+")
+    counter = HashingTF(inputCol="__tokens", outputCol="__counts", numFeatures=features)
+    counts = PipelineModel([tokenizer, counter]).transform(_shorten(marked, "text", words))
+    counts = counts.select("__label", "__train", "__counts").persist()
+    evaluator = MulticlassClassificationEvaluator(
+        labelCol="__label", predictionCol="__prediction", metricName="logLoss"
+    )
     losses: list[float] = []
     best = None
     try:
+        weights = IDF(inputCol="__counts", outputCol="features").fit(counts.filter("__train"))
+        weighted = weights.transform(counts)
         for epoch in range(1, epochs + 1):
             model = LogisticRegression(
                 labelCol="__label",
@@ -76,15 +80,14 @@ def train(
                 regParam=0.01,
                 predictionCol="__prediction",
                 probabilityCol="probability",
-            ).fit(fit_on)
-            loss = evaluator.setPredictionCol("__prediction").evaluate(model.transform(check_on))
+            ).fit(weighted.filter("__train"))
+            loss = evaluator.evaluate(model.transform(weighted.filter("NOT __train")))
             if best is None or loss < min(losses):
                 best = model
             losses.append(loss)
     finally:
-        fit_on.unpersist()
-        check_on.unpersist()
-    return PipelineModel(stages=[*prepare.stages, best]), losses
+        counts.unpersist()
+    return PipelineModel([tokenizer, counter, weights, best]), losses
 
 
 def save_model(model: PipelineModel, path: str) -> None:
