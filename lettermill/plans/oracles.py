@@ -275,18 +275,35 @@ scored AS (
   FROM hits)"""
 
 
-def _html(column: str) -> str:
-    gap = "chr(1)"
-    hidden = "|".join(f"{tag}\\b[^>]*>.*?</{tag}\\s*>" for tag in ("script", "style"))
-    markup = f"(?is)<(?:!--.*?-->|{hidden}|/?[a-z][^>]*>|[!?][^>]*>)"
-    text = f"regexp_replace({column}, '{markup}', {gap}, 'g')"
-    text = f"trim(regexp_replace({text}, '\\x01+', {gap}, 'g'), {gap})"
-    text = f"replace({text}, {gap}, ' ')"
+HIDDEN = "|".join(f"{tag}\\b[^>]*>.*?</{tag}\\s*>" for tag in ("script", "style"))
+MARKUP = f"<(?:!--.*?-->|{HIDDEN}|/?[a-z][^>]*>|[!?][^>]*>)"
+
+
+def _references(text: str) -> str:
     for name, char in ENTITIES.items():
         text = f"replace({text}, '&{name};', {_text(char)})"
     return f"replace({text}, '&amp;', '&')"
 
 
+def _html(column: str) -> str:
+    gap = "chr(1)"
+    text = f"regexp_replace({column}, '(?is){MARKUP}', {gap}, 'g')"
+    text = f"trim(regexp_replace({text}, '\\x01+', {gap}, 'g'), {gap})"
+    return _references(f"replace({text}, {gap}, ' ')")
+
+
+def _html_nodes(column: str) -> str:
+    """Every text node, those of scripts and styles too, joined by one space."""
+    pieces = f"regexp_extract_all({column}, '(?is){MARKUP}|[^<]+|<')"
+    inside = "regexp_replace(x, '(?is)^<(script|style)\\b[^>]*>|</(script|style)\\s*>$', '', 'g')"
+    nodes = (
+        f"[CASE WHEN regexp_matches(x, '(?is)^<(script|style)\\b') THEN {inside} "
+        f"WHEN regexp_matches(x, '(?is)^{MARKUP}$') THEN '' ELSE {_references('x')} END "
+        f"FOR x IN {pieces}]"
+    )
+    return f"array_to_string([n FOR n IN {nodes} IF n <> ''], ' ')"
+
+
 def _select(columns: str, *ctes: str, rows: str = "mails") -> str:
     return f"WITH {', '.join((MAILS, *ctes))} SELECT {columns} FROM {rows}"
 
@@ -460,8 +477,9 @@ FROM embeddings"""
         rows="scored",
     )
     out["label_encode"] = _select(
-        "doc_id, label, list_position(" + _list(rules.REJECTION_LABELS) + ", label) - 1 AS label_id, "
-        "label AS decoded",
+        "doc_id, label, CAST(list_position("
+        + _list(rules.REJECTION_LABELS)
+        + ", label) - 1 AS BIGINT) AS label_id, label AS decoded",
         f"labelled AS (SELECT doc_id, {_rejection(MAIL_TEXT)} AS label FROM mails)", rows="labelled",
     )
     words = "regexp_replace(trim(text, E' \\n\\t\\r\\f\\v'), '\\s+', ' ', 'g')"
@@ -479,6 +497,7 @@ FROM embeddings"""
     out["display_dates"] = f"""SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'not a date'
   ELSE strftime(ts - {shift}, '%Y-%m-%d %H:%M') || ' UTC' END AS shown FROM events"""
     out["html_to_text"] = f"SELECT page_id, {_html('html')} AS text FROM pages"
+    out["html_to_text_parsed"] = f"SELECT page_id, {_html_nodes('html')} AS text FROM pages"
     out["mail_normalise"] = f"""SELECT CAST(page_id AS VARCHAR) AS uid, 'outlook' AS source,
   CASE WHEN page_id % 4 <> 0 THEN 'Page ' || page_id ELSE '' END AS subject,
   CASE WHEN page_id % 5 <> 0 THEN url ELSE '' END AS sender,

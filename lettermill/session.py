@@ -19,6 +19,8 @@ def build_session(app: str = "lettermill", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Messages and pages vary in size: bound what one Arrow batch holds.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,

@@ -34,7 +34,9 @@ class Pipeline:
     """What the batch handler needs to know.
 
     ``second_sink`` gets the enriched batch, its kind and its id; when it fails
-    the failure is logged and the batch goes on.
+    the failure is logged and the batch goes on. With ``stage_dir`` the enriched
+    batch is written to a table there and every output reads that; without it
+    the batch is cached, which suits batches that fit the executors' disks.
     """
 
     out_dir: str
@@ -44,6 +46,7 @@ class Pipeline:
     second_sink: SecondSink | None = None
     processed_at: str | None = None
     max_bytes: int = rules.MAX_MESSAGE_BYTES
+    stage_dir: str | None = None
     failures: list[str] = field(default_factory=list)
 
     def enrich_batch(self, records: DataFrame, event_type: str) -> DataFrame:
@@ -51,7 +54,7 @@ class Pipeline:
         parsed = parse_payloads(records, max_bytes=self.max_bytes)
         flat = parsed.select(
             *[c for c in ("topic", "partition", "offset") if c in parsed.columns],
-            "payload",
+            F.when(F.col("failure_reason").isNotNull(), F.col("payload")).alias("payload"),
             "failure_reason",
             "event.*",
             F.col("event.rejection_type").alias("payload_rejection_type"),
@@ -59,36 +62,47 @@ class Pipeline:
         return enrich(flat, event_type, labeller=self.labeller)
 
     def handle(self, records: DataFrame, batch_id: int, event_type: str) -> None:
-        """Write one batch. All outputs come from one kept result, read once."""
+        """Write one batch, of a stream or of a backfill from a topic's table.
+
+        All outputs come from one kept result: the records are parsed and
+        enriched once, and the source is read once.
+        """
         started = time.perf_counter()
-        stamp = utc_now() if self.processed_at is None else F.lit(self.processed_at)
-        batch = self.enrich_batch(records, event_type).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = self._keep(self.enrich_batch(records, event_type), event_type, batch_id)
         try:
-            if batch.isEmpty():
-                return
-            good = batch.filter(F.col("failure_reason").isNull())
-            files.write_json_lines(
-                files.json_records(good, event_type, stamp), self.out_dir, event_type, batch_id
-            )
-            files.write_csv(
-                files.summary_rows(good, event_type), self.out_dir, event_type, batch_id
-            )
-            letters = dead_letters(batch, self.producer_name, stamp)
-            letters.drop("topic").write.mode("overwrite").json(
-                f"{self.out_dir}/dead_letters/event_type={event_type}/batch_id={batch_id}"
-            )
-            self._write_second(good, event_type, batch_id)
-            write_batch_metrics(
-                good,
-                self.out_dir,
-                self.backend,
-                event_type,
-                batch_id,
-                time.perf_counter() - started,
-            )
+            if not batch.isEmpty():
+                self._write(batch, event_type, batch_id, started)
         finally:
             batch.unpersist()
 
+    def _keep(self, batch: DataFrame, event_type: str, batch_id: int) -> DataFrame:
+        if self.stage_dir is None:
+            return batch.persist(StorageLevel.MEMORY_AND_DISK)
+        path = f"{self.stage_dir}/event_type={event_type}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+    def _write(self, batch: DataFrame, event_type: str, batch_id: int, started: float) -> None:
+        stamp = utc_now() if self.processed_at is None else F.lit(self.processed_at)
+        good = batch.filter(F.col("failure_reason").isNull())
+        files.write_json_lines(
+            files.json_records(good, event_type, stamp), self.out_dir, event_type, batch_id
+        )
+        files.write_csv(files.summary_rows(good, event_type), self.out_dir, event_type, batch_id)
+        letters = dead_letters(batch, self.producer_name, stamp)
+        letters.drop("topic").write.mode("overwrite").json(
+            f"{self.out_dir}/dead_letters/event_type={event_type}/batch_id={batch_id}"
+        )
+        self._write_second(good, event_type, batch_id)
+        write_batch_metrics(
+            good,
+            self.out_dir,
+            self.backend,
+            event_type,
+            batch_id,
+            time.perf_counter() - started,
+        )
+
     def _write_second(self, good: DataFrame, event_type: str, batch_id: int) -> None:
         if self.second_sink is None:
             return
@@ -161,19 +175,3 @@ def dedup_stream(events: DataFrame, delay: str = "1 hour", key: str = "event_id"
         .withWatermark("received_ts", delay)
         .dropDuplicatesWithinWatermark([key])
     )
-
-
-def poll_mail(
-    mails: DataFrame,
-    handle: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    every: str | None = "60 seconds",
-) -> StreamingQuery:
-    """Poll a mail stream: each mail reaches ``handle`` once, as the checkpoint remembers."""
-    trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    return (
-        mails.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )

@@ -11,7 +11,7 @@ from tests.conftest import plan_of
 
 QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 PYTHON = {"mime_decode", "html_to_text_parsed"}
-ROWS_ONLY = {"text_classifier", "html_to_text_parsed"}
+ROWS_ONLY = {"text_classifier"}
 
 
 @pytest.fixture(scope="module")

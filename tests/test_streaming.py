@@ -1,20 +1,23 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill import rules
 from lettermill.operators.deadletter import parse_payloads
-from lettermill.plans.mails import mails, records
+from lettermill.plans.mails import mails, published, records
 from lettermill.session import work_dir
 from lettermill.sinks import files
-from lettermill.sources.topics import stream_topic_files, write_topic_files
+from lettermill.sources.topics import read_topic_files, stream_topic_files, write_topic_files
+from lettermill.streaming.ingest import Ingest
+from lettermill.streaming.jobs import train_from_files
 from lettermill.streaming.pipeline import (
     Pipeline,
     batch_seconds,
     dedup_stream,
     drain,
-    poll_mail,
     read_dead_letters,
     run,
 )
@@ -135,13 +138,75 @@ def test_dedup(spark):
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
 
 
-def test_poll_hands_over_each_mail_once(spark, sf_dir):
-    path, checkpoint, seen = work_dir(spark, "mail"), work_dir(spark, "cp"), []
-    source = mails(spark, sf_dir).select("doc_id", "subject")
-    for part in (0, 1):
-        source.filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(source.schema).parquet(path)
-        poll_mail(
-            stream, lambda df, i: seen.append(df.count()), checkpoint, every=None
-        ).awaitTermination()
-    assert sum(seen) == source.count()
+def ingest_into(spark, publish_dir, processed):
+    return Ingest(
+        lambda records, batch_id: write_topic_files(records, f"{publish_dir}/batch={batch_id}"), processed
+    )
+
+
+def topic_count(spark, publish_dir):
+    return spark.read.schema("value binary").option("recursiveFileLookup", "true").parquet(publish_dir).count()
+
+
+def test_ingest_publishes_each_mail_once(spark, sf_dir):
+    path, out, processed, checkpoint = (work_dir(spark, n) for n in ("mail", "pub", "seen", "cp"))
+    flat = mails(spark, sf_dir).withColumnRenamed("doc_id", "uid").drop("is_read")
+    expected = published(mails(spark, sf_dir)).count()
+    # The second half overlaps the first, and repeats some mail within itself.
+    for low, high in ((0, 120), (80, 10_000)):
+        part = flat.filter(F.col("uid").between(low, high))
+        part.unionByName(part.filter("uid % 5 = 0")).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(flat.schema).parquet(path)
+        ingest_into(spark, out, processed).poll(stream, checkpoint, every=None).awaitTermination()
+    assert topic_count(spark, out) == expected
+    ids = spark.read.parquet(processed)
+    assert ids.count() == ids.select("uid").distinct().count() == flat.count()
+
+
+def test_ingest_keeps_its_ids_when_a_batch_repeats(spark, sf_dir):
+    out, processed = work_dir(spark, "pub"), work_dir(spark, "seen")
+    flat = mails(spark, sf_dir).withColumnRenamed("doc_id", "uid").drop("is_read")
+    job = ingest_into(spark, out, processed)
+    for _ in range(2):
+        job.handle(flat, 3)
+    assert spark.read.parquet(processed).count() == flat.count()
+    before = topic_count(spark, out)
+    job.handle(flat, 4)
+    assert topic_count(spark, out) == before
+
+
+def test_unreadable_mail_becomes_a_dead_letter(spark):
+    out = work_dir(spark, "pub")
+    rows = [("1", "gmail", "not selected for a job", "a@x.com", "", "", None), ("2", None, None, None, None, None, "LookupError: x")]
+    df = spark.createDataFrame(
+        rows, "uid string, source string, subject string, sender string, received_at string, body string, error string"
+    )
+    ingest_into(spark, out, work_dir(spark, "seen")).handle(df, 0)
+    found = spark.read.parquet(f"{out}/batch=0").groupBy("topic").count().collect()
+    assert {r["topic"]: r["count"] for r in found} == {rules.TOPIC_REJECTIONS: 1, rules.TOPIC_DLQ_REJECTIONS: 1}
+
+
+def test_staged_batches_equal_cached_ones(spark, topics):
+    outs = []
+    for stage in (None, work_dir(spark, "stage")):
+        outs.append(work_dir(spark, "out"))
+        drain(spark, Pipeline(outs[-1], processed_at=STAMP, stage_dir=stage), streams(spark, topics), work_dir(spark, "cp"))
+    assert json_rows(spark, outs[0]) == json_rows(spark, outs[1]) != []
+
+
+def test_backfill_from_the_topic_table(spark, topics):
+    out = work_dir(spark, "out")
+    Pipeline(out, processed_at=STAMP).handle(
+        read_topic_files(spark, topics, rules.TOPIC_REJECTIONS), 0, "rejection"
+    )
+    streamed = work_dir(spark, "out")
+    drain(spark, Pipeline(streamed, processed_at=STAMP), streams(spark, topics), work_dir(spark, "cp"))
+    assert files.output_counts(spark, out)["rejections"] == files.output_counts(spark, streamed)["rejections"]
+
+
+def test_training_job(spark, tmp_path):
+    lines = [json.dumps({"text": f"not selected {i}" if i % 2 else f"stay in touch {i}",
+                         "label": "hard_rejection" if i % 2 else "soft_rejection"}) for i in range(80)]
+    (tmp_path / "data.jsonl").write_text("\n".join(lines))
+    losses = train_from_files(spark, str(tmp_path / "data.jsonl"), str(tmp_path / "model"), epochs=1)
+    assert len(losses) == 1 and (tmp_path / "model" / "metadata").exists()
