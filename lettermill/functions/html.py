@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,71 +14,111 @@ from pyspark.sql import types as T
 
 from lettermill.functions.text import let
 
-# --- fixed values: named references decoded without a parser ----------------
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
-    "copy": "©", "reg": "®", "trade": "™", "deg": "°",
-    "laquo": "«", "raquo": "»", "middot": "·", "bull": "•",
-    "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢",
-    "times": "×", "frac12": "½",
-}
+# --- fixed values: what the numeric references 128 to 159 stand for ----------
+WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 # --- end of fixed values ----------------------------------------------------
 
 _GAP = "\u0001"
 _HIDDEN = "|".join(rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style"))
 _MARKUP = rf"(?is)<(?:!--.*?-->|{_HIDDEN}|/?[a-z][^>]*>|[!?][^>]*>)"
-# Named references but &amp;, which comes last.
-_NAMED = "&(?!amp;)([a-zA-Z]+[0-9]*);"
 
+# The standard's named references: most end in a semicolon, old ones need none.
+_CLOSED = {name: char for name, char in html5.items() if name.endswith(";")}
+_OPEN = {name: char for name, char in html5.items() if not name.endswith(";")}
+_OPEN_NAMES = "|".join(sorted(_OPEN, key=len, reverse=True))
 
-def _code_points(text: Column) -> Column:
-    """Decode ``&#65;`` and ``&#x41;``; references to no character are kept."""
-    pieces = F.split(text, "&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
 
-    def decode(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^([xX]?[0-9a-fA-F]+);", 1)
-        is_hex = F.lower(F.substring(number, 1, 1)) == "x"
-        value = F.when(
-            is_hex, F.conv(F.substring(number, 2, 8), 16, 10)
-        ).otherwise(number).cast("long")
-        valid = ((value >= 32) & (value < 0xD800)) | ((value > 0xDFFF) & (value <= 0x10FFFF)) | (
-            value.isin(9, 10, 13)
-        )
-        bits = F.unhex(F.lpad(F.hex(value), 8, "0"))
-        char = F.decode(bits, "UTF-32")
-        rest = F.substring(piece, F.length(number) + 2, F.length(piece))
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
-
-    decoded = F.concat(
-        F.element_at(pieces, 1),
-        F.array_join(F.transform(F.slice(pieces, 2, 2_000_000_000), decode), ""),
-    )
-    return F.when(F.contains(text, F.lit("&#")) & (F.size(pieces) > 1), decoded).otherwise(text)
+def _table(references: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(references)), T.MapType(T.StringType(), T.StringType()))
 
 
 def _named_references(text: Column) -> Column:
     """Replace only the references a text has: looking for all of them takes longer."""
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_NAMED), 1))
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit("&([a-zA-Z][a-zA-Z0-9]*;)"), 1))
 
     def replace(done: Column, name: Column) -> Column:
-        reference = F.concat(F.lit("&"), name, F.lit(";"))
-        return F.coalesce(F.replace(done, reference, F.try_element_at(table, name)), done)
+        char = F.try_element_at(_table(_CLOSED), name)
+        return F.coalesce(F.replace(done, F.concat(F.lit("&"), name), char), done)
 
     return F.aggregate(names, text, replace)
 
 
-def html_text(html: Column) -> Column:
-    """Text nodes joined by one space, without scripts, styles and comments.
+def _open_references(text: Column) -> Column:
+    """The same for old names without a semicolon, the longest name first."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&({_OPEN_NAMES})"), 1))
+    longest_first = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+
+    def replace(done: Column, name: Column) -> Column:
+        return F.replace(
+            done, F.concat(F.lit("&"), name), F.try_element_at(_table(_OPEN), name)
+        )
+
+    return F.aggregate(longest_first, text, replace)
+
+
+def _character(number: Column) -> Column:
+    """The text of a numeric reference, by the standard's rules."""
+    is_hex = F.lower(F.substring(number, 1, 1)) == "x"
+    digits = F.ltrim(F.when(is_hex, F.substring(number, 2, F.length(number))).otherwise(number), F.lit("0"))
+    value = F.when(
+        F.length(digits) <= 8,
+        F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.nullif(digits, F.lit(""))),
+    ).cast("long")
+
+    def text_of(code: Column) -> Column:
+        replaced = (
+            code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        )
+        dropped = (
+            code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+            | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
+        )
+        return (
+            F.when(replaced, "\ufffd")
+            .when(code.between(128, 159), F.substring(F.lit(WINDOWS_1252), code.cast("int") - 127, F.lit(1)))
+            .when(dropped, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
 
-    Of the named references those in ``ENTITIES`` are decoded, and numeric ones.
+    return let(value, text_of)
+
+
+def _numeric_references(text: Column) -> Column:
+    pieces = F.split(text, "&#(?=[0-9]|[xX][0-9a-fA-F])")
+    number = "^([0-9]+|[xX][0-9a-fA-F]+);?"
+
+    def decode(piece: Column) -> Column:
+        return F.concat(
+            _character(F.regexp_extract(piece, number, 1)), F.regexp_replace(piece, number, "")
+        )
+
+    return F.concat(
+        F.element_at(pieces, 1),
+        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decode), ""),
+    )
+
+
+def decode_references(text: Column) -> Column:
+    """Character references as the characters they name.
+
+    Ampersands wait as a control character, so that what they form with the
+    text behind them is not read as a reference.
     """
+    def decode(t: Column) -> Column:
+        named = let(let(t, _named_references), _open_references)
+        return F.when(
+            F.contains(t, F.lit("&")),
+            let(named, lambda n: F.when(F.contains(n, F.lit("&#")), _numeric_references(n)).otherwise(n)),
+        ).otherwise(t)
+
+    waiting = F.regexp_replace(text, "&(?:amp|AMP);?", _GAP)
+    return F.replace(let(waiting, decode), F.lit(_GAP), F.lit("&"))
+
+
+def html_text(html: Column) -> Column:
+    """Text nodes joined by one space, without scripts, styles and comments."""
     marked = F.regexp_replace(F.regexp_replace(html, _MARKUP, _GAP), f"{_GAP}+", _GAP)
-    text = F.replace(F.btrim(marked, F.lit(_GAP)), F.lit(_GAP), F.lit(" "))
-    decoded = let(let(text, _named_references), _code_points)
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return decode_references(F.replace(F.btrim(marked, F.lit(_GAP)), F.lit(_GAP), F.lit(" ")))
 
 
 class _TextNodes(HTMLParser):

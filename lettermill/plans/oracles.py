@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from lettermill import rules, schemas
 from lettermill.functions.dates import MONTHS
-from lettermill.functions.html import ENTITIES
 from lettermill.plans.catalog import ASOF, LABEL_WORDS, OVERSIZE_BYTES, STREAM_STAMP
 from lettermill.plans.mails import BODIES, INGESTED_AT, MINUTES, SENDERS, SUBJECTS
 
@@ -279,10 +278,17 @@ HIDDEN = "|".join(f"{tag}\\b[^>]*>.*?</{tag}\\s*>" for tag in ("script", "style"
 MARKUP = f"<(?:!--.*?-->|{HIDDEN}|/?[a-z][^>]*>|[!?][^>]*>)"
 
 
+# The named references the pages have, apart from the ampersand.
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "©", "middot": "·",
+    "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "euro": "€",
+}
+
+
 def _references(text: str) -> str:
-    for name, char in ENTITIES.items():
-        text = f"replace({text}, '&{name};', {_text(char)})"
-    return f"replace({text}, '&amp;', '&')"
+    for name, char in REFERENCES.items():
+        text = f"regexp_replace({text}, '&{name};?', {_text(char)}, 'g')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 def _html(column: str) -> str:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 from email.message import EmailMessage
 from email.utils import parsedate_to_datetime
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions.dates import display_date, mail_date_to_iso
-from lettermill.functions.html import html_text, html_text_parsed
+from lettermill.functions.html import decode_references, html_text, html_text_parsed
 from lettermill.plans.mails import table
 from lettermill.sources.mailboxes import decode_messages, normalise_messages, read_message_files
 from lettermill import schemas
@@ -72,9 +73,21 @@ def test_html(spark):
     assert apply(spark, html_text, cases) == list(cases.values())
 
 
-def test_html_equals_the_parser_without_hidden_text(spark, sf_dir):
+REFERENCES = [
+    "&eacute;&Eacute &notin; &notit; &copyright &ampere &amp;lt; &amp;#65; &AMP;x",
+    "&#65;&#x42 &#38;amp; &#38;lt; &#0; &#128;&#150;&#xD800; &#1114112; &#99999999999999999999; end",
+    "&#1;&#11;&#13;&#127;&#xFFFE;&#x1F600; &#xZZ; &# &; & && &bogus; &lt &gtx &frac12 &CounterClockwiseContourIntegral; end",
+]
+
+
+def test_references_equal_the_standard(spark):
+    assert apply(spark, decode_references, REFERENCES) == [unescape(r) for r in REFERENCES]
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_html_equals_the_parser_without_hidden_text(spark, folder):
     """On pages without scripts and styles both ways give the same text."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = table(spark, f"/root/testdata/{folder}", "pages").select(
         F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "").alias("html")
     )
     rows = pages.select(html_text(F.col("html")).alias("a"), html_text_parsed("html").alias("b")).collect()
