@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lettermill.functions.text import let
+
 # --- fixed values: month names and zone names of mail dates -----------------
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ZONES = {
@@ -49,10 +51,11 @@ def iso_instant(text: Column) -> Column:
 
 def display_date(text: Column) -> Column:
     """ISO text as ``yyyy-MM-dd HH:mm UTC``; text that is no date is kept."""
-    instant = iso_instant(text)
-    return F.coalesce(
-        F.concat(F.substring(utc_text(instant), 1, 16), F.lit(" UTC")), text
+    shown = let(
+        iso_instant(text),
+        lambda ts: F.concat(F.substring(utc_text(ts), 1, 16), F.lit(" UTC")),
     )
+    return F.coalesce(shown, text)
 
 
 def mail_date_to_iso(text: Column) -> Column:
@@ -61,25 +64,32 @@ def mail_date_to_iso(text: Column) -> Column:
     The offset ``-0000`` and a missing zone both mean an unknown zone, and
     give text without an offset.
     """
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _MAIL_DATE, group)
-
-    month = F.array_position(
-        F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))
-    ).cast("string")
-    short_year = F.when(part(3) > F.lit("68"), F.lit("19")).otherwise(F.lit("20"))
-    year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(short_year, part(3)))
+    fields = F.split(F.regexp_replace(text, _MAIL_DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
     names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    given = part(7)
-    zone = F.when(given.rlike(r"^[+-]"), given).otherwise(
-        F.coalesce(F.try_element_at(names, F.upper(given)), F.lit("-0000"))
-    )
-    local = F.concat(
-        year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"),
-        F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), F.lpad(part(6), 2, "0"),
-    )
-    offset = F.when(zone == "-0000", "").otherwise(
-        F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))
-    )
-    valid = text.rlike(_MAIL_DATE) & F.try_to_timestamp(F.concat(local, F.lit("Z"))).isNotNull()
-    return F.when(valid, F.concat(local, offset)).otherwise(text)
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def local_and_offset(parts: Column) -> Column:
+        day, month, year, hour, minute, second, given = (
+            F.get(parts, F.lit(i)) for i in range(7)
+        )
+        century = F.when(F.length(year) == 4, "").when(year > F.lit("68"), "19").otherwise("20")
+        number = F.array_position(months, F.lower(month)).cast("string")
+        zone = F.when(given.rlike(r"^[+-]"), given).otherwise(
+            F.coalesce(F.try_element_at(names, F.upper(given)), F.lit("-0000"))
+        )
+        offset = F.when(zone == "-0000", "").otherwise(
+            F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))
+        )
+        two = [F.lpad(x, 2, "0") for x in (number, day, hour, second)]
+        local = F.concat(
+            century, year, F.lit("-"), two[0], F.lit("-"), two[1], F.lit("T"),
+            two[2], F.lit(":"), minute, F.lit(":"), two[3],
+        )
+        return F.array(local, offset)
+
+    def iso(both: Column) -> Column:
+        is_date = F.try_to_timestamp(F.concat(both[0], F.lit("Z"))).isNotNull()
+        return F.when(is_date, F.concat(both[0], both[1]))
+
+    found = F.when(text.rlike(_MAIL_DATE), let(let(fields, local_and_offset), iso))
+    return F.coalesce(found, text)

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lettermill import rules
-from lettermill.functions.text import first_rule, head, or_empty, text_array
+from lettermill.functions.text import first_rule, head, or_empty, pin, text_array
 
 SMALL_ROWS = 500
-SALTS = 16
+SALTS = 64
 ANCHOR_CHARS = 3
 
 
@@ -59,9 +59,8 @@ def with_candidates(
     only the columns that are needed. A named-entity model can take this operator's place: any
     ``array<string>`` in text order will do.
     """
-    names = gazetteer.select(
-        F.col("name").alias("__name"), plain_words(F.col("name")).alias("__words")
-    ).filter(F.col("__words") != "").dropDuplicates(["__words"])
+    named = pin(gazetteer.select(F.col("name").alias("__name")), "__words", plain_words(F.col("__name")))
+    names = named.filter(F.col("__words") != "").groupBy("__words").agg(F.min("__name").alias("__name"))
     plain = texts.withColumn("__plain", plain_words(head(text, text_chars)))
 
     def order_and_name(found: Column) -> Column:
@@ -87,7 +86,9 @@ def with_candidates(
     table = names.withColumn("__anchor", F.split_part("__words", F.lit(" "), F.lit(1)))
     words = plain.select(uid, F.split("__plain", " ").alias("__w"), longest.alias("__k"))
     pieces = words.select(
-        uid, "__w", "__k", F.posexplode("__w").alias("at", "__anchor")
+        # The outer form: the other one makes Spark split every text once more to
+        # leave out empty arrays first.
+        uid, "__w", "__k", F.posexplode_outer("__w").alias("at", "__anchor")
     ).select(
         uid,
         "at",
@@ -147,7 +148,7 @@ def with_first_rule(
     starts = F.sequence(F.lit(1), F.length("__lower") - anchor + 1)
     pieces = (
         lowered.filter(F.length("__lower") >= anchor)
-        .select(uid, "__lower", F.explode(starts).alias("at"))
+        .select(uid, "__lower", F.explode_outer(starts).alias("at"))
         .select(
             uid,
             F.substring("__lower", F.col("at"), F.lit(anchor)).alias("__anchor"),

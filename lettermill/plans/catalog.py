@@ -13,7 +13,7 @@ from lettermill.functions import extract
 from lettermill.functions.dates import MONTHS, display_date, mail_date_to_iso
 from lettermill.functions.html import html_text, html_text_parsed
 from lettermill.functions.scoring import id_label, label_id, top_label
-from lettermill.functions.text import first_words, text_array
+from lettermill.functions.text import first_words, pin, text_array
 from lettermill.models.backends import label_by_scores
 from lettermill.models.fitted import apply_model, load_model, save_model, train
 from lettermill.operators import deadletter, display, events, metrics, phrases, select
@@ -152,9 +152,9 @@ def job_board_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sender_gazetteer(all_mails: DataFrame) -> DataFrame:
     """Companies that send mail, and the two the texts name."""
-    names = all_mails.select(extract.sender_company(F.col("sender")).alias("name"))
+    names = pin(all_mails.select("sender"), "name", extract.sender_company(F.col("sender")))
     named = F.explode(text_array(["Northwind", "Contoso"])).alias("name")
-    return names.filter(F.col("name") != "").distinct().union(
+    return names.filter(F.col("name") != "").select("name").distinct().union(
         all_mails.sparkSession.range(1).select(named)
     )
 

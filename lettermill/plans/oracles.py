@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from lettermill import rules, schemas
-from lettermill.functions.dates import MONTHS
 from lettermill.plans.catalog import ASOF, LABEL_WORDS, OVERSIZE_BYTES, STREAM_STAMP
 from lettermill.plans.mails import BODIES, INGESTED_AT, MINUTES, SENDERS, SUBJECTS
 
