@@ -159,6 +159,5 @@ def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
     tests. A filter is never moved below the generator that makes its column.
     """
     staged = df.withColumn("__pinned", value)
-    return staged.select(
-        *[c for c in df.columns if c != name], F.explode(F.array("__pinned")).alias(name)
-    )
+    kept = [F.col(f"`{column}`") for column in df.columns if column != name]
+    return staged.select(*kept, F.explode(F.array("__pinned")).alias(name))

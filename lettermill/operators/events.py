@@ -119,6 +119,7 @@ def order_by_source(events: DataFrame, *order: str, partitions: int | None = Non
 
     Partitions are ranges of (source, order), so one busy source fills many of
     them, and a source's events read partition after partition stay in order.
+    Finding the ranges reads the input once more: hand over a stored table.
     """
     keys = ["source", *order]
     ranged = (

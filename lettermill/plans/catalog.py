@@ -42,7 +42,8 @@ LABEL_WORDS = 400
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register a query under its function's name, without the ending that keeps names apart."""
+    QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -76,7 +77,7 @@ def classify_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def category_counts_by_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def category_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_counts(classify(mails(spark, sf_dir)))
 
 
@@ -371,7 +372,9 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = published(mails(spark, sf_dir)).select("event_id", "source", "received_at")
+    stored = work_dir(spark, "published")
+    published(mails(spark, sf_dir)).select("event_id", "source", "received_at").write.parquet(stored)
+    out = spark.read.schema("event_id string, source string, received_at string").parquet(stored)
     return events.order_by_source(out, "received_at", "event_id")
 
 
@@ -508,7 +511,7 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def first_400_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", first_words(F.col("text"), LABEL_WORDS).alias("words")
     )
@@ -577,12 +580,12 @@ def mail_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
 @query
-def html_to_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_text_parsed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text nodes by the standard parser, script and style text included."""
     return table(spark, sf_dir, "pages").select(
         "page_id", html_text_parsed("html").alias("text")

@@ -319,7 +319,7 @@ def oracles() -> dict[str, str]:
     out["classify_gate"] = _select("doc_id, category", GATE, rows="classified")
     out["classify_scores"] = _select(f"doc_id, {evidence}, category", GATE, rows="classified")
     out["classify_whole_text"] = _select("doc_id, category", WHOLE_GATE, rows="classified")
-    out["category_counts_by_mail"] = (
+    out["category_counts"] = (
         _select("category, count(*) AS mails", GATE, rows="classified") + " GROUP BY category"
     )
 
@@ -488,7 +488,7 @@ FROM embeddings"""
         f"labelled AS (SELECT doc_id, {_rejection(MAIL_TEXT)} AS label FROM mails)", rows="labelled",
     )
     words = "regexp_replace(trim(text, E' \\n\\t\\r\\f\\v'), '\\s+', ' ', 'g')"
-    out["first_400_words"] = (
+    out["first_words"] = (
         f"SELECT doc_id, array_to_string(string_split({words}, ' ')[1:{LABEL_WORDS}], ' ') AS words "
         "FROM documents"
     )
@@ -501,8 +501,8 @@ FROM embeddings"""
     shift = "CASE event_id % 4 WHEN 0 THEN INTERVAL 120 MINUTE WHEN 2 THEN INTERVAL '-450 minutes' ELSE INTERVAL 0 MINUTE END"
     out["display_dates"] = f"""SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'not a date'
   ELSE strftime(ts - {shift}, '%Y-%m-%d %H:%M') || ' UTC' END AS shown FROM events"""
-    out["html_to_text"] = f"SELECT page_id, {_html('html')} AS text FROM pages"
-    out["html_to_text_parsed"] = f"SELECT page_id, {_html_nodes('html')} AS text FROM pages"
+    out["html_text"] = f"SELECT page_id, {_html('html')} AS text FROM pages"
+    out["html_text_parsed"] = f"SELECT page_id, {_html_nodes('html')} AS text FROM pages"
     out["mail_normalise"] = f"""SELECT CAST(page_id AS VARCHAR) AS uid, 'outlook' AS source,
   CASE WHEN page_id % 4 <> 0 THEN 'Page ' || page_id ELSE '' END AS subject,
   CASE WHEN page_id % 5 <> 0 THEN url ELSE '' END AS sender,

@@ -11,8 +11,9 @@ from pyspark.sql import SparkSession
 def build_session(app: str = "lettermill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and the time zone pinned to UTC.
 
-    Partition counts are left to adaptive execution: start high, let it merge
-    small shuffle partitions and split skewed ones.
+    Give ``spark.sql.shuffle.partitions`` a few partitions per core of the
+    cluster: adaptive execution merges small ones and splits skewed ones, but
+    never makes more. A stream that drops repeats keeps the count it began with.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",

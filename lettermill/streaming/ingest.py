@@ -44,7 +44,9 @@ class Ingest:
         keyed = mails.withColumn("uid", F.col("uid").cast("string"))
         if "error" not in keyed.columns:
             keyed = keyed.withColumn("error", F.lit(None).cast("string"))
-        new = first_delivery(unseen(keyed, others), "uid").persist(StorageLevel.MEMORY_AND_DISK)
+        order = ("received_at", "subject", "sender", "body")
+        new = first_delivery(unseen(keyed, others), "uid", order)
+        new = new.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             readable = new.filter(F.col("error").isNull())
             self.publish(to_envelopes(make_events(route(classify(readable)))), batch_id)

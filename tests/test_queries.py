@@ -10,7 +10,7 @@ from check import _rows
 from tests.conftest import plan_of
 
 QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
-PYTHON = {"mime_decode", "html_to_text_parsed"}
+PYTHON = {"mime_decode", "html_text_parsed"}
 ROWS_ONLY = {"text_classifier"}
 
 
