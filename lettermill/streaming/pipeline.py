@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -47,7 +48,7 @@ class Pipeline:
     processed_at: str | None = None
     max_bytes: int = rules.MAX_MESSAGE_BYTES
     stage_dir: str | None = None
-    failures: list[str] = field(default_factory=list)
+    failures: deque[str] = field(default_factory=lambda: deque(maxlen=100))
 
     def enrich_batch(self, records: DataFrame, event_type: str) -> DataFrame:
         """Records with payload, failure reason and enriched fields, bad ones included."""
@@ -132,7 +133,10 @@ class Pipeline:
 def run(spark: SparkSession, queries: list[StreamingQuery], out_dir: str) -> dict[str, int]:
     """Wait until any query ends, stop the rest and report what was written."""
     try:
-        spark.streams.awaitAnyTermination()
+        if all(query.isActive for query in queries):
+            # Queries that ended before these were started do not count.
+            spark.streams.resetTerminated()
+            spark.streams.awaitAnyTermination()
     finally:
         for query in queries:
             query.stop()
