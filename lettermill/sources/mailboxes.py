@@ -58,7 +58,7 @@ def decode_messages(raw: DataFrame, uid: Column, source: str = "gmail") -> DataF
 
 def read_processed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids consumed so far; none before the first batch was marked."""
-    schema = "uid string, batch_id long"
+    schema = "uid string, received_at string, batch_id long"
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as exc:  # only a folder that is not there yet counts as empty
@@ -70,10 +70,14 @@ def read_processed_ids(spark: SparkSession, path: str) -> DataFrame:
 def mark_processed(mails: DataFrame, path: str, batch_id: int) -> None:
     """Record consumed ids; call it after the batch's events are written.
 
-    A batch that runs again replaces its own ids.
+    A batch that runs again replaces its own ids. The date is kept so that a
+    later batch can skip ids older than all its mail.
     """
     (
-        mails.select(F.col("uid").cast("string").alias("uid"))
+        mails.select(
+            F.col("uid").cast("string").alias("uid"),
+            or_empty(F.col("received_at")).alias("received_at"),
+        )
         .write.mode("overwrite")
         .parquet(f"{path}/batch_id={batch_id}")
     )

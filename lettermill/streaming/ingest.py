@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lettermill import rules
+from lettermill.functions.text import or_empty
 from lettermill.operators.classify import classify
 from lettermill.operators.deadletter import dead_letter_json, to_dead_letters
 from lettermill.operators.events import make_events, route, to_envelopes
@@ -39,9 +40,13 @@ class Ingest:
         Mail with an ``error`` becomes a dead letter and does not stop the rest.
         """
         processed = read_processed_ids(mails.sparkSession, self.processed_path)
-        # A batch that runs again must not find its own ids.
-        others = processed.filter(F.col("batch_id") != batch_id)
         keyed = mails.withColumn("uid", F.col("uid").cast("string"))
+        # A batch that runs again must not find its own ids. One mail has one
+        # date, so ids older than the whole batch are of no use and not read.
+        oldest = mails.agg(F.min(or_empty(F.col("received_at")))).scalar()
+        others = processed.filter(
+            (F.col("batch_id") != batch_id) & (F.col("received_at") >= oldest)
+        )
         if "error" not in keyed.columns:
             keyed = keyed.withColumn("error", F.lit(None).cast("string"))
         order = ("received_at", "subject", "sender", "body")

@@ -125,6 +125,13 @@ def test_run_waits_and_reports(spark, topics):
     assert not started[0].isActive
 
 
+def test_run_ends_with_its_query(spark, topics):
+    out = work_dir(spark, "out")
+    stream = streams(spark, topics)[rules.TOPIC_APPLICATIONS]
+    query = Pipeline(out, processed_at=STAMP).start(stream, "application", work_dir(spark, "cp"), None)
+    assert run(spark, [query], out)["applications"] > 0
+
+
 def test_dedup(spark):
     path, out = work_dir(spark, "in"), work_dir(spark, "out")
     rows = [("a", "2025-06-01T10:00:00Z"), ("a", "2025-06-01T10:05:00Z"), ("b", "someday"), ("b", "")]
@@ -175,6 +182,17 @@ def test_ingest_keeps_its_ids_when_a_batch_repeats(spark, sf_dir):
     assert topic_count(spark, out) == before
 
 
+def test_mail_without_a_date_is_published_once(spark):
+    out, processed = work_dir(spark, "pub"), work_dir(spark, "seen")
+    rows = [(str(i), "gmail", "not selected for a job", "a@x.com", d, "") for i, d in enumerate([None, "", "someday", "2025"])]
+    df = spark.createDataFrame(
+        rows, "uid string, source string, subject string, sender string, received_at string, body string"
+    )
+    for batch_id in (0, 1):
+        ingest_into(spark, out, processed).handle(df, batch_id)
+        assert topic_count(spark, out) == len(rows)
+
+
 def test_unreadable_mail_becomes_a_dead_letter(spark):
     out = work_dir(spark, "pub")
     rows = [("1", "gmail", "not selected for a job", "a@x.com", "", "", None), ("2", None, None, None, None, None, "LookupError: x")]
