@@ -176,15 +176,13 @@ def company_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def company_candidates_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gazetteer of any size against whole texts: the openings of the benchmark items."""
-    openings = table(spark, sf_dir, "benchmark").select(
-        F.array_join(F.slice(F.split(phrases.plain_words(F.col("text")), " "), 1, 2), " ").alias(
-            "name"
-        )
-    )
+    """A gazetteer of any size against whole texts: the benchmark's longer capitalised words."""
+    words = F.split(phrases.plain_words(F.col("text")), " ")
+    capitalised = F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{L}{4,}$"))
+    names = table(spark, sf_dir, "benchmark").select(F.explode_outer(capitalised).alias("name"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return phrases.with_candidates(
-        texts, openings, "doc_id", F.col("text"), text_chars=None, small_rows=0
+        texts, names, "doc_id", F.col("text"), text_chars=None, small_rows=0
     ).select("doc_id", F.array_join("org_candidates", "|").alias("candidates"))
 
 

@@ -337,9 +337,10 @@ def oracles() -> dict[str, str]:
         f"doc_id, {_board('sender', rules.INGEST_JOB_BOARDS)} AS job_board"
     )
     out["company_candidates"] = _select("doc_id, candidates", MAIL_CANDIDATES, rows="candidates")
-    opening = f"array_to_string(string_split({_plain_words('text')}, ' ')[1:2], ' ')"
+    words = f"string_split({_plain_words('text')}, ' ')"
     out["company_candidates_join"] = "WITH " + _candidates(
-        f"SELECT {opening} AS name FROM benchmark",
+        f"SELECT w AS name FROM (SELECT unnest({words}) AS w FROM benchmark) "
+        "WHERE regexp_matches(w, '^\\p{Lu}\\p{L}{4,}$')",
         f"SELECT doc_id, {_plain_words('text')} AS plain FROM documents",
     ) + " SELECT doc_id, candidates FROM candidates"
     out["entity_noise_filter"] = _select(

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from lettermill import rules
 from lettermill.operators.classify import GateRules, category_counts, classify
 
+# Known mail and the category it must get.
 CASES = [
     ("Update on your application at Acme Corp",
      "After careful consideration, we have decided not to move forward with your candidacy.",

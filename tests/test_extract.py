@@ -17,6 +17,7 @@ def apply(spark, function, values):
     return [r["out"] for r in df.select("i", function(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
+# Fixed values in the next four tests: known texts and what they must give.
 def test_rejection_types(spark):
     cases = {
         "After careful review we will not be moving forward with your application.": "hard_rejection",

@@ -13,6 +13,7 @@ from lettermill.sinks import files
 from lettermill.sinks.metrics import write_batch_metrics
 from lettermill.sources.files import count_lines, read_labelled, split_known_labels
 
+# A known batch, whose metrics are known.
 BATCH = [
     ("Stripe", "SWE", "hard_rejection", 0.9),
     ("Airbnb", "ML Eng", "soft_rejection", 0.6),
