@@ -2,8 +2,9 @@
 
 A short table becomes literals of the plan and needs no shuffle; at most
 ``small_rows`` rows of it are fetched to find out. A longer table is joined on
-an anchor, the start of each phrase, with both sides salted; no pair of text
-and phrase is formed without a shared anchor.
+an anchor, the start of each phrase; no pair of text and phrase is formed
+without a shared anchor. Its rows and bytes are checked: within bounds it is
+broadcast, beyond them both sides are salted and shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from lettermill import rules
 from lettermill.functions.text import first_rule, head, or_empty, pin, text_array
 
 SMALL_ROWS = 500
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 64
 ANCHOR_CHARS = 3
 
@@ -30,17 +33,31 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(or_empty(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _join_on_anchor(pieces: DataFrame, table: DataFrame, uid: str) -> DataFrame:
+def _fits_broadcast(table: DataFrame, rows: int, text: str) -> bool:
+    """Whether a table is within both bounds; at most one row too many is read."""
+    if not rows:
+        return False
+    found = table.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")
+    ).first()
+    return found["rows"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def _join_on_anchor(
+    pieces: DataFrame, table: DataFrame, uid: str, text: str, broadcast_rows: int
+) -> DataFrame:
     """Pieces of text with the table rows that share their anchor.
 
-    A frequent word may be the anchor of a third of all pieces: its pieces are
-    spread over ``SALTS`` tasks by text id, each holding its table rows.
+    A frequent word may be the anchor of a third of all pieces. Where the table
+    is shuffled, such pieces are spread over ``SALTS`` tasks by text id, each
+    holding its own copy of the anchor's rows; the hint keeps the copies from
+    being broadcast.
     """
+    if _fits_broadcast(table, broadcast_rows, text):
+        return pieces.join(F.broadcast(table), "__anchor")
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(uid), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    return salted.join(copies, ["__anchor", "__salt"]).drop("__salt")
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("merge"), ["__anchor", "__salt"]).drop("__salt")
 
 
 def with_candidates(
@@ -50,14 +67,15 @@ def with_candidates(
     text: Column,
     text_chars: int | None = rules.ENTITY_TEXT_CHARS,
     small_rows: int = SMALL_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
     out: str = "org_candidates",
 ) -> DataFrame:
     """Add the gazetteer names found in each text, in text order, longest first at a place.
 
     ``gazetteer`` has one column ``name``. Names match as whole words and with
     their case. A long gazetteer joins the texts back by ``uid``, so hand over
-    only the columns that are needed. A named-entity model can take this operator's place: any
-    ``array<string>`` in text order will do.
+    only the columns that are needed. A named-entity model can take this
+    operator's place: any ``array<string>`` in text order will do.
     """
     named = pin(gazetteer.select(F.col("name").alias("__name")), "__words", plain_words(F.col("__name")))
     names = named.filter(F.col("__words") != "").groupBy("__words").agg(F.min("__name").alias("__name"))
@@ -97,7 +115,7 @@ def with_candidates(
             F.array_join(F.slice("__w", F.col("at") + 1, F.col("__k")), " "), F.lit(" ")
         ).alias("__rest"),
     )
-    hits = _join_on_anchor(pieces, table, uid).filter(
+    hits = _join_on_anchor(pieces, table, uid, "__words", broadcast_rows).filter(
         F.startswith("__rest", F.concat("__words", F.lit(" ")))
     )
     found = hits.groupBy(uid).agg(
@@ -121,6 +139,7 @@ def with_first_rule(
     text: Column,
     default: str,
     small_rows: int = SMALL_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
     out: str = "job_board",
 ) -> DataFrame:
     """Add the value of the first rule, by priority, whose keyword occurs in the text.
@@ -157,7 +176,7 @@ def with_first_rule(
     )
     anchored = table.withColumn("__anchor", F.substring("__keyword", 1, anchor))
     found = (
-        _join_on_anchor(pieces, anchored, uid)
+        _join_on_anchor(pieces, anchored, uid, "__keyword", broadcast_rows)
         .filter(F.startswith("__rest", F.col("__keyword")))
         .groupBy(uid)
         .agg(F.min_by("__value", F.struct("priority", "__keyword")).alias("__found"))

@@ -144,10 +144,11 @@ def job_board_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def job_board_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the anchor join that serves rule tables of any size."""
+    """The same by the salted join that serves rule tables of any size."""
     return phrases.with_first_rule(
         mails(spark, sf_dir).select("doc_id", "sender"),
         _board_table(spark), "doc_id", F.col("sender"), rules.DEFAULT_BOARD, small_rows=0,
+        broadcast_rows=0,
     ).select("doc_id", "job_board")
 
 
@@ -174,18 +175,29 @@ def company_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def company_candidates_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gazetteer of any size against whole texts: the benchmark's longer capitalised words."""
+def _benchmark_candidates(spark: SparkSession, sf_dir: str, **bounds: int) -> DataFrame:
+    """The benchmark's longer capitalised words, looked up in whole texts."""
     words = F.split(phrases.plain_words(F.col("text")), " ")
     capitalised = F.filter(words, lambda w: w.rlike(r"^\p{Lu}\p{L}{4,}$"))
     names = table(spark, sf_dir, "benchmark").select(F.explode_outer(capitalised).alias("name"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return phrases.with_candidates(
-        texts, names, "doc_id", F.col("text"), text_chars=None, small_rows=0
+        texts, names, "doc_id", F.col("text"), text_chars=None, small_rows=0, **bounds
     ).select("doc_id", F.array_join("org_candidates", "|").alias("candidates"))
 
 
+@query
+def company_candidates_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer too long for literals: a broadcast join if it is within bounds."""
+    return _benchmark_candidates(spark, sf_dir)
+
+
+@query
+def company_candidates_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the salted join that serves gazetteers of any size."""
+    return _benchmark_candidates(spark, sf_dir, broadcast_rows=0)
+
+
 @query
 def entity_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first usable candidate, else the sender's company."""

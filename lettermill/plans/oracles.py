@@ -343,6 +343,7 @@ def oracles() -> dict[str, str]:
         "WHERE regexp_matches(w, '^\\p{Lu}\\p{L}{4,}$')",
         f"SELECT doc_id, {_plain_words('text')} AS plain FROM documents",
     ) + " SELECT doc_id, candidates FROM candidates"
+    out["company_candidates_join_large"] = out["company_candidates_join"]
     out["entity_noise_filter"] = _select(
         f"doc_id, {NAMED_COMPANY} AS company_name", MAIL_CANDIDATES, FIRST_CANDIDATE,
         rows="first_names",

@@ -100,14 +100,18 @@ def test_latest(spark):
 NAMES = ["Acme", "Acme Corp", "Blue Sky Inc.", "O'Neil", "the", "Zürich AG"]
 
 
-def candidate_rows(spark, small_rows, names=NAMES):
+# Literals, broadcast join, salted join.
+WAYS = [(500, 0), (0, 1000), (0, 0)]
+
+
+def candidate_rows(spark, small_rows, broadcast_rows, names=NAMES):
     rng = random.Random(7)
     words = ["Acme", "Corp", "Blue", "Sky", "Inc", "O", "Neil", "the", "Zürich", "AG", "x", "Acmes"]
     texts = [(i, " ".join(rng.choice(words) + rng.choice(["", ",", ".", "'"]) for _ in range(12))) for i in range(200)]
     texts += [(900, ""), (901, None), (902, "Acme " * 50)]
     df = spark.createDataFrame(texts, "i int, t string")
     table = spark.createDataFrame([(n,) for n in names], "name string")
-    out = phrases.with_candidates(df, table, "i", F.col("t"), small_rows=small_rows)
+    out = phrases.with_candidates(df, table, "i", F.col("t"), small_rows=small_rows, broadcast_rows=broadcast_rows)
     return dict(texts), {r["i"]: r["org_candidates"] for r in out.collect()}
 
 
@@ -123,33 +127,47 @@ def brute_candidates(text, names=NAMES):
     return [n for _, _, n in sorted(found)]
 
 
-@pytest.mark.parametrize("small_rows", [500, 0])
-def test_candidates_equal_brute_force(spark, small_rows):
-    texts, found = candidate_rows(spark, small_rows)
+@pytest.mark.parametrize("way", WAYS)
+def test_candidates_equal_brute_force(spark, way):
+    texts, found = candidate_rows(spark, *way)
     assert found == {i: brute_candidates(t) for i, t in texts.items()}
 
 
-@pytest.mark.parametrize("small_rows", [500, 0])
-def test_empty_gazetteer(spark, small_rows):
-    _, found = candidate_rows(spark, small_rows, names=["--"])
+@pytest.mark.parametrize("way", WAYS)
+def test_empty_gazetteer(spark, way):
+    _, found = candidate_rows(spark, *way, names=["--"])
     assert set(map(tuple, found.values())) == {()}
 
 
-def test_long_table_is_joined_on_its_anchor(spark):
+def test_joins_by_size(spark):
     df = spark.createDataFrame([(1, "Acme")], "i int, t string")
+    table = spark.createDataFrame([("Acme",), ("Blue",)], "name string")
+
+    def plan(broadcast_rows):
+        return plan_of(
+            phrases.with_candidates(df, table, "i", F.col("t"), small_rows=0, broadcast_rows=broadcast_rows)
+        )
+
+    for rows in (0, 1, 2):
+        assert "CartesianProduct" not in plan(rows) and "NestedLoop" not in plan(rows)
+    assert "BroadcastHashJoin [__anchor" in plan(2)
+    # One row over the bound: shuffled and salted.
+    assert "SortMergeJoin [__anchor" in plan(1) and "__salt" in plan(1)
+
+
+def test_long_entries_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BROADCAST_BYTES", 3)
     table = spark.createDataFrame([("Acme",)], "name string")
-    out = phrases.with_candidates(df, table, "i", F.col("t"), small_rows=0)
-    plan = plan_of(out)
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "__anchor" in plan
+    assert not phrases._fits_broadcast(table, 10, "name")
 
 
-@pytest.mark.parametrize("small_rows", [500, 0])
-def test_first_rule_of_a_table(spark, small_rows):
+@pytest.mark.parametrize("way", WAYS)
+def test_first_rule_of_a_table(spark, way):
     rows = [(2, "ab", "second"), (1, "abcd", "first"), (3, "zz top", "third"), (0, "", "never")]
     table = spark.createDataFrame(rows, "priority int, keyword string, value string")
     texts = ["xABx", "abcde", "a", "", None, "a zz top b", "zz abcd"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    out = phrases.with_first_rule(df, table, "i", F.col("t"), "none", small_rows=small_rows)
+    out = phrases.with_first_rule(df, table, "i", F.col("t"), "none", *way)
     assert [r["job_board"] for r in out.orderBy("i").collect()] == [
         "second", "first", "none", "none", "none", "third", "first",
     ]
