@@ -735,15 +735,20 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated deliveries through the deduplicating stream."""
     topics, out_dir = work_dir(spark, "deliveries"), work_dir(spark, "deduplicated")
-    schema = "event_id string, received_at string, ingested_at string"
+    schema = "event_id string, received_at string, ingested_at string, offset long"
     (
         _deliveries(spark, sf_dir)
-        .select("event_id", "received_at", F.col("received_at").alias("ingested_at"))
+        .select(
+            "event_id",
+            "received_at",
+            F.col("received_at").alias("ingested_at"),
+            (F.col("doc_id") * 3 + F.col("attempt")).alias("offset"),
+        )
         .write.parquet(topics)
     )
     deliveries = spark.readStream.schema(schema).parquet(topics)
     started = (
-        dedup_stream(deliveries, "3650 days")
+        dedup_stream(deliveries, "3650 days", spread=F.col("offset"))
         .select("event_id")
         .writeStream.format("parquet")
         .option("path", out_dir)

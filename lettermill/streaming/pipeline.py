@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -167,15 +167,26 @@ def read_dead_letters(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.schema(schemas.DEAD_LETTER).json(f"{out_dir}/dead_letters")
 
 
-def dedup_stream(events: DataFrame, delay: str = "1 hour", key: str = "event_id") -> DataFrame:
+def dedup_stream(
+    events: DataFrame,
+    delay: str = "1 hour",
+    key: str = "event_id",
+    spread: Column | None = None,
+    salts: int = 32,
+) -> DataFrame:
     """Drop repeats of an event that arrive within the delay.
 
     Only ids inside the watermark are held as state. An unreadable date falls
     back to the time of ingest, because the watermark needs a time.
+
+    A stream has no partial step before its shuffle, so all copies of one event
+    meet in one task. With ``spread``, a column that differs between copies,
+    such as the offset, copies are first dropped in ``salts`` separate slices,
+    and at most that many of each event go on to the final step.
     """
     when = F.coalesce(iso_instant(F.col("received_at")), iso_instant(F.col("ingested_at")))
-    return (
-        events.withColumn("received_ts", when)
-        .withWatermark("received_ts", delay)
-        .dropDuplicatesWithinWatermark([key])
-    )
+    timed = events.withColumn("received_ts", when).withWatermark("received_ts", delay)
+    if spread is not None:
+        sliced = timed.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+        timed = sliced.dropDuplicatesWithinWatermark([key, "__salt"]).drop("__salt")
+    return timed.dropDuplicatesWithinWatermark([key])

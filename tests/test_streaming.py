@@ -132,17 +132,24 @@ def test_run_ends_with_its_query(spark, topics):
     assert run(spark, [query], out)["applications"] > 0
 
 
-def test_dedup(spark):
+@pytest.mark.parametrize("spread", [None, "offset"])
+def test_dedup(spark, spread):
+    """One event has most of the copies; two events have unreadable dates."""
     path, out = work_dir(spark, "in"), work_dir(spark, "out")
     rows = [("a", "2025-06-01T10:00:00Z"), ("a", "2025-06-01T10:05:00Z"), ("b", "someday"), ("b", "")]
-    df = spark.createDataFrame(rows, "event_id string, received_at string")
-    df.withColumn("ingested_at", F.lit("2025-06-01T10:00:00Z")).write.parquet(path)
-    stream = spark.readStream.schema("event_id string, received_at string, ingested_at string").parquet(path)
+    rows += [("hot", f"2025-06-01T10:{i % 30:02d}:00Z") for i in range(300)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "event_id string, received_at string, offset long")
+    df.withColumn("ingested_at", F.lit("2025-06-01T10:00:00Z")).repartition(4).write.parquet(path)
+    stream = (
+        spark.readStream.schema("event_id string, received_at string, offset long, ingested_at string")
+        .option("maxFilesPerTrigger", 2).parquet(path)
+    )
+    kept = dedup_stream(stream, spread=None if spread is None else F.col(spread), salts=4)
     (
-        dedup_stream(stream).writeStream.format("parquet").option("path", out)
+        kept.writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", work_dir(spark, "cp")).trigger(availableNow=True).start()
     ).awaitTermination()
-    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "hot"]
 
 
 def ingest_into(spark, publish_dir, processed):
