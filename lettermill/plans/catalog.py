@@ -20,7 +20,7 @@ from lettermill.operators import deadletter, display, events, metrics, phrases,
 from lettermill.operators.classify import category_counts, classify
 from lettermill.operators.enrich import enrich
 from lettermill.plans.mails import mails, published, records, table
-from lettermill.session import work_dir
+from lettermill.session import state_session, work_dir
 from lettermill.sinks import files
 from lettermill.sources.mailboxes import decode_messages, normalise_messages
 from lettermill.sources.topics import stream_topic_files, write_topic_files
@@ -746,7 +746,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .write.parquet(topics)
     )
-    deliveries = spark.readStream.schema(schema).parquet(topics)
+    deliveries = state_session(spark).readStream.schema(schema).parquet(topics)
     started = (
         dedup_stream(deliveries, "3650 days", spread=F.col("offset"))
         .select("event_id")

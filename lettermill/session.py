@@ -34,6 +34,22 @@ def build_session(app: str = "lettermill", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def state_session(spark: SparkSession, per_core: int = 2) -> SparkSession:
+    """A session for a stream with state, with state partitions to match the cores.
+
+    Each batch opens every state partition, and their number stays what it was
+    when the stream first started.
+    """
+    session = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.checkpoint.dir"):
+        value = spark.conf.get(key, None)
+        if value is not None and session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", str(per_core * cores))
+    return session
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
