@@ -21,8 +21,10 @@ def threshold(one_in: int = ONE_IN) -> str:
     return f"{(1 << 4 * DIGITS) // one_in:0{DIGITS}x}"
 
 
-def _hash(words: Column, at: Column, size: Column) -> Column:
-    return F.substring(F.md5(F.concat_ws(" ", F.slice(words, at, size))), 1, DIGITS)
+def _hash(split: Column, at: Column, words: int) -> Column:
+    """MD5 of the shingle at a place counted from 0."""
+    parts = [x for k in range(words) for x in (F.lit(" "), F.get(split, at + k))]
+    return F.md5(F.concat(*parts[1:]))
 
 
 def sketch(text: Column, words: int = WORDS, one_in: int = ONE_IN) -> Column:
@@ -38,16 +40,14 @@ def sketch(text: Column, words: int = WORDS, one_in: int = ONE_IN) -> Column:
     bound = threshold(one_in)
 
     def of(split: Column) -> Column:
-        size = F.least(F.lit(words), F.size(split))
-        places = F.when(
-            F.size(split) > 0, F.sequence(F.lit(1), F.size(split) - size + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        low = F.filter(places, lambda i: _hash(split, i, size) < bound)
-        kept = F.array_sort(F.array_distinct(F.transform(low, lambda i: _hash(split, i, size))))
-        least = F.array_min(F.transform(places, lambda i: _hash(split, i, size)))
-        return F.when(F.size(split) == 0, F.array().cast("array<string>")).otherwise(
-            let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(least)))
-        )
+        n = F.size(split)
+        places = F.sequence(F.lit(0), n - words)
+        cut = lambda h: F.substring(h, 1, DIGITS)
+        low = F.filter(places, lambda i: _hash(split, i, words) < bound)
+        kept = F.array_sort(F.array_distinct(F.transform(low, lambda i: cut(_hash(split, i, words)))))
+        least = F.array(cut(F.array_min(F.transform(places, lambda i: _hash(split, i, words)))))
+        few = F.when(n > 0, F.array(cut(F.md5(F.concat_ws(" ", split))))).otherwise(F.array().cast("array<string>"))
+        return F.when(n < words, few).otherwise(let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(least)))
 
     return let(F.filter(F.split(text, SPACES), lambda w: w != ""), of)
 

@@ -153,6 +153,7 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
     quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
     cat = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     uuid = F.concat_ws("-", *[F.substring(hex32, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    octet = lambda bits: F.pmod(F.shiftright("seed", bits), F.lit(256)).cast("string")
     kinds = [
         (1, cat("token = ", quoted(hex40))),
         (1, cat("TOKEN = ", quoted(F.upper(hex40)))),
@@ -176,7 +177,8 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
         (0, cat('token = "', F.repeat(number(4, 1), 20), '"')),
         (0, cat('api_key = "your-api-key-here-', number(3, 2), '"')),
         (0, cat("password = ", word(4), "_", word(8), "_password")),
-        (0, cat(number(3, 2), ".", number(5, 3), ".", number(4, 3), ".", number(6, 3))),
+        (0, cat(octet(0), ".", octet(8), ".", octet(16), ".", octet(24))),
+        (0, cat("2", octet(5).substr(2, 2), ".2", octet(12).substr(2, 2), ".1", octet(20).substr(2, 2), ".1", octet(28))),
         (0, cat(word(1), F.lower(word(9)), number(3, 1), F.lower(word(10)))),
     ]
     pick = F.pmod(F.col("seed"), F.lit(len(kinds))).cast("int")

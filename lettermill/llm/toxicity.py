@@ -18,7 +18,8 @@ from lettermill.llm.samples import is_held_out, labelled_sample
 SLOTS = 1 << 20
 FACTORS = 4
 SAMPLE = 8000
-LEAST_TEXTS = 4
+LEAST_TEXTS = 5
+LEAST_Z = 2.5
 PREDICT_AT = 0.3
 REMEMBERED = 300_000
 _WORD = re.compile(r"\w+")
@@ -55,24 +56,28 @@ class FactorModel:
 
 def fit_factors(
     texts: list[str], labels: np.ndarray, factors: int = FACTORS, least_texts: int = LEAST_TEXTS,
-    epochs: int = 12, batch: int = 64, rate: float = 0.1, lasso: float = 2e-5, ridge: float = 1e-4, seed: int = 11,
+    least_z: float = LEAST_Z, epochs: int = 15, batch: int = 64, rate: float = 0.1, ridge: float = 1e-4, seed: int = 11,
 ) -> FactorModel:
-    """Logistic loss by AdaGrad with soft thresholds on weights.
+    """Logistic loss by AdaGrad.
 
     A text's score is the bias, the weights of its terms, and the products of
     the factors of every two of its terms; a term's weight and factors are the
-    sums over its slots. Slots in fewer than ``least_texts`` texts are not
-    used. With labels of one kind only, or none, every score is their share.
+    sums over its slots. Slots are used that are in ``least_texts`` texts and
+    whose share of texts differs between the labels by ``least_z`` standard
+    errors; without that the few labelled texts would be learned by heart. With labels of one kind only, or none, every score is their share.
     """
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return FactorModel(30.0 if share else -30.0, {}, np.zeros((1, factors + 1), np.float32))
     found = [[term_slots(t) for t in sorted(terms(text))] for text in texts]
-    seen: dict[int, int] = {}
-    for text in found:
-        for s in {s for slots in text for s in slots}:
-            seen[s] = seen.get(s, 0) + 1
-    rows = {s: k for k, s in enumerate(sorted(s for s, n in seen.items() if n >= least_texts), 1)}
+    seen = np.zeros((2, SLOTS), np.int64)
+    for text, label in zip(found, labels, strict=True):
+        seen[int(label), np.unique([s for slots in text for s in slots]).astype(np.int64)] += 1
+    n = np.array([[len(labels) - labels.sum()], [labels.sum()]])
+    mean = seen.sum(0) / len(labels)
+    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(mean * (1 - mean) * (1 / n).sum(), 1e-12))
+    chosen = np.flatnonzero((seen.sum(0) >= least_texts) & (np.abs(z) >= least_z))
+    rows = {int(s): k for k, s in enumerate(chosen, 1)}
     packed = []
     for text in found:
         kept = [[rows[s] for s in slots if s in rows] for slots in text]
@@ -106,12 +111,9 @@ def fit_factors(
             used, place = np.unique(slots, return_inverse=True)
             spread = np.repeat(by_term, sizes, axis=0)
             g = np.stack([np.bincount(place, spread[:, c], len(used)) for c in range(factors + 1)], 1)
-            g[:, 1:] += ridge * table[used, 1:] / len(order)
+            g += ridge * table[used]
             squares[used] += g * g
-            step = rate / np.sqrt(squares[used])
-            table[used] -= step * g
-            w = table[used, 0]
-            table[used, 0] = np.sign(w) * np.maximum(np.abs(w) - step[:, 0] * lasso, 0)
+            table[used] -= rate * g / np.sqrt(squares[used])
             bias_square += error.sum() ** 2
             bias -= rate * error.sum() / np.sqrt(bias_square)
     return FactorModel(bias, rows, table.astype(np.float32))
