@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lettermill.llm import fingerprints, queries, urls
+from tests.llm.helpers import DOCS, ODD, documents, rows_of, texts_of
+
+BOUND = 2**64 // fingerprints.ONE_IN
+
+
+def plain_sketch(text: str, words: int = 5) -> list[str]:
+    found = [w for w in re.split(r"[\x09-\x0D\x20]+", text) if w]
+    size = min(words, len(found))
+    hashes = {hashlib.md5(" ".join(found[k : k + size]).encode()).hexdigest()[:16] for k in range(len(found) - size + 1) if size}
+    return sorted(h for h in hashes if int(h, 16) < BOUND) or sorted(hashes)[:1]
+
+
+def plain_rows(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    texts = [(i, t or "") for i, t in rows]
+    order = sorted((r for r in texts if r[0] is not None), key=lambda r: (-r[0], r[1]))
+    following = [*order[1:], *order[:1]] if order else []
+    pairs = [*zip(order, following, strict=True), *((r, r) for r in texts if r[0] is None)]
+    out = []
+    for (i, text), (_, after) in pairs:
+        cut = len(text) // 3
+        changed = text[: len(text) - cut] + after[:cut]
+        out.append((i, len(text), hashlib.sha256(changed.encode()).hexdigest(), plain_sketch(text), plain_sketch(changed), plain_sketch(after)))
+    return out
+
+
+def alike(a, b) -> float:
+    return round(len({*a} & {*b}) / len({*a} | {*b}), 6) if a or b else 1.0
+
+
+def query_rows(df) -> list[tuple]:
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return rows_of(df.select(*columns))
+
+
+def expected_rows(rows) -> list[tuple]:
+    return sorted(((i, n, sha, ",".join(s), ",".join(e), alike(s, e), alike(s, x)) for i, n, sha, s, e, x in plain_rows(rows)), key=repr)
+
+
+def test_query_equals_the_plain_rule(spark, sf_dir):
+    assert query_rows(queries.op1_document_fingerprints(spark, sf_dir)) == expected_rows(list(texts_of(sf_dir).items()))
+
+
+@pytest.mark.parametrize("slices", [1, 3, 50])
+def test_odd_rows_in_slices(spark, slices):
+    rows = [*ODD, *((k, f"text {k} " * (k % 7)) for k in range(100, 140)), (-5, "negative id 𝔘𝔫𝔦 code points")]
+    docs = documents(spark, rows, "mark")
+    found = fingerprints.with_next(docs, lambda t: fingerprints.sketch(t), slices)
+    pairs = sorted(((r["doc_id"], r["text"], r["next_text"], r["mark"], r["next_mark"]) for r in found.collect()), key=repr)
+    texts = [(i, t or "") for i, t in rows]
+    order = sorted((r for r in texts if r[0] is not None), key=lambda r: (-r[0], r[1]))
+    expected = [(i, t, n, plain_sketch(t), plain_sketch(n)) for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True)]
+    expected += [(None, t, t, plain_sketch(t), plain_sketch(t)) for i, t in texts if i is None]
+    assert pairs == sorted(expected, key=repr)
+
+
+def test_empty_table_and_one_row(spark):
+    assert fingerprints.edit_probe(spark.createDataFrame([], DOCS)).count() == 0
+    row = fingerprints.edit_probe(documents(spark, [(1, "abcdef")])).first()
+    assert row["edited"] == "abcdab"
+
+
+def test_sketches_merge_and_show_containment(spark):
+    part = " ".join(f"w{k}" for k in range(400))
+    whole = part + " " + " ".join(f"v{k}" for k in range(4000))
+    frame = spark.createDataFrame([(part, whole)], "part string, whole string").select(
+        fingerprints.sketch(F.col("part")).alias("p"), fingerprints.sketch(F.col("whole")).alias("w")
+    )
+    row = frame.select(
+        fingerprints.containment(F.col("p"), F.col("w")).alias("c"), fingerprints.resemblance(F.col("p"), F.col("w")).alias("r"),
+        fingerprints.merge(F.col("p"), F.col("w")).alias("m"), "p", "w",
+    ).first()
+    assert row["c"] == 1.0 and row["r"] < 0.2
+    assert row["m"] == sorted({*row["p"], *row["w"]})
+
+
+def test_no_python_in_native_plans(spark, sf_dir):
+    for name in ("op1_document_fingerprints", "op7_url_filter"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Cartesian|NestedLoop", plan), name
+
+
+URLS = [
+    (1, "http://A.Example.COM/en/x?y#z"), (2, "https://www.example.com/en/1"), (3, "https://m.spam-farm.example.org/p.html"),
+    (4, "no host"), (5, None), (6, "ftp://x.net/fr/a://b"), (7, "http://x.net?fr"), (8, "http://notcom/en/"), (9, "http://"),
+    (10, ""), (11, "http://com"), (12, "http://net/es/"), (12, "http://net/es/"), (None, "http://spam-farm.example.org/p/"),
+]
+
+
+def test_hosts_paths_and_rules(spark):
+    pages = spark.createDataFrame([(i, u, "kept") for i, u in URLS], "page_id long, url string, listed string")
+    rows = {(r["page_id"], r["host"]): r for r in urls.judge_urls(pages, queries.listed_pages(pages), queries.URL_RULES).collect()}
+    told = {k: (r["path"], r["rule"], r["verdict"]) for k, r in rows.items()}
+    assert told == {
+        (1, "a.example.com"): ("/en/x", "example.com/en/", "block"),
+        (2, "www.example.com"): ("/en/1", "www.example.com/en/", "allow"),
+        (3, "m.spam-farm.example.org"): ("/p.html", None, "block"),
+        (4, ""): ("", None, "allow"), (5, ""): ("", None, "allow"), (6, "x.net"): ("/fr/a://b", "net/fr/", "block"),
+        (7, "x.net"): ("", None, "allow"), (8, "notcom"): ("/en/", None, "allow"), (9, ""): ("", None, "allow"),
+        (10, ""): ("", None, "allow"), (11, "com"): ("", None, "allow"), (12, "net"): ("/es/", "net/es/", "block"),
+        (None, "spam-farm.example.org"): ("/p/", None, "block"),
+    }
+    empty = pages.limit(0)
+    assert urls.judge_urls(empty, queries.listed_pages(empty), queries.URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_filter_has_no_false_negatives_and_join_no_false_positives(spark, broadcast_bytes):
+    listed = spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("key")).union(spark.createDataFrame([(None,)], "key string"))
+    rows = spark.range(6000).select("id", F.lit(1).alias("url_key"), F.concat(F.lit("k"), F.col("id") - 2000).alias("k"))
+    found = urls.listed_urls(rows, F.col("k"), listed, broadcast_bytes=broadcast_bytes)
+    assert found.columns == ["id", "url_key", "k", "listed"]
+    assert {r["id"] for r in found.filter("listed").collect()} == set(range(2000, 4000)) and found.count() == 6000
+    assert urls.listed_urls(rows, F.col("k"), listed.limit(0)).filter("listed").count() == 0
+
+
+def test_filter_stops_most_of_what_is_not_listed(spark):
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("key"))
+    blocks = -(-4000 * urls.BITS_EACH // urls.BLOCK_BITS)
+    filter_ = urls.bloom(keys, blocks)
+    others = spark.range(10_000, 30_000).select(F.col("id").cast("string").alias("key"))
+    marked = others.withColumn("block", urls._block(F.col("key"), blocks)).join(filter_, "block")
+    passes = F.lit(True)
+    for w, mark in enumerate(urls._marks(F.col("key"), urls.HASHES)):
+        passes = passes & (F.col(f"w{w}").bitwiseAND(mark) == mark)
+    assert marked.filter(passes).count() < 0.01 * 20_000
