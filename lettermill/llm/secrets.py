@@ -17,7 +17,7 @@ SAMPLE = 6000
 SECRET_AT = 0.5
 MASK = "[SECRET]"
 SPACES = r"[\x09-\x0D\x20]+"
-_VALUE = rf"(?:^|[^A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{{{SHORTEST},}}={{0,2}})"
+_VALUE = rf"(?:^|[^A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{{{SHORTEST - 1},}}[A-Za-z0-9+/_]={{0,2}})"
 _NAMES = r"token|secret|passw|pwd|api.?key|auth|credential|private|access|signature|bearer"
 _HARMLESS = (
     r"commit|revision|checksum|digest|sha\d*|md5|hash|uuid|guid|build|version|example|sample|dummy|test|"
