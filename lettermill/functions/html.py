@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +16,15 @@ WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”
 # --- end of fixed values ----------------------------------------------------
 
 _GAP = "\u0001"
-_HIDDEN = "|".join(rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style"))
-_MARKUP = rf"(?is)<(?:!--.*?-->|{_HIDDEN}|/?[a-z][^>]*>|[!?][^>]*>)"
+_KEPT = "\u0002"
+# The inside of a tag up to its end: a value in quotes may hold ">". What is not closed
+# reaches to the end of the text, as in a browser; so nothing is searched twice. The
+# matcher recurses once a value, so beyond some hundred the plain rule holds.
+_INSIDE = r"""(?:(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+){0,400}+(?:>|\z)|[^>]*+(?:>|\z))"""
+_HIDDEN_TAG = rf"<(?:script|style)\b{_INSIDE}"
+_HIDDEN = "|".join(rf"{tag}\b{_INSIDE}(?:.*?</{tag}\s*+>|.*+)" for tag in ("script", "style"))
+_TAG = rf"!--(?:.*?-->|.*+)|/?[a-z]{_INSIDE}|[!?][^>]*+(?:>|\z)"
+_MARKUP = rf"(?is)<(?:{_HIDDEN}|{_TAG})"
 
 # The standard's named references: most end in a semicolon, old ones need none.
 _CLOSED = {name: char for name, char in html5.items() if name.endswith(";")}
@@ -115,31 +119,31 @@ def decode_references(text: Column) -> Column:
     return F.replace(let(waiting, decode), F.lit(_GAP), F.lit("&"))
 
 
-def html_text(html: Column) -> Column:
-    """Text nodes joined by one space, without scripts, styles and comments."""
-    marked = F.regexp_replace(F.regexp_replace(html, _MARKUP, _GAP), f"{_GAP}+", _GAP)
-    return decode_references(F.replace(F.btrim(marked, F.lit(_GAP)), F.lit(_GAP), F.lit(" ")))
-
-
-class _TextNodes(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.nodes: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self.nodes.append(data)
+def html_text(html: Column, keep_hidden: bool = False) -> Column:
+    """Text nodes joined by one space, without comments.
 
+    Scripts and styles are left out, or with ``keep_hidden`` stay as they are
+    written, as text nodes of their own.
+    """
+    if not keep_hidden:
+        marked = F.regexp_replace(F.regexp_replace(html, _MARKUP, _GAP), f"{_GAP}+", _GAP)
+        return decode_references(F.replace(F.btrim(marked, F.lit(_GAP)), F.lit(_GAP), F.lit(" ")))
+    pieces = F.regexp_extract_all(html, F.lit(rf"{_MARKUP}|[^<]++|<"), F.lit(0))
+
+    def node(piece: Column) -> Column:
+        inside = F.regexp_replace(piece, rf"(?is)^{_HIDDEN_TAG}|</(?:script|style)\s*+>\z", "")
+        hidden = piece.rlike(rf"(?is)^{_HIDDEN_TAG}")
+        # Their ampersands wait, as they begin no reference.
+        return (
+            F.when(hidden, F.replace(inside, F.lit("&"), F.lit(_KEPT)))
+            .when(piece.rlike(r"(?is)^<[a-z/!?]"), "")
+            .otherwise(piece)
+        )
 
-def _all_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _TextNodes()
-    parser.feed(html)
-    return " ".join(parser.nodes)
+    nodes = F.filter(F.transform(pieces, node), lambda n: n != "")
+    return F.replace(decode_references(F.array_join(nodes, " ")), F.lit(_KEPT), F.lit("&"))
 
 
-@F.pandas_udf(T.StringType())
-def html_text_parsed(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All text nodes as the standard parser sees them, scripts and styles too."""
-    for page in pages:
-        yield page.map(_all_text, na_action="ignore")
+def html_text_parsed(html: Column) -> Column:
+    """All text nodes, those of scripts and styles too."""
+    return html_text(html, keep_hidden=True)

@@ -23,15 +23,19 @@ log = logging.getLogger(__name__)
 
 RULES, SCORED, FITTED = "rules", "scored", "fitted"
 BACKENDS = (RULES, SCORED, FITTED)
+OLDER_NAMES = {"zero_shot": SCORED, "finetuned": FITTED}
 
 Labeller = Callable[[DataFrame, str, str], DataFrame]
 Scorer = Callable[[DataFrame, str, str], DataFrame]
 
 
 def backend_name(given: str | None) -> str:
-    """A known backend; anything else means rules."""
+    """A known backend, also by its older name; anything else means rules, with a warning."""
     name = (given or "").strip().lower()
-    return name if name in (SCORED, FITTED) else RULES
+    name = OLDER_NAMES.get(name, name)
+    if name and name not in BACKENDS:
+        log.warning("no backend is called %r, using rules", given)
+    return name if name in BACKENDS else RULES
 
 
 def label_by_rules(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -66,20 +70,23 @@ def label_by_scores(
     scorer: Scorer = pattern_scores,
     labels: Sequence[str] = tuple(rules.REJECTION_LABELS),
     threshold: float = rules.LABEL_THRESHOLD,
-    words: int | None = rules.CLASSIFIER_WORDS,
+    words: int | None = None,
+    score: str | None = None,
 ) -> Labeller:
     """A labeller from a scorer, which adds one score per label in label order.
 
-    The scorer sees the first words of the text, and null for blank text, which
-    is labelled unknown.
+    The scorer sees the words of the text (the first ``words`` if given), and null
+    for blank text, which is labelled unknown. ``score`` names a column for the best
+    label's score, null for blank text.
     """
     def label(df: DataFrame, text: str, out: str) -> DataFrame:
         short = F.nullif(first_words(F.col(text), words), F.lit(""))
         scored = scorer(df.withColumn("__short", short), "__short", "__scores")
         best = top_label(text_array(labels), F.col("__scores"), threshold)
-        return scored.withColumn(out, unless_blank(F.col("__short"), best)).drop(
-            "__short", "__scores"
-        )
+        found = {out: unless_blank(F.col("__short"), best)}
+        if score is not None:
+            found[score] = F.array_max("__scores")
+        return scored.withColumns(found).drop("__short", "__scores")
 
     return label
 

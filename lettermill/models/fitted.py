@@ -43,7 +43,7 @@ def train(
     epochs: int = 3,
     steps_per_epoch: int = 10,
     labels: Sequence[str] = tuple(rules.REJECTION_LABELS),
-    words: int | None = rules.CLASSIFIER_WORDS,
+    words: int | None = None,
     features: int = 1 << 14,
     id_columns: Sequence[str] = ("text",),
 ) -> tuple[PipelineModel, list[float]]:
@@ -115,7 +115,7 @@ def apply_model(
     out: str = "label",
     threshold: float = rules.LABEL_THRESHOLD,
     labels: Sequence[str] = tuple(rules.REJECTION_LABELS),
-    words: int | None = rules.CLASSIFIER_WORDS,
+    words: int | None = None,
     score: str | None = None,
 ) -> DataFrame:
     """Add the label of each text, and its score when ``score`` names a column."""

@@ -35,7 +35,7 @@ def classify(
     mails: DataFrame,
     subject: str = "subject",
     body: str = "body",
-    body_chars: int | None = rules.GATE_BODY_CHARS,
+    body_chars: int | None = None,
     gate: GateRules = GateRules(),
     with_scores: bool = False,
 ) -> DataFrame:

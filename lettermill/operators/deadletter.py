@@ -12,6 +12,7 @@ from lettermill import rules, schemas
 from lettermill.functions.text import or_empty, pin
 from lettermill.operators.events import DLQ_OF_TOPIC, content_id, utc_now
 
+NULL_KEY = "null key"
 NULL_PAYLOAD, EMPTY_PAYLOAD, OVERSIZE, MALFORMED = (
     "null payload", "empty payload", "oversize", "malformed json",
 )
@@ -21,19 +22,21 @@ _CORRUPT = "_corrupt"
 def parse_payloads(
     envelopes: DataFrame,
     schema: T.StructType = schemas.PAYLOAD,
-    max_bytes: int = rules.MAX_MESSAGE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``payload`` (text), ``event`` (struct) and ``failure_reason`` (null if good).
 
+    With ``max_bytes`` longer payloads are set aside unread, as a broker would.
     ``from_json`` gives an all-null struct for null and empty text without
     calling it corrupt, so both are told apart here.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType(), True)])
     value = F.col("value").cast("binary")
+    too_long = F.lit(False) if max_bytes is None else F.octet_length(value) > max_bytes
     sized = envelopes.select(
         "*",
         F.make_valid_utf8(F.col("value").cast("string")).alias("payload"),
-        (F.octet_length(value) > max_bytes).alias("__oversize"),
+        too_long.alias("__oversize"),
     )
     parsed = sized.select(
         "*",
@@ -99,6 +102,13 @@ def to_dead_letters(
     )
 
 
+def refused(records: DataFrame, max_bytes: int | None = rules.MAX_MESSAGE_BYTES) -> DataFrame:
+    """Records with ``refusal``: why a broker would not take them, else null."""
+    too_long = F.lit(False) if max_bytes is None else F.octet_length("value") > max_bytes
+    reason = F.when(F.col("key").isNull(), NULL_KEY).when(too_long, OVERSIZE)
+    return pin(records, "refusal", reason)
+
+
 def _coordinates(df: DataFrame) -> list[Column]:
     """Where in its topic a record lies, when known: tells equal payloads apart."""
     return [F.col(c).cast("string") for c in ("partition", "offset") if c in df.columns]

@@ -21,7 +21,7 @@ def enrich(
     subject: str = "raw_subject",
     body: str = "raw_body_text",
     sender: str = "sender_email",
-    body_chars: int | None = rules.ENRICH_BODY_CHARS,
+    body_chars: int | None = None,
     candidates: str | None = None,
     labeller: Callable[[DataFrame, str, str], DataFrame] | None = None,
     guard_empty: bool = True,

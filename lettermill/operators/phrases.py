@@ -9,11 +9,13 @@ broadcast, beyond them both sides are salted and shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from lettermill import rules
 from lettermill.functions.text import first_rule, head, or_empty, pin, text_array
+from lettermill.session import work_dir
 
 SMALL_ROWS = 500
 BROADCAST_ROWS = 200_000
@@ -33,29 +35,33 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(or_empty(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _fits_broadcast(table: DataFrame, rows: int, text: str) -> bool:
-    """Whether a table is within both bounds; at most one row too many is read."""
-    if not rows:
-        return False
-    found = table.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")
+def _stored(table: DataFrame, purpose: str) -> DataFrame:
+    """A table that several steps read, worked out once."""
+    path = work_dir(table.sparkSession, purpose)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _sizes(table: DataFrame, text: str, also: str, longest: Column) -> Row:
+    """Rows and bytes of a stored table, and the size of its longest phrase."""
+    size = F.octet_length(text) + F.coalesce(F.octet_length(also), F.lit(0))
+    return table.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"), F.max(longest).alias("longest")
     ).first()
-    return found["rows"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES
 
 
-def _join_on_anchor(
-    pieces: DataFrame, table: DataFrame, uid: str, text: str, broadcast_rows: int
-) -> DataFrame:
-    """Pieces of text with the table rows that share their anchor.
+def _fits(sizes: Row, rows: int) -> bool:
+    return sizes["rows"] <= rows and (sizes["bytes"] or 0) <= BROADCAST_BYTES
+
+
+def _salted_join(pieces: DataFrame, table: DataFrame, spread: str) -> DataFrame:
+    """Pieces of text with the table rows that share their anchor, both sides shuffled.
 
-    A frequent word may be the anchor of a third of all pieces. Where the table
-    is shuffled, such pieces are spread over ``SALTS`` tasks by text id, each
-    holding its own copy of the anchor's rows; the hint keeps the copies from
-    being broadcast.
+    A frequent word may be the anchor of a third of all pieces. They are spread
+    over ``SALTS`` tasks by the text they are from, each holding its own copy of
+    the anchor's rows; the hint keeps the copies from being broadcast.
     """
-    if _fits_broadcast(table, broadcast_rows, text):
-        return pieces.join(F.broadcast(table), "__anchor")
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(uid), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies.hint("merge"), ["__anchor", "__salt"]).drop("__salt")
 
@@ -63,9 +69,8 @@ def _join_on_anchor(
 def with_candidates(
     texts: DataFrame,
     gazetteer: DataFrame,
-    uid: str,
     text: Column,
-    text_chars: int | None = rules.ENTITY_TEXT_CHARS,
+    text_chars: int | None = None,
     small_rows: int = SMALL_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     out: str = "org_candidates",
@@ -73,19 +78,22 @@ def with_candidates(
     """Add the gazetteer names found in each text, in text order, longest first at a place.
 
     ``gazetteer`` has one column ``name``. Names match as whole words and with
-    their case. A long gazetteer joins the texts back by ``uid``, so hand over
+    their case; names of the same words are all found. What is found depends on a
+    row's text alone, so all forms give one answer, whatever ids repeat or are
+    missing. A long gazetteer joins the texts back by a hash of the text, so hand over
     only the columns that are needed. A named-entity model can take this
     operator's place: any ``array<string>`` in text order will do.
     """
     named = pin(gazetteer.select(F.col("name").alias("__name")), "__words", plain_words(F.col("__name")))
-    names = named.filter(F.col("__words") != "").groupBy("__words").agg(F.min("__name").alias("__name"))
-    plain = texts.withColumn("__plain", plain_words(head(text, text_chars)))
+    names = named.filter(F.col("__words") != "").distinct()
+    searched = head(or_empty(text), text_chars)
 
     def order_and_name(found: Column) -> Column:
         return F.array_distinct(F.transform(F.array_sort(found), lambda f: f["__name"]))
 
     few = _rows_if_small(names, small_rows)
     if few is not None:
+        plain = texts.withColumn("__plain", plain_words(searched))
         padded = plain.withColumn("__padded", F.concat(F.lit(" "), "__plain", F.lit(" ")))
         words = text_array([f" {row['__words']} " for row in few])
         labels = text_array([row["__name"] for row in few])
@@ -100,42 +108,49 @@ def with_candidates(
         )
         return padded.withColumn(out, order_and_name(placed)).drop("__plain", "__padded")
 
-    longest = names.agg(F.max(F.size(F.split("__words", " ")))).scalar()
-    table = names.withColumn("__anchor", F.split_part("__words", F.lit(" "), F.lit(1)))
-    words = plain.select(uid, F.split("__plain", " ").alias("__w"), longest.alias("__k"))
-    pieces = words.select(
+    anchored = names.withColumn("__anchor", F.split_part("__words", F.lit(" "), F.lit(1)))
+    table = _stored(anchored, "gazetteer")
+    sizes = _sizes(table, "__words", "__name", F.size(F.split("__words", " ")))
+    key = F.md5(searched)
+    words = texts.select(key.alias("__key"), F.split(plain_words(searched), " ").alias("__w"))
+    placed = words.select(
         # The outer form: the other one makes Spark split every text once more to
         # leave out empty arrays first.
-        uid, "__w", "__k", F.posexplode_outer("__w").alias("at", "__anchor")
-    ).select(
-        uid,
-        "at",
-        "__anchor",
-        F.concat(
-            F.array_join(F.slice("__w", F.col("at") + 1, F.col("__k")), " "), F.lit(" ")
-        ).alias("__rest"),
+        "__key", "__w", F.posexplode_outer("__w").alias("at", "__anchor")
     )
-    hits = _join_on_anchor(pieces, table, uid, "__words", broadcast_rows).filter(
-        F.startswith("__rest", F.concat("__words", F.lit(" ")))
+    rest = F.concat(F.array_join(F.slice("__w", F.col("at") + 1, sizes["longest"] or 1), " "), F.lit(" "))
+    if _fits(sizes, broadcast_rows):
+        # Only words that begin a name are put together with those behind them.
+        met = placed.join(F.broadcast(table), "__anchor").withColumn("__rest", rest)
+    else:
+        met = _salted_join(placed.select("__key", "at", "__anchor", rest.alias("__rest")), table, "__key")
+    # The first place of each name is enough, however often a text repeats it.
+    first = (
+        met.filter(F.startswith("__rest", F.concat("__words", F.lit(" "))))
+        .groupBy("__key", "__words", "__name")
+        .agg(F.min("at").alias("at"))
     )
-    found = hits.groupBy(uid).agg(
+    found = first.groupBy("__key").agg(
         F.collect_list(
             F.struct("at", (-F.length("__words")).alias("size"), F.col("__name"))
         ).alias("__found")
     )
     return (
-        texts.join(found, uid, "left")
-        .withColumn(
-            out, F.coalesce(order_and_name(F.col("__found")), text_array([]))
+        texts.withColumn("__key", key)
+        .join(found, "__key", "left")
+        .select(
+            *texts.columns, F.coalesce(order_and_name(F.col("__found")), text_array([])).alias(out)
         )
-        .drop("__found")
     )
 
 
+def _substrings_of(text: Column, chars: int) -> Callable[[Column], Column]:
+    return lambda start: F.substring(text, start, F.lit(chars))
+
+
 def with_first_rule(
     texts: DataFrame,
     rule_table: DataFrame,
-    uid: str,
     text: Column,
     default: str,
     small_rows: int = SMALL_ROWS,
@@ -145,44 +160,51 @@ def with_first_rule(
     """Add the value of the first rule, by priority, whose keyword occurs in the text.
 
     ``rule_table`` has ``priority, keyword, value``; keywords match anywhere in
-    the lower-cased text.
+    the lower-cased text. Without rules every text has the default.
     """
     table = rule_table.select(
         F.col("priority").alias("priority"),
         F.col("keyword").alias("__keyword"),
         F.col("value").alias("__value"),
     ).filter(or_empty(F.col("keyword")) != "")
-    lowered = texts.withColumn("__lower", F.lower(or_empty(text)))
+    lower = F.lower(or_empty(text))
 
     few = _rows_if_small(table, small_rows)
     if few is not None:
         ordered = sorted((row["priority"], row["__keyword"], row["__value"]) for row in few)
+        lowered = texts.withColumn("__lower", lower)
         value = first_rule(F.col("__lower"), [rule[1:] for rule in ordered], default)
         return lowered.withColumn(out, value).drop("__lower")
 
-    sizes = table.agg(
-        F.min(F.length("__keyword")).alias("short"), F.max(F.length("__keyword")).alias("long")
-    ).first()
-    anchor = min(ANCHOR_CHARS, sizes["short"])
-    starts = F.sequence(F.lit(1), F.length("__lower") - anchor + 1)
-    pieces = (
-        lowered.filter(F.length("__lower") >= anchor)
-        .select(uid, "__lower", F.explode_outer(starts).alias("at"))
-        .select(
-            uid,
-            F.substring("__lower", F.col("at"), F.lit(anchor)).alias("__anchor"),
-            F.substring("__lower", F.col("at"), F.lit(sizes["long"])).alias("__rest"),
+    anchor_chars = F.least(F.length("__keyword"), F.lit(ANCHOR_CHARS))
+    anchored = table.withColumn("__anchor", F.substring("__keyword", F.lit(1), anchor_chars))
+    table = _stored(anchored, "rules")
+    sizes = _sizes(table, "__keyword", "__value", F.length("__keyword"))
+    key = F.md5(lower)
+    lowered = texts.select(key.alias("__key"), lower.alias("__lower"))
+    pieces = None
+    for chars in range(1, ANCHOR_CHARS + 1):
+        # Short keywords are their own anchor: each different piece of a text counts
+        # once, so no letter that stands everywhere is met at every place.
+        longest = chars if chars < ANCHOR_CHARS else max(chars, sizes["longest"] or 0)
+        starts = F.when(
+            F.length("__lower") >= chars, F.sequence(F.lit(1), F.length("__lower") - chars + 1)
         )
-    )
-    anchored = table.withColumn("__anchor", F.substring("__keyword", 1, anchor))
+        part = F.transform(starts, _substrings_of(F.col("__lower"), longest))
+        some = lowered.select("__key", F.explode_outer(F.array_distinct(part)).alias("__rest"))
+        some = some.select("__key", "__rest", F.substring("__rest", 1, chars).alias("__anchor"))
+        pieces = some if pieces is None else pieces.unionByName(some)
+    if _fits(sizes, broadcast_rows):
+        met = pieces.join(F.broadcast(table), "__anchor")
+    else:
+        met = _salted_join(pieces, table, "__key")
     found = (
-        _join_on_anchor(pieces, anchored, uid, "__keyword", broadcast_rows)
-        .filter(F.startswith("__rest", F.col("__keyword")))
-        .groupBy(uid)
+        met.filter(F.startswith("__rest", F.col("__keyword")))
+        .groupBy("__key")
         .agg(F.min_by("__value", F.struct("priority", "__keyword")).alias("__found"))
     )
     return (
-        texts.join(found, uid, "left")
-        .withColumn(out, F.coalesce("__found", F.lit(default)))
-        .drop("__found")
+        texts.withColumn("__key", key)
+        .join(found, "__key", "left")
+        .select(*texts.columns, F.coalesce("__found", F.lit(default)).alias(out))
     )

@@ -14,7 +14,7 @@ from lettermill import rules
 
 def recent_unread(
     mails: DataFrame,
-    asof: dt.date,
+    asof: dt.date | dt.datetime,
     days: int = 10,
     cap: int = 1000,
     uid: str = "uid",
@@ -92,15 +92,15 @@ def top_per_group(
 def first_delivery(
     events: DataFrame, key: str = "event_id", order: Sequence[str] = ("received_at",)
 ) -> DataFrame:
-    """One row per key: the first by ``order``.
+    """One row per key: the first by ``order``. Rows without a key all stay.
 
     Spark limits each task to one row per key before the shuffle, so many
     copies of one event shrink to one per task.
     """
     window = W.partitionBy(key).orderBy(*order)
-    return events.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop(
-        "__rank"
-    )
+    keyed = events.filter(F.col(key).isNotNull())
+    first = keyed.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1")
+    return first.drop("__rank").unionByName(events.filter(F.col(key).isNull()))
 
 
 def retain(df: DataFrame, column: str, days: int, asof: dt.date) -> DataFrame:
@@ -114,9 +114,16 @@ def retain_by_topic(
     asof: dt.date,
     specs: Sequence[tuple] = tuple(rules.TOPIC_SPECS),
 ) -> DataFrame:
-    """Each topic's own retention; records of a topic without one are kept."""
-    keep = F.lit(True)
-    for topic, _, _, days in specs:
+    """Each topic's own retention; records of a topic without one are kept.
+
+    Plain comparisons of the bare columns, which reach the scan.
+    """
+    if not specs:
+        return records
+    topic = F.col("topic")
+    other = ~topic.isin(*[name for name, _, _, _ in specs])
+    keep = topic.isNull() | other
+    for name, _, _, days in specs:
         cutoff = (asof - dt.timedelta(days=days)).isoformat()
-        keep = F.when(F.col("topic") == topic, F.col(column) >= cutoff).otherwise(keep)
+        keep = keep | ((topic == name) & (F.col(column) >= cutoff))
     return records.filter(keep)

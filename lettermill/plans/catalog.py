@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill import rules
@@ -15,11 +15,11 @@ from lettermill.functions.html import html_text, html_text_parsed
 from lettermill.functions.scoring import id_label, label_id, top_label
 from lettermill.functions.text import first_words, pin, text_array
 from lettermill.models.backends import label_by_scores
-from lettermill.models.fitted import apply_model, load_model, save_model, train
+from lettermill.models.bayes import apply_bayes, save_bayes, train_bayes
 from lettermill.operators import deadletter, display, events, metrics, phrases, select
 from lettermill.operators.classify import category_counts, classify
 from lettermill.operators.enrich import enrich
-from lettermill.plans.mails import mails, published, records, table
+from lettermill.plans.mails import INGESTED_AT, late_mails, mails, published, records, table
 from lettermill.session import state_session, work_dir
 from lettermill.sinks import files
 from lettermill.sources.mailboxes import decode_messages, normalise_messages
@@ -37,6 +37,10 @@ QUERIES: dict[str, Query] = {}
 MAIL = {"subject": "subject", "body": "body", "sender": "sender"}
 ENRICHED = ["company_name", "role_title", "rejection_type", "job_board", "confidence"]
 ASOF = dt.date(2024, 1, 11)
+# Within the mail's days, so that the cutoff ten days before leaves some out.
+MAILBOX_ASOF = dt.datetime(2024, 1, 11, 1)
+MAILBOX_ROWS = 100
+LATEST_ROWS = 100
 OVERSIZE_BYTES = 4096
 LABEL_WORDS = 400
 
@@ -52,7 +56,7 @@ def _one_decimal(df: DataFrame, column: str = "confidence") -> DataFrame:
     return df.withColumn(column, F.round(F.col(column).cast("double"), 1))
 
 
-def _mail_text(chars: int | None = rules.ENRICH_BODY_CHARS):
+def _mail_text(chars: int | None = None):
     return extract.mail_text(F.col("subject"), F.col("body"), chars)
 
 
@@ -72,8 +76,15 @@ def classify_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classify_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate without its preview window: every character is searched."""
-    return classify(mails(spark, sf_dir), body_chars=None).select("doc_id", "category")
+    """Every character is searched, of mail whose phrase stands at the end."""
+    return classify(late_mails(spark, sf_dir)).select("doc_id", "category")
+
+
+@query
+def classify_gate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mail through a reading window."""
+    windowed = classify(late_mails(spark, sf_dir), body_chars=rules.GATE_BODY_CHARS)
+    return windowed.select("doc_id", "category")
 
 
 @query
@@ -138,7 +149,7 @@ def job_board_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board from a rule table instead of a rule list."""
     return phrases.with_first_rule(
         mails(spark, sf_dir).select("doc_id", "sender"),
-        _board_table(spark), "doc_id", F.col("sender"), rules.DEFAULT_BOARD,
+        _board_table(spark), F.col("sender"), rules.DEFAULT_BOARD,
     ).select("doc_id", "job_board")
 
 
@@ -147,7 +158,7 @@ def job_board_join_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the salted join that serves rule tables of any size."""
     return phrases.with_first_rule(
         mails(spark, sf_dir).select("doc_id", "sender"),
-        _board_table(spark), "doc_id", F.col("sender"), rules.DEFAULT_BOARD, small_rows=0,
+        _board_table(spark), F.col("sender"), rules.DEFAULT_BOARD, small_rows=0,
         broadcast_rows=0,
     ).select("doc_id", "job_board")
 
@@ -164,7 +175,7 @@ def _sender_gazetteer(all_mails: DataFrame) -> DataFrame:
 def _with_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_mails = mails(spark, sf_dir).drop("is_read")
     return phrases.with_candidates(
-        all_mails, _sender_gazetteer(all_mails), "doc_id", _mail_text()
+        all_mails, _sender_gazetteer(all_mails), _mail_text()
     )
 
 
@@ -182,7 +193,7 @@ def _benchmark_candidates(spark: SparkSession, sf_dir: str, **bounds: int) -> Da
     names = table(spark, sf_dir, "benchmark").select(F.explode_outer(capitalised).alias("name"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     return phrases.with_candidates(
-        texts, names, "doc_id", F.col("text"), text_chars=None, small_rows=0, **bounds
+        texts, names, F.col("text"), small_rows=0, **bounds
     ).select("doc_id", F.array_join("org_candidates", "|").alias("candidates"))
 
 
@@ -226,10 +237,17 @@ def enrich_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def enrich_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_decimal(
-        enrich(mails(spark, sf_dir), "rejection", body_chars=None, **MAIL).select(
-            "doc_id", *ENRICHED
-        )
+        enrich(late_mails(spark, sf_dir), "rejection", **MAIL).select("doc_id", *ENRICHED)
+    )
+
+
+@query
+def enrich_rejections_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mail through a reading window."""
+    windowed = enrich(
+        late_mails(spark, sf_dir), "rejection", body_chars=rules.ENRICH_BODY_CHARS, **MAIL
     )
+    return _one_decimal(windowed.select("doc_id", *ENRICHED))
 
 
 @query
@@ -305,6 +323,16 @@ def oversize_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def publish_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records too long for the broker, as the dead letters that take their place."""
+    checked = deadletter.refused(events.to_envelopes(published(mails(spark, sf_dir))), OVERSIZE_BYTES)
+    away = checked.filter(F.col("refusal").isNotNull())
+    return deadletter.to_dead_letters(
+        away, F.col("topic"), F.col("refusal"), F.col("value").cast("string"), "ingest", F.lit(INGESTED_AT)
+    )
+
+
 # --- choosing rows -------------------------------------------------------------
 def _mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mails(spark, sf_dir).withColumnRenamed("doc_id", "uid")
@@ -312,9 +340,8 @@ def _mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mailbox_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.recent_unread(_mailbox(spark, sf_dir), ASOF).select(
-        "uid", "source", "subject", "received_at"
-    )
+    newest = select.recent_unread(_mailbox(spark, sf_dir), MAILBOX_ASOF, cap=MAILBOX_ROWS)
+    return newest.select("uid", "source", "subject", "received_at")
 
 
 @query
@@ -367,7 +394,9 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event delivered one to three times."""
     return mails(spark, sf_dir).select(
         "doc_id",
-        events.content_id(F.col("source"), F.col("subject"), F.col("body")).alias("event_id"),
+        events.content_id(
+            *[F.col(c) for c in ("source", "subject", "sender", "received_at", "body")]
+        ).alias("event_id"),
         "received_at",
         F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("attempt"),
     )
@@ -385,7 +414,19 @@ def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = work_dir(spark, "published")
     published(mails(spark, sf_dir)).select("event_id", "source", "received_at").write.parquet(stored)
     out = spark.read.schema("event_id string, source string, received_at string").parquet(stored)
-    return events.order_by_source(out, "received_at", "event_id")
+    ordered = events.order_by_source(out, "received_at", "event_id").select(
+        "*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")
+    )
+    written = work_dir(spark, "ordered")
+    ordered.write.parquet(written)
+    rows = spark.read.schema(ordered.schema).parquet(written)
+    # The place in the source's order as written, from a few counts for each partition.
+    parts = rows.groupBy("source", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part")
+    parts = parts.select("source", "part", "first", (F.sum("n").over(earlier) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(parts), ["source", "part"]).select(
+        "event_id", "source", "received_at", (F.col("before") + F.col("at") - F.col("first") + 1).alias("position")
+    )
 
 
 # --- display -------------------------------------------------------------------
@@ -407,9 +448,9 @@ def sheet_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 1000 summary rows."""
+    """The newest summary rows."""
     rows = display.rejection_rows(_enriched(spark, sf_dir).filter("event_type = 'rejection'"))
-    return select.latest(rows, 1000, F.desc("date_received"), F.asc("event_id"))
+    return select.latest(rows, LATEST_ROWS, F.desc("date_received"), F.asc("event_id"))
 
 
 # --- metrics -------------------------------------------------------------------
@@ -449,23 +490,15 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def backend_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both classifiers on the same mail, in one pass."""
+    """The rules' confidence and the scored label's score on the same mail, in one pass."""
     enriched = enrich(mails(spark, sf_dir), "rejection", **MAIL)
     texts = enriched.withColumn("text", _mail_text())
-    scored = label_by_scores()(texts, "text", "scored_label")
+    scored = label_by_scores(score="scored_score")(texts, "text", "scored_label")
     per_backend = scored.select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("rules").alias("backend"),
-                    F.col("confidence"),
-                    F.col("rejection_type").alias("label"),
-                ),
-                F.struct(
-                    F.lit("scored").alias("backend"),
-                    F.col("confidence"),
-                    F.col("scored_label").alias("label"),
-                ),
+                F.struct(F.lit("rules").alias("backend"), F.col("confidence").cast("double").alias("confidence")),
+                F.struct(F.lit("scored").alias("backend"), F.col("scored_score").alias("confidence")),
             )
         )
     )
@@ -529,13 +562,11 @@ def first_words_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on mail labelled by the rules, save, load, and label all mail."""
+    """Count the words of mail labelled by the rules, save, load, and label all mail."""
     texts = mails(spark, sf_dir).select("doc_id", _mail_text(None).alias("text"))
-    labelled = texts.withColumn("label", extract.rejection_type(F.col("text")))
-    model, _ = train(labelled, id_columns=("doc_id",))
-    path = work_dir(spark, "model")
-    save_model(model, path)
-    scored = apply_model(load_model(path), texts, score="score")
+    labelled = pin(texts, "label", extract.rejection_type(F.col("text")))
+    model = save_bayes(train_bayes(labelled), work_dir(spark, "model"))
+    scored = apply_bayes(model, texts)
     return scored.select("doc_id", "label", F.round("score", 4).alias("score"))
 
 
@@ -596,9 +627,9 @@ def html_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_text_parsed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All text nodes by the standard parser, script and style text included."""
+    """All text nodes, script and style text included."""
     return table(spark, sf_dir, "pages").select(
-        "page_id", html_text_parsed("html").alias("text")
+        "page_id", html_text_parsed(F.col("html")).alias("text")
     )
 
 
@@ -677,7 +708,7 @@ def _drained(spark: SparkSession, sf_dir: str, second_sink=None) -> str:
 def _json_lines(spark: SparkSession, out_dir: str) -> DataFrame:
     kinds = [
         files.read_json_lines(spark, out_dir, kind)
-        .drop("batch_id")
+        .drop("run_id", "batch_id")
         .withColumn("event_type", F.lit(kind))
         for kind in files.FOLDERS
     ]
@@ -691,33 +722,37 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheet tables a second sink wrote beside the JSON lines."""
-    out: dict[str, str] = {}
+def stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the records under one checkpoint, the others under a new one, into one folder."""
+    out_dir = work_dir(spark, "out")
+    for half in (0, 1):
+        topics = work_dir(spark, "topics")
+        write_topic_files(records(mails(spark, sf_dir)).filter(F.col("offset") % 2 == half), topics)
+        streams = {
+            topic: stream_topic_files(spark, topics, topic)
+            for topic in (rules.TOPIC_REJECTIONS, rules.TOPIC_APPLICATIONS)
+        }
+        pipeline = Pipeline(out_dir, processed_at=STREAM_STAMP, producer_name="stream")
+        drain(spark, pipeline, streams, work_dir(spark, "checkpoint"))
+    return _json_lines(spark, out_dir)
 
-    def sheets(good: DataFrame, event_type: str, batch_id: int) -> None:
-        files.write_sheet_table(good, out["dir"], event_type, batch_id)
 
-    out["dir"] = work_dir(spark, "sheets")
-    _drained(spark, sf_dir, sheets)
+@query
+def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet tables a second sink wrote beside the JSON lines."""
+    out_dir = work_dir(spark, "sheets")
+    _drained(spark, sf_dir, files.sheet_sink(out_dir))
     tables = []
     for kind, folder in files.FOLDERS.items():
-        sheet = spark.read.parquet(f"{out['dir']}/{folder}/sheet")
-        tables.append(
-            sheet.select(
-                F.lit(kind).alias("tab"),
-                F.col("`Event ID`").alias("event_id"),
-                F.col("Company").alias("company"),
-                F.col("Role").alias("role"),
-                F.col("Subject").alias("subject"),
-            )
-        )
-    return tables[0].unionByName(tables[1])
+        sheet = spark.read.parquet(f"{out_dir}/{folder}/sheet").drop("run_id", "batch_id")
+        names = {title: title.lower().replace(" ", "_") for title in sheet.columns}
+        tables.append(sheet.withColumnsRenamed(names).withColumn("tab", F.lit(kind)))
+    return tables[0].unionByName(tables[1], allowMissingColumns=True)
 
 
 @query
 def stream_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_dead_letters(spark, _drained(spark, sf_dir)).drop("batch_id", "event_type")
+    return read_dead_letters(spark, _drained(spark, sf_dir)).drop("run_id", "batch_id", "event_type")
 
 
 @query
@@ -733,14 +768,14 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated deliveries through the deduplicating stream."""
+    """Repeated deliveries through the deduplicating stream: some without an id, one dated far ahead."""
     topics, out_dir = work_dir(spark, "deliveries"), work_dir(spark, "deduplicated")
     schema = "event_id string, received_at string, ingested_at string, offset long"
     (
         _deliveries(spark, sf_dir)
         .select(
-            "event_id",
-            "received_at",
+            F.when(F.col("doc_id") % 50 != 0, F.col("event_id")).alias("event_id"),
+            F.when(F.col("doc_id") == 1, "2099-01-01T00:00:00+00:00").otherwise(F.col("received_at")).alias("received_at"),
             F.col("received_at").alias("ingested_at"),
             (F.col("doc_id") * 3 + F.col("attempt")).alias("offset"),
         )
@@ -748,7 +783,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     deliveries = state_session(spark).readStream.schema(schema).parquet(topics)
     started = (
-        dedup_stream(deliveries, "3650 days", spread=F.col("offset"))
+        dedup_stream(deliveries, "2 hours", spread=F.col("offset"))
         .select("event_id")
         .writeStream.format("parquet")
         .option("path", out_dir)

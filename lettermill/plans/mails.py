@@ -75,15 +75,17 @@ def _pick(values: list[str], position: Column) -> Column:
     return F.element_at(text_array(values), (position % len(values) + 1).cast("int"))
 
 
-def as_mails(documents: DataFrame) -> DataFrame:
+def as_mails(documents: DataFrame, phrase_last: bool = False) -> DataFrame:
+    """One mail for each document; ``phrase_last`` puts the body's phrase behind the text."""
     uid = F.col("doc_id")
+    body = [_pick(BODIES, uid * 5), F.lit(" "), F.col("text")]
     minutes = (uid % MINUTES).cast("int")
     received = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(mins=minutes)
     return documents.select(
         uid,
         F.when(uid % 2 == 0, "gmail").otherwise("outlook").alias("source"),
         _pick(SUBJECTS, uid).alias("subject"),
-        F.concat(_pick(BODIES, uid * 5), F.lit(" "), F.col("text")).alias("body"),
+        F.concat(*(reversed(body) if phrase_last else body)).alias("body"),
         _pick(SENDERS, uid * 3).alias("sender"),
         F.concat(F.replace(received.cast("string"), F.lit(" "), F.lit("T")), F.lit("+00:00")).alias(
             "received_at"
@@ -96,6 +98,11 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_mails(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def late_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mail with the deciding phrase at the end, which a reading window misses."""
+    return as_mails(table(spark, sf_dir, "documents").select("doc_id", "text"), phrase_last=True)
+
+
 def published(all_mails: DataFrame) -> DataFrame:
     """The events of all mail that is not unrelated."""
     return make_events(route(classify(all_mails)), ingested_at=F.lit(INGESTED_AT))

@@ -5,7 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from lettermill import rules, schemas
-from lettermill.plans.catalog import ASOF, LABEL_WORDS, OVERSIZE_BYTES, STREAM_STAMP
+from lettermill.plans.catalog import (
+    ASOF,
+    LABEL_WORDS,
+    LATEST_ROWS,
+    MAILBOX_ASOF,
+    MAILBOX_ROWS,
+    OVERSIZE_BYTES,
+    STREAM_STAMP,
+)
 from lettermill.plans.mails import BODIES, INGESTED_AT, MINUTES, SENDERS, SUBJECTS
 
 
@@ -37,6 +45,10 @@ MAILS = f"""mails AS (
   FROM documents)"""
 
 
+_EARLY = f"{_list(BODIES)}[doc_id * 5 % {len(BODIES)} + 1] || ' ' || text AS body"
+LATE_MAILS = MAILS.replace(_EARLY, f"text || ' ' || {_list(BODIES)}[doc_id * 5 % {len(BODIES)} + 1] AS body")
+
+
 def _gate(body: str) -> str:
     """CTEs ``gate_text``, ``gate_scores`` and ``classified``."""
     return f"""gate_text AS (
@@ -58,10 +70,10 @@ classified AS (
   FROM gate_scores)"""
 
 
-GATE = _gate(f"left(body, {rules.GATE_BODY_CHARS})")
-WHOLE_GATE = _gate("body")
-MAIL_TEXT = f"subject || '. ' || left(body, {rules.ENRICH_BODY_CHARS})"
-WHOLE_MAIL_TEXT = "subject || '. ' || body"
+GATE = _gate("body")
+WINDOW_GATE = _gate(f"left(body, {rules.GATE_BODY_CHARS})")
+MAIL_TEXT = "subject || '. ' || body"
+WINDOW_MAIL_TEXT = f"subject || '. ' || left(body, {rules.ENRICH_BODY_CHARS})"
 
 
 def _role(text: str) -> str:
@@ -206,14 +218,14 @@ def _candidates(names: str, texts: str, uid: str = "doc_id") -> str:
 plain_texts AS ({texts}),
 candidates AS (
   SELECT p.{uid}, coalesce(string_agg(n.name, '|' ORDER BY
-      instr(' ' || p.plain || ' ', ' ' || n.words || ' '), -length(n.words)), '') AS candidates
+      instr(' ' || p.plain || ' ', ' ' || n.words || ' '), -length(n.words), n.name), '') AS candidates
   FROM plain_texts p LEFT JOIN names n ON contains(' ' || p.plain || ' ', ' ' || n.words || ' ')
   GROUP BY p.{uid})"""
 
 
 MAIL_CANDIDATES = _candidates(
     f"SELECT {_company('sender')} AS name FROM mails UNION SELECT unnest(['Northwind', 'Contoso'])",
-    f"SELECT doc_id, {_plain_words(f'left({MAIL_TEXT}, {rules.ENTITY_TEXT_CHARS})')} AS plain FROM mails",
+    f"SELECT doc_id, {_plain_words(MAIL_TEXT)} AS plain FROM mails",
 )
 FIRST_CANDIDATE = f"""first_names AS (
   SELECT m.*, coalesce([c FOR c IN string_split(candidates, '|') IF length(c) > 2
@@ -256,8 +268,7 @@ FIGURES = [
 
 def _hits(patterns: Sequence[str]) -> str:
     text = "regexp_replace(trim(text, E' \\n\\t\\r\\f\\v'), '\\s+', ' ', 'g')"
-    short = f"array_to_string(string_split({text}, ' ')[1:{rules.CLASSIFIER_WORDS}], ' ')"
-    return " + ".join(f"CAST({_matches(short, [p])} AS INTEGER)" for p in patterns)
+    return " + ".join(f"CAST({_matches(text, [p])} AS INTEGER)" for p in patterns)
 
 
 def _scored(rows: str) -> str:
@@ -267,7 +278,7 @@ def _scored(rows: str) -> str:
   SELECT *, CAST({_hits(rules.HARD_REJECTION_PATTERNS)} AS DOUBLE) AS h,
     CAST({_hits(rules.SOFT_REJECTION_PATTERNS)} AS DOUBLE) AS f FROM {rows}),
 scored AS (
-  SELECT *, CASE WHEN greatest(h, f, 1) / (h + f + 1) < {threshold} THEN 'unknown'
+  SELECT *, greatest(h, f, 1) / (h + f + 1) AS scored_score, CASE WHEN greatest(h, f, 1) / (h + f + 1) < {threshold} THEN 'unknown'
     WHEN h >= f AND h >= 1 THEN 'hard_rejection'
     WHEN f >= 1 THEN 'soft_rejection' ELSE 'unknown' END AS scored_label
   FROM hits)"""
@@ -313,21 +324,26 @@ def _select(columns: str, *ctes: str, rows: str = "mails") -> str:
     return f"WITH {', '.join((MAILS, *ctes))} SELECT {columns} FROM {rows}"
 
 
+def _late(columns: str, *ctes: str, rows: str = "mails") -> str:
+    return f"WITH {', '.join((LATE_MAILS, *ctes))} SELECT {columns} FROM {rows}"
+
+
 def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     evidence = "has_context, strong_rejection, strong_application, rejection_score, application_score"
     out["classify_gate"] = _select("doc_id, category", GATE, rows="classified")
     out["classify_scores"] = _select(f"doc_id, {evidence}, category", GATE, rows="classified")
-    out["classify_whole_text"] = _select("doc_id, category", WHOLE_GATE, rows="classified")
+    out["classify_whole_text"] = _late("doc_id, category", GATE, rows="classified")
+    out["classify_gate_window"] = _late("doc_id, category", WINDOW_GATE, rows="classified")
     out["category_counts"] = (
         _select("category, count(*) AS mails", GATE, rows="classified") + " GROUP BY category"
     )
 
     out["role_title"] = _select(f"doc_id, {_role(MAIL_TEXT)} AS role_title")
-    out["role_title_whole_text"] = _select(f"doc_id, {_role(WHOLE_MAIL_TEXT)} AS role_title")
+    out["role_title_whole_text"] = _select(f"doc_id, {_role(MAIL_TEXT)} AS role_title")
     out["rejection_type"] = _select(f"doc_id, {_rejection(MAIL_TEXT)} AS rejection_type")
     out["rejection_type_whole_text"] = _select(
-        f"doc_id, {_rejection(WHOLE_MAIL_TEXT)} AS rejection_type"
+        f"doc_id, {_rejection(MAIL_TEXT)} AS rejection_type"
     )
     out["company_from_sender"] = _select(f"doc_id, {_company('sender')} AS company_name")
     out["job_board"] = _select(f"doc_id, {_board('sender')} AS job_board")
@@ -356,10 +372,11 @@ def oracles() -> dict[str, str]:
     out["enrich_applications"] = _select(
         columns, _enriched_from("mails", MAIL_TEXT, "'n/a'"), rows="enriched"
     )
-    out["enrich_whole_text"] = _select(
-        columns,
-        _enriched_from("mails", WHOLE_MAIL_TEXT, _rejection(WHOLE_MAIL_TEXT)),
-        rows="enriched",
+    out["enrich_whole_text"] = _late(
+        columns, _enriched_from("mails", MAIL_TEXT, _rejection(MAIL_TEXT)), rows="enriched"
+    )
+    out["enrich_rejections_window"] = _late(
+        columns, _enriched_from("mails", WINDOW_MAIL_TEXT, _rejection(WINDOW_MAIL_TEXT)), rows="enriched"
     )
     out["enrich_with_candidates"] = _select(
         columns,
@@ -403,11 +420,22 @@ def oracles() -> dict[str, str]:
         GATE, ROUTED, RECORDS, rows="records",
     )
 
-    cutoff = f"CAST(DATE '{ASOF}' - INTERVAL 10 DAY AS DATE)"
+    away = _json("event_id")
+    out["publish_dlq"] = (
+        _select(
+            f"sha256(concat_ws(chr(31), topic, 'oversize', {away})) AS dlq_event_id, topic AS original_topic, "
+            f"'oversize' AS failure_reason, {away} AS raw_payload, {_text(INGESTED_AT)} AS failed_at, "
+            f"'ingest' AS producer_name, '{rules.SCHEMA_VERSION}' AS schema_version, "
+            "replace(topic, 'raw.', 'dlq.') AS topic",
+            GATE, ROUTED, rows="routed",
+        )
+        + f" WHERE octet_length(encode({away})) > {OVERSIZE_BYTES}"
+    )
+    cutoff = f"TIMESTAMP '{MAILBOX_ASOF}' - INTERVAL 10 DAY"
     out["mailbox_recent"] = (
         _select("doc_id AS uid, source, subject, received_at")
-        + f" WHERE NOT is_read AND received_at >= strftime({cutoff}, '%Y-%m-%d')"
-        + " ORDER BY uid DESC LIMIT 1000"
+        + f" WHERE NOT is_read AND received_at >= strftime({cutoff}, '%Y-%m-%dT%H:%M:%S')"
+        + f" ORDER BY uid DESC LIMIT {MAILBOX_ROWS}"
     )
     out["mailbox_oldest"] = (
         _select("doc_id AS uid, subject, sender, received_at, body")
@@ -436,16 +464,20 @@ def oracles() -> dict[str, str]:
     strftime(ts, '%Y-%m-%d') AS day FROM events)
 SELECT * FROM stamped WHERE day >= strftime(DATE '{ASOF}' - INTERVAL 1 DAY *
   (CASE WHEN topic LIKE 'raw.%' THEN 7 ELSE 30 END), '%Y-%m-%d')"""
-    delivery_id = _sha("source", "subject", "body")
+    delivery_id = EVENT_ID
     out["dedup_events"] = (
         _select(f"doc_id, {delivery_id} AS event_id, received_at, CAST(0 AS INTEGER) AS attempt")
         + f" QUALIFY row_number() OVER (PARTITION BY {delivery_id} ORDER BY received_at, doc_id) = 1"
     )
-    out["source_order"] = _select("event_id, source, received_at", GATE, ROUTED, rows="routed")
+    out["source_order"] = _select(
+        "event_id, source, received_at, "
+        "row_number() OVER (PARTITION BY source ORDER BY received_at, event_id) AS position",
+        GATE, ROUTED, rows="routed",
+    )
 
     out["sheet_rejections"] = f"WITH {ENRICHED} {_summary('rejection')}"
     out["sheet_applications"] = f"WITH {ENRICHED} {_summary('application')}"
-    out["latest_rows"] = out["sheet_rejections"] + " ORDER BY date_received DESC, event_id LIMIT 1000"
+    out["latest_rows"] = out["sheet_rejections"] + f" ORDER BY date_received DESC, event_id LIMIT {LATEST_ROWS}"
 
     out["batch_metrics"] = (
         f"WITH {ENRICHED}, {METRICS} SELECT *, CAST(2.5 AS DOUBLE) AS batch_latency_seconds, "
@@ -462,10 +494,11 @@ SELECT * FROM stamped WHERE day >= strftime(DATE '{ASOF}' - INTERVAL 1 DAY *
     )
     out["metric_rows"] = f"WITH {ENRICHED}, {METRICS}, {DISTRIBUTION} {long}"
     out["backend_comparison"] = _select(
-        f"backend, round(avg({F32}), 6) AS avg_confidence, count(*) AS sample_size",
+        f"'rules' AS backend, round(avg({F32}), 6) AS avg_confidence, count(*) AS sample_size",
         _enriched_from("mails", MAIL_TEXT, _rejection(MAIL_TEXT)),
-        rows="enriched, (VALUES ('rules'), ('scored')) b(backend)",
-    ) + " GROUP BY backend"
+        f"texts AS (SELECT {MAIL_TEXT} AS text FROM mails)", _scored("texts"),
+        rows="enriched",
+    ) + " UNION ALL SELECT 'scored', round(avg(scored_score), 6), count(*) FROM scored"
     out["output_summary"] = f"""WITH {ENRICHED}
 SELECT kind AS event_type, (SELECT count(*) FROM enriched WHERE category = kind) AS rows
 FROM (VALUES ('rejection'), ('application')) k(kind)"""
@@ -480,7 +513,7 @@ SELECT *, round(events / greatest(seconds, 0.001), 6) AS events_per_sec FROM spa
 FROM embeddings"""
     out["scored_labels"] = _select(
         "doc_id, scored_label AS label",
-        f"texts AS (SELECT doc_id, {WHOLE_MAIL_TEXT} AS text FROM mails)", _scored("texts"),
+        f"texts AS (SELECT doc_id, {MAIL_TEXT} AS text FROM mails)", _scored("texts"),
         rows="scored",
     )
     out["label_encode"] = _select(
@@ -490,6 +523,33 @@ FROM embeddings"""
         f"labelled AS (SELECT doc_id, {_rejection(MAIL_TEXT)} AS label FROM mails)", rows="labelled",
     )
     words = "regexp_replace(trim(text, E' \\n\\t\\r\\f\\v'), '\\s+', ' ', 'g')"
+    token = f"unnest(list_filter(string_split({_plain_words('lower(text)')}, ' '), lambda w: w <> ''))"
+    places = _list(rules.REJECTION_LABELS)
+    out["text_classifier"] = _select(
+        f"""doc_id, CASE WHEN score < {rules.LABEL_THRESHOLD} THEN 'unknown' ELSE label END AS label,
+  round(score, 4) AS score""",
+        f"labelled AS (SELECT doc_id, {MAIL_TEXT} AS text, {_rejection(MAIL_TEXT)} AS label FROM mails)",
+        f"words AS (SELECT doc_id, label, {token} AS token FROM labelled)",
+        "counts AS (SELECT label, token, count(*) AS n FROM words GROUP BY ALL)",
+        "size AS (SELECT count(DISTINCT token) AS v FROM counts)",
+        """classes AS (
+  SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM labelled)) AS prior,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.label = l.label), 0) AS total
+  FROM labelled l GROUP BY label)""",
+        "own AS (SELECT doc_id, token, count(*) AS n FROM words GROUP BY ALL)",
+        """sums AS (
+  SELECT o.doc_id, k.label, sum(o.n * ln((coalesce(c.n, 0) + 1)::DOUBLE / (k.total + v))) AS s
+  FROM own o CROSS JOIN classes k CROSS JOIN size LEFT JOIN counts c ON c.label = k.label AND c.token = o.token
+  GROUP BY ALL)""",
+        """logs AS (
+  SELECT l.doc_id, k.label, k.prior + coalesce(s.s, 0) AS x
+  FROM labelled l CROSS JOIN classes k LEFT JOIN sums s ON s.doc_id = l.doc_id AND s.label = k.label)""",
+        f"""ranked AS (
+  SELECT doc_id, label, 1 / sum(exp(x - m)) OVER (PARTITION BY doc_id) AS score,
+    row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, list_position({places}, label)) AS rank
+  FROM (SELECT *, max(x) OVER (PARTITION BY doc_id) AS m FROM logs))""",
+        rows="ranked",
+    ) + " WHERE rank = 1"
     out["first_words"] = (
         f"SELECT doc_id, array_to_string(string_split({words}, ' ')[1:{LABEL_WORDS}], ' ') AS words "
         "FROM documents"
@@ -524,15 +584,22 @@ SELECT {PAYLOAD_FIELDS.replace('topic, id AS event_id', 'CAST(doc_id AS VARCHAR)
   company_name, role_title, confidence AS nlp_confidence, '{STREAM_STAMP}' AS processed_at,
   category AS event_type
 FROM enriched WHERE {good}"""
+    out["stream_backfill"] = out["stream_pipeline"]
+    sheets = [
+        _summary(kind).replace("event_id\nFROM", "CAST(doc_id AS VARCHAR) AS event_id\nFROM") + f" AND {good}"
+        for kind in ("rejection", "application")
+    ]
     out["stream_sinks"] = f"""WITH {ENRICHED}
-SELECT category AS tab, CAST(doc_id AS VARCHAR) AS event_id, company_name AS company,
-  role_title AS role, left(subject, {rules.DISPLAY_SUBJECT_CHARS}) AS subject
-FROM enriched WHERE {good}"""
+SELECT *, 'rejection' AS tab FROM ({sheets[0]}) UNION ALL BY NAME
+SELECT *, 'application' AS tab FROM ({sheets[1]})"""
     out["stream_dlq"] = _dead_letters("stream", STREAM_STAMP, True).replace(
         ", replace(topic, 'raw.', 'dlq.') AS topic", ""
     )
     out["stream_metrics"] = f"""WITH {ENRICHED}
 SELECT category AS event_type, 'rules' AS backend, CAST(count(*) AS DOUBLE) AS events
 FROM enriched WHERE {good} GROUP BY category"""
-    out["stream_dedup"] = _select(f"DISTINCT {delivery_id} AS event_id")
+    out["stream_dedup"] = (
+        _select(f"{delivery_id} AS event_id") + " WHERE doc_id % 50 <> 0 GROUP BY 1 UNION ALL "
+        "SELECT NULL FROM (SELECT unnest(range(doc_id % 3 + 1)) FROM mails WHERE doc_id % 50 = 0)"
+    )
     return out

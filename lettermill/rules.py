@@ -142,7 +142,7 @@ SOURCES = ["gmail", "outlook"]
 CATEGORIES = ["rejection", "application", "unrelated"]
 LABEL_THRESHOLD = 0.45
 
-# How much of a text each step reads; None reads the whole text.
+# Reading windows that a caller may ask for; every step reads whole texts by default.
 GATE_BODY_CHARS = 1000
 ENRICH_BODY_CHARS = 600
 ENTITY_TEXT_CHARS = 500

@@ -1,11 +1,15 @@
 """Outputs of one batch.
 
-Each batch writes to folders of its own, with overwrite: a batch that runs
-again replaces what it wrote, so every event appears once in the output.
+Each batch of each run writes to folders of its own, with overwrite: a batch that
+runs again replaces what it wrote, so every event appears once in the output.
+Batch ids start at 0 with every new checkpoint, so the run is part of the key and
+a new run adds to what earlier ones wrote.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +17,12 @@ from lettermill import schemas
 from lettermill.operators.display import application_rows, rejection_rows
 from lettermill.sources.files import count_lines
 
+FIRST_RUN = "single"
 FOLDERS = {"rejection": "rejections", "application": "applications"}
 
 
-def batch_path(out_dir: str, name: str, form: str, batch_id: int) -> str:
-    return f"{out_dir}/{name}/{form}/batch_id={batch_id}"
+def batch_path(out_dir: str, name: str, form: str, batch_id: int, run_id: str) -> str:
+    return f"{out_dir}/{name}/{form}/run_id={run_id}/batch_id={batch_id}"
 
 
 def json_records(enriched: DataFrame, event_type: str, processed_at: Column) -> DataFrame:
@@ -35,23 +40,27 @@ def json_records(enriched: DataFrame, event_type: str, processed_at: Column) ->
     )
 
 
-def write_json_lines(records: DataFrame, out_dir: str, event_type: str, batch_id: int) -> None:
+def write_json_lines(
+    records: DataFrame, out_dir: str, event_type: str, batch_id: int, run_id: str = FIRST_RUN
+) -> None:
     """Null fields are kept, as every line has all keys."""
     (
         records.write.mode("overwrite")
         .option("ignoreNullFields", "false")
-        .json(batch_path(out_dir, FOLDERS[event_type], "jsonl", batch_id))
+        .json(batch_path(out_dir, FOLDERS[event_type], "jsonl", batch_id, run_id))
     )
 
 
-def write_csv(rows: DataFrame, out_dir: str, event_type: str, batch_id: int) -> None:
+def write_csv(
+    rows: DataFrame, out_dir: str, event_type: str, batch_id: int, run_id: str = FIRST_RUN
+) -> None:
     """A header per part file, quotes doubled, empty text left empty."""
     (
         rows.write.mode("overwrite")
         .option("header", "true")
         .option("escape", '"')
         .option("emptyValue", "")
-        .csv(batch_path(out_dir, FOLDERS[event_type], "csv", batch_id))
+        .csv(batch_path(out_dir, FOLDERS[event_type], "csv", batch_id, run_id))
     )
 
 
@@ -66,17 +75,26 @@ def sheet_rows(enriched: DataFrame, event_type: str) -> DataFrame:
     return application_rows(enriched, schemas.APPLICATION_TITLES)
 
 
-def write_sheet_table(enriched: DataFrame, out_dir: str, event_type: str, batch_id: int) -> None:
+def write_sheet_table(
+    enriched: DataFrame, out_dir: str, event_type: str, batch_id: int, run_id: str = FIRST_RUN
+) -> None:
     """The sheet as a parquet table; titles contain spaces, so they are kept as they are."""
     (
         sheet_rows(enriched, event_type)
         .write.mode("overwrite")
-        .parquet(batch_path(out_dir, FOLDERS[event_type], "sheet", batch_id))
+        .parquet(batch_path(out_dir, FOLDERS[event_type], "sheet", batch_id, run_id))
+    )
+
+
+def sheet_sink(out_dir: str) -> Callable[[DataFrame, str, int, str], None]:
+    """A second sink that keeps the sheets as tables below ``out_dir``."""
+    return lambda good, event_type, batch_id, run_id: write_sheet_table(
+        good, out_dir, event_type, batch_id, run_id
     )
 
 
 def read_json_lines(spark: SparkSession, out_dir: str, event_type: str) -> DataFrame:
-    """All batches' JSON lines with their ``batch_id``."""
+    """All batches' JSON lines with their ``run_id`` and ``batch_id``."""
     return (
         spark.read.schema(schemas.ENRICHED).json(f"{out_dir}/{FOLDERS[event_type]}/jsonl")
     )

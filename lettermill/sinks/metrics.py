@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.operators.metrics import batch_metrics, label_distribution, metric_rows
+from lettermill.sinks.files import FIRST_RUN
 
 log = logging.getLogger(__name__)
 
@@ -19,6 +20,7 @@ def write_batch_metrics(
     event_type: str,
     batch_id: int,
     latency_seconds: float,
+    run_id: str = FIRST_RUN,
 ) -> bool:
     """Write one batch's metrics; a failure is logged and never ends the pipeline."""
     try:
@@ -37,7 +39,7 @@ def write_batch_metrics(
         )
         # A handful of rows: one file.
         rows.drop("batch_id", "event_type").coalesce(1).write.mode("overwrite").parquet(
-            f"{out_dir}/metrics/event_type={event_type}/batch_id={batch_id}"
+            f"{out_dir}/metrics/event_type={event_type}/run_id={run_id}/batch_id={batch_id}"
         )
         return True
     except Exception as exc:

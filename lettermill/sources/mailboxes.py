@@ -40,6 +40,26 @@ def read_message_files(spark: SparkSession, path: str, pattern: str = "*.eml") -
     return decode_messages(files.select("path", "content"), F.col("path"))
 
 
+def stream_message_files(
+    spark: SparkSession, path: str, pattern: str = "*.eml", max_files: int | None = None
+) -> DataFrame:
+    """New RFC 822 files below a folder as a stream of flat mail."""
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
+    )
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return decode_messages(reader.load(path).select("path", "content"), F.col("path"))
+
+
+def stream_graph_messages(spark: SparkSession, path: str) -> DataFrame:
+    """New files of REST messages, one JSON object a line, as a stream of flat mail."""
+    return normalise_messages(spark.readStream.schema(schemas.GRAPH_MESSAGE).json(path))
+
+
 def decode_messages(raw: DataFrame, uid: Column, source: str = "gmail") -> DataFrame:
     """Raw messages (``content`` binary) as flat mail, with ``error`` where unreadable."""
     decoded = raw.select(
@@ -58,7 +78,7 @@ def decode_messages(raw: DataFrame, uid: Column, source: str = "gmail") -> DataF
 
 def read_processed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids consumed so far; none before the first batch was marked."""
-    schema = "uid string, received_at string, batch_id long"
+    schema = "uid string, received_at string, run_id string, batch_id long"
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as exc:  # only a folder that is not there yet counts as empty
@@ -67,10 +87,11 @@ def read_processed_ids(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def mark_processed(mails: DataFrame, path: str, batch_id: int) -> None:
+def mark_processed(mails: DataFrame, path: str, batch_id: int, run_id: str = "single") -> None:
     """Record consumed ids; call it after the batch's events are written.
 
-    A batch that runs again replaces its own ids. The date is kept so that a
+    A batch that runs again replaces its own ids and no other run's. Mail without
+    an id leaves none. The date is kept so that a
     later batch can skip ids older than all its mail.
     """
     (
@@ -78,6 +99,7 @@ def mark_processed(mails: DataFrame, path: str, batch_id: int) -> None:
             F.col("uid").cast("string").alias("uid"),
             or_empty(F.col("received_at")).alias("received_at"),
         )
+        .filter("uid IS NOT NULL")
         .write.mode("overwrite")
-        .parquet(f"{path}/batch_id={batch_id}")
+        .parquet(f"{path}/run_id={run_id}/batch_id={batch_id}")
     )

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lettermill import rules
 from lettermill.models.backends import backend_name, labeller_for
 from lettermill.models.fitted import save_model, train
+from lettermill.sinks.files import sheet_sink
 from lettermill.sources.files import read_labelled
+from lettermill.sources.mailboxes import stream_message_files
 from lettermill.sources.topics import read_kafka_topic, write_kafka
-from lettermill.streaming.ingest import Ingest
+from lettermill.streaming.ingest import Ingest, Publish
 from lettermill.streaming.pipeline import EVENT_TYPE_OF_TOPIC, Pipeline, SecondSink, run
 
 
@@ -21,14 +23,18 @@ def consume(
     backend: str | None = None,
     model_path: str | None = None,
     second_sink: SecondSink | None = None,
+    sheet_dir: str | None = None,
     earliest: bool = False,
     every: str = "30 seconds",
 ) -> dict[str, int]:
     """Read both topics from Kafka until stopped; returns the rows written per kind.
 
-    Needs the Kafka connector of the running Spark version on the class path.
+    ``sheet_dir`` keeps the sheets as tables there, unless ``second_sink`` says
+    otherwise. Needs the Kafka connector of the running Spark version on the class path.
     """
     name = backend_name(backend)
+    if second_sink is None and sheet_dir is not None:
+        second_sink = sheet_sink(sheet_dir)
     pipeline = Pipeline(
         out_dir, backend=name, labeller=labeller_for(name, model_path), second_sink=second_sink
     )
@@ -56,12 +62,26 @@ def ingest(
     return job.poll(mails, checkpoint, every)
 
 
+def poll_message_files(
+    spark: SparkSession,
+    path: str,
+    publish: Publish,
+    processed_path: str,
+    checkpoint: str,
+    every: str | None = "60 seconds",
+    max_bytes: int | None = rules.MAX_MESSAGE_BYTES,
+):
+    """Publish the mail of message files as they appear in a folder."""
+    job = Ingest(publish, processed_path, max_bytes=max_bytes)
+    return job.poll(stream_message_files(spark, path), checkpoint, every)
+
+
 def train_from_files(
     spark: SparkSession,
     data_path: str,
     output_path: str,
     epochs: int = 3,
-    words: int | None = rules.CLASSIFIER_WORDS,
+    words: int | None = None,
 ) -> list[float]:
     """Fit on JSON lines of ``text, label`` and save; returns each epoch's held-out loss."""
     model, losses = train(read_labelled(spark, data_path), epochs=epochs, words=words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections import deque
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lettermill import rules, schemas
-from lettermill.functions.dates import iso_instant
 from lettermill.operators.deadletter import dead_letters, parse_payloads
 from lettermill.operators.enrich import enrich
 from lettermill.operators.events import utc_now
 from lettermill.sinks import files
 from lettermill.sinks.metrics import write_batch_metrics
+from lettermill.streaming.runs import stream_run
 
 log = logging.getLogger(__name__)
 
@@ -27,15 +27,18 @@ EVENT_TYPE_OF_TOPIC = {
     rules.TOPIC_REJECTIONS: "rejection",
     rules.TOPIC_APPLICATIONS: "application",
 }
-SecondSink = Callable[[DataFrame, str, int], None]
+SecondSink = Callable[[DataFrame, str, int, str], None]
 
 
 @dataclass
 class Pipeline:
     """What the batch handler needs to know.
 
-    ``second_sink`` gets the enriched batch, its kind and its id; when it fails
-    the failure is logged and the batch goes on. With ``stage_dir`` the enriched
+    ``second_sink`` gets the enriched batch, its kind, its id and its run's id; when
+    it fails the failure is logged and the batch goes on. A batch's output is keyed
+    by the stream's checkpoint and the batch id; batches handed over without a stream
+    belong to ``run_id``, by default a new one for every pipeline. Give a backfill a
+    name of its own to replace its output when it runs again. With ``stage_dir`` the enriched
     batch is written to a table there and every output reads that; without it
     the batch is cached, which suits batches that fit the executors' disks.
     """
@@ -46,9 +49,10 @@ class Pipeline:
     producer_name: str = "stream"
     second_sink: SecondSink | None = None
     processed_at: str | None = None
-    max_bytes: int = rules.MAX_MESSAGE_BYTES
+    max_bytes: int | None = None
     stage_dir: str | None = None
-    failures: deque[str] = field(default_factory=lambda: deque(maxlen=100))
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    failures: list[str] = field(default_factory=list)
 
     def enrich_batch(self, records: DataFrame, event_type: str) -> DataFrame:
         """Records with payload, failure reason and enriched fields, bad ones included."""
@@ -69,32 +73,37 @@ class Pipeline:
         enriched once, and the source is read once.
         """
         started = time.perf_counter()
-        batch = self._keep(self.enrich_batch(records, event_type), event_type, batch_id)
+        run_id = stream_run(records) or self.run_id
+        batch = self._keep(self.enrich_batch(records, event_type), event_type, batch_id, run_id)
         try:
             if not batch.isEmpty():
-                self._write(batch, event_type, batch_id, started)
+                self._write(batch, event_type, batch_id, run_id, started)
         finally:
             batch.unpersist()
 
-    def _keep(self, batch: DataFrame, event_type: str, batch_id: int) -> DataFrame:
+    def _keep(self, batch: DataFrame, event_type: str, batch_id: int, run_id: str) -> DataFrame:
         if self.stage_dir is None:
             return batch.persist(StorageLevel.MEMORY_AND_DISK)
-        path = f"{self.stage_dir}/event_type={event_type}/batch_id={batch_id}"
+        path = f"{self.stage_dir}/event_type={event_type}/run_id={run_id}/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(path)
         return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
-    def _write(self, batch: DataFrame, event_type: str, batch_id: int, started: float) -> None:
+    def _write(
+        self, batch: DataFrame, event_type: str, batch_id: int, run_id: str, started: float
+    ) -> None:
         stamp = utc_now() if self.processed_at is None else F.lit(self.processed_at)
         good = batch.filter(F.col("failure_reason").isNull())
         files.write_json_lines(
-            files.json_records(good, event_type, stamp), self.out_dir, event_type, batch_id
+            files.json_records(good, event_type, stamp), self.out_dir, event_type, batch_id, run_id
+        )
+        files.write_csv(
+            files.summary_rows(good, event_type), self.out_dir, event_type, batch_id, run_id
         )
-        files.write_csv(files.summary_rows(good, event_type), self.out_dir, event_type, batch_id)
         letters = dead_letters(batch, self.producer_name, stamp)
         letters.drop("topic").write.mode("overwrite").json(
-            f"{self.out_dir}/dead_letters/event_type={event_type}/batch_id={batch_id}"
+            f"{self.out_dir}/dead_letters/event_type={event_type}/run_id={run_id}/batch_id={batch_id}"
         )
-        self._write_second(good, event_type, batch_id)
+        self._write_second(good, event_type, batch_id, run_id)
         write_batch_metrics(
             good,
             self.out_dir,
@@ -102,13 +111,14 @@ class Pipeline:
             event_type,
             batch_id,
             time.perf_counter() - started,
+            run_id,
         )
 
-    def _write_second(self, good: DataFrame, event_type: str, batch_id: int) -> None:
+    def _write_second(self, good: DataFrame, event_type: str, batch_id: int, run_id: str) -> None:
         if self.second_sink is None:
             return
         try:
-            self.second_sink(good, event_type, batch_id)
+            self.second_sink(good, event_type, batch_id, run_id)
         except Exception as exc:
             self.failures.append(f"{event_type} batch {batch_id}: {exc}")
             log.error("second sink failed for %s batch %s: %s", event_type, batch_id, exc)
@@ -174,19 +184,24 @@ def dedup_stream(
     spread: Column | None = None,
     salts: int = 32,
 ) -> DataFrame:
-    """Drop repeats of an event that arrive within the delay.
+    """Drop repeats of an event that arrive within the delay of each other.
 
-    Only ids inside the watermark are held as state. An unreadable date falls
-    back to the time of ingest, because the watermark needs a time.
+    The clock is that of arrival, not the sender's: a mail dated in the future
+    makes no other late, and nothing that arrives is ever dropped for its age. Ids are
+    held as state for the delay. Events without an id all pass.
 
     A stream has no partial step before its shuffle, so all copies of one event
     meet in one task. With ``spread``, a column that differs between copies,
     such as the offset, copies are first dropped in ``salts`` separate slices,
     and at most that many of each event go on to the final step.
     """
-    when = F.coalesce(iso_instant(F.col("received_at")), iso_instant(F.col("ingested_at")))
-    timed = events.withColumn("received_ts", when).withWatermark("received_ts", delay)
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("no id "), F.expr("uuid()")))
+    timed = (
+        events.withColumn("arrived_at", F.current_timestamp())
+        .withWatermark("arrived_at", delay)
+        .withColumn("__key", own)
+    )
     if spread is not None:
         sliced = timed.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-        timed = sliced.dropDuplicatesWithinWatermark([key, "__salt"]).drop("__salt")
-    return timed.dropDuplicatesWithinWatermark([key])
+        timed = sliced.dropDuplicatesWithinWatermark(["__key", "__salt"]).drop("__salt")
+    return timed.dropDuplicatesWithinWatermark(["__key"]).drop("__key")
