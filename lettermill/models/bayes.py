@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill import rules
-from lettermill.functions.scoring import top_label, unless_blank
+from lettermill.functions.scoring import UNKNOWN, top_label, unless_blank
 from lettermill.functions.text import or_empty, text_array
 from lettermill.operators.phrases import plain_words
 from lettermill.sources.files import split_known_labels
@@ -81,6 +81,10 @@ def apply_bayes(
     key = F.md5(or_empty(F.col(text)))
     n = len(model.labels)
     seen = [k for k in range(n) if model.texts[k]]
+    if not seen:
+        nothing = F.lit(None).cast("double").alias(score)
+        return df.select("*", F.lit(UNKNOWN).alias(out), nothing)
+    total = sum(model.texts)
     keyed = df.select(key.alias("__key"), F.col(text).alias("__text"))
     copies = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__copies"))
     each = keyed.select("__key", F.explode(tokens(F.col("__text"))).alias("token"))
@@ -96,7 +100,6 @@ def apply_bayes(
         .agg(*[F.sum(F.col("__n") * F.coalesce(f"__w{k}", F.lit(unknown[k]))).alias(f"__s{k}") for k in seen])
     )
     logs = copies.join(sums, "__key", "left")
-    total = sum(model.texts)
     likely = [
         (F.coalesce(F.col(f"__s{k}") / F.col("__copies"), F.lit(0.0)) + math.log(model.texts[k] / total)) if k in seen
         else F.lit(None).cast("double")

@@ -63,8 +63,8 @@ def test_window_ends_after_1000_characters(spark):
     edge = "é" * 985
     rows = [("x", edge + "your submission"), ("x", edge + " your submission")]
     job = [(s, "job " + b[4:]) for s, b in rows]
-    assert categories(spark, job) == ["application", "unrelated"]
-    assert categories(spark, job, body_chars=None) == ["application", "application"]
+    assert categories(spark, job, body_chars=1000) == ["application", "unrelated"]
+    assert categories(spark, job) == ["application", "application"]
 
 
 def test_other_lexicon(spark):

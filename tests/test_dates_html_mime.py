@@ -90,10 +90,40 @@ def test_html_equals_the_parser_without_hidden_text(spark, folder):
     pages = table(spark, f"/root/testdata/{folder}", "pages").select(
         F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "").alias("html")
     )
-    rows = pages.select(html_text(F.col("html")).alias("a"), html_text_parsed("html").alias("b")).collect()
+    rows = pages.select(html_text(F.col("html")).alias("a"), html_text_parsed(F.col("html")).alias("b")).collect()
     assert rows and all(r["a"] == r["b"] for r in rows)
 
 
+def test_html_with_quoted_ends_and_open_tags(spark):
+    cases = {
+        '<a title="x>y">t</a>': "t",
+        '<img alt="a > b"><p>hi</p>': "hi",
+        "<p title=it's>x</p>y": "x y",
+        "<a href='1>2' b>q</a>": "q",
+        "t<script>var a = 1": "t",
+        "t<style>p{}": "t",
+        "a<!-- open <b>c": "a",
+        "a<b unclosed": "a",
+        "1 < 2 &lt; 3": "1 < 2 < 3",
+    }
+    assert apply(spark, html_text, cases) == list(cases.values())
+
+
+def test_open_markup_takes_linear_time(spark):
+    import time
+
+    for piece in ("<!--", "<a ", "<a b=\"", "<script>"):
+        started = time.perf_counter()
+        assert apply(spark, html_text, ["x" + piece * 100_000]) == ["x"]
+        assert time.perf_counter() - started < 20, piece
+    assert apply(spark, html_text, ["x<a " + "b=1 " * 50_000 + ">y"]) == ["x y"]
+
+
+def test_hidden_text_is_kept_as_written(spark):
+    cases = {"a<script>x &amp; <b></script>&amp;b": "a x &amp; <b> &b", "<style>p{}</style>": "p{}", "<p>a<!-- c -->b</p>": "a b"}
+    assert apply(spark, html_text_parsed, cases) == list(cases.values())
+
+
 def test_parser_keeps_hidden_text(spark):
     assert apply(spark, html_text_parsed, ["<script>a</script>b", None]) == ["a b", None]
 

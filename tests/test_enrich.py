@@ -67,9 +67,9 @@ def test_kind_as_a_column(spark):
 
 def test_window_of_600_characters(spark):
     body = "x" * 596 + " SRE"
-    assert one(spark, "s", body, "")["role_title"] == "SRE"
-    assert one(spark, "s", "x" + body, "")["role_title"] == ""
-    assert one(spark, "s", "x" + body, "", body_chars=None)["role_title"] == "SRE"
+    assert one(spark, "s", body, "", body_chars=600)["role_title"] == "SRE"
+    assert one(spark, "s", "x" + body, "", body_chars=600)["role_title"] == ""
+    assert one(spark, "s", "x" + body, "")["role_title"] == "SRE"
 
 
 def test_payload_columns_are_replaced(spark):

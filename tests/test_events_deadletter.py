@@ -125,12 +125,21 @@ def test_replay(spark):
     assert dl.replay(letters).count() == 7
 
 
-def test_default_limit_is_five_mebibytes(spark):
+def test_limit_of_five_mebibytes_when_asked_for(spark):
     rows = [(rules.TOPIC_REJECTIONS, b"x" * n) for n in (rules.MAX_MESSAGE_BYTES, rules.MAX_MESSAGE_BYTES + 1)]
     df = spark.createDataFrame(rows, "topic string, value binary")
-    assert {r["failure_reason"] for r in dl.parse_payloads(df).select("failure_reason").collect()} == {
+    limited = dl.parse_payloads(df, max_bytes=rules.MAX_MESSAGE_BYTES)
+    assert {r["failure_reason"] for r in limited.select("failure_reason").collect()} == {
         dl.MALFORMED, dl.OVERSIZE,
     }
+    assert {r["failure_reason"] for r in dl.parse_payloads(df).select("failure_reason").collect()} == {dl.MALFORMED}
+
+
+def test_records_a_broker_refuses(spark):
+    rows = [("t", b"k", b"abc"), ("t", None, b"abc"), ("t", b"k", b"abcd"), ("t", b"k", None)]
+    df = spark.createDataFrame(rows, "topic string, key binary, value binary")
+    assert [r["refusal"] for r in dl.refused(df, 3).collect()] == [None, dl.NULL_KEY, dl.OVERSIZE, None]
+    assert [r["refusal"] for r in dl.refused(df, None).collect()] == [None, dl.NULL_KEY, None, None]
 
 
 def test_topic_files(spark, tmp_path):

@@ -75,6 +75,7 @@ def test_backend_names():
     assert [backends.backend_name(x) for x in (None, "", " Scored ", "FITTED", "spam")] == [
         "rules", "rules", "scored", "fitted", "rules",
     ]
+    assert [backends.backend_name(x) for x in ("zero_shot", "Finetuned")] == ["scored", "fitted"]
     with pytest.raises(ValueError):
         backends.labeller_for("other")
 
@@ -136,3 +137,30 @@ def test_labeller_is_used_by_enrichment(spark):
     out = enrich(df, F.col("kind"), labeller=backends.labeller_for("scored"))
     assert [r["rejection_type"] for r in out.collect()] == ["hard_rejection", "n/a"]
     assert not [c for c in out.columns if c.startswith("__")]
+
+
+def test_bayes_equals_the_plain_rule(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from lettermill.models.bayes import apply_bayes, save_bayes, train_bayes
+
+    rows = [("not selected not", "hard_rejection"), ("keep in touch", "soft_rejection"), ("not now, touch", "soft_rejection"),
+            (None, "hard_rejection"), ("spam", "other label"), ("x", None)]
+    texts = ["not selected", "touch keep", "new words", "", None, "not selected"]
+    model = save_bayes(train_bayes(spark.createDataFrame(rows, "text string, label string")), str(tmp_path / "bayes"))
+    found = apply_bayes(model, spark.createDataFrame([(t, "kept") for t in texts], "text string, note string")).collect()
+    counts = {y: Counter(w for t, z in rows if z == y for w in (t or "").replace(",", "").split()) for y in ("hard_rejection", "soft_rejection")}
+    v = len({w for c in counts.values() for w in c})
+
+    def chances(text):
+        logs = {y: math.log(0.5) + sum(math.log((c[w] + 1) / (c.total() + v)) for w in (text or "").split()) for y, c in counts.items()}
+        return {y: math.exp(x) / sum(math.exp(z) for z in logs.values()) for y, x in logs.items()}
+
+    for row in found:
+        expected = chances(row["text"])
+        assert row["score"] == pytest.approx(max(expected.values())) and row["note"] == "kept"
+        assert row["label"] == (max(expected, key=expected.get) if row["text"] else "unknown")
+    assert len(found) == len(texts)
+    empty = train_bayes(spark.createDataFrame([], "text string, label string"))
+    assert [r["label"] for r in apply_bayes(empty, spark.createDataFrame([("a",)], "text string")).collect()] == ["unknown"]

@@ -111,7 +111,7 @@ def candidate_rows(spark, small_rows, broadcast_rows, names=NAMES):
     texts += [(900, ""), (901, None), (902, "Acme " * 50)]
     df = spark.createDataFrame(texts, "i int, t string")
     table = spark.createDataFrame([(n,) for n in names], "name string")
-    out = phrases.with_candidates(df, table, "i", F.col("t"), small_rows=small_rows, broadcast_rows=broadcast_rows)
+    out = phrases.with_candidates(df, table, F.col("t"), small_rows=small_rows, broadcast_rows=broadcast_rows)
     return dict(texts), {r["i"]: r["org_candidates"] for r in out.collect()}
 
 
@@ -120,7 +120,7 @@ def plain(text):
 
 
 def brute_candidates(text, names=NAMES):
-    padded = f" {plain((text or '')[:500])} "
+    padded = f" {plain(text)} "
     found = [
         (padded.index(f" {plain(n)} "), -len(plain(n)), n) for n in names if f" {plain(n)} " in padded
     ]
@@ -145,7 +145,7 @@ def test_joins_by_size(spark):
 
     def plan(broadcast_rows):
         return plan_of(
-            phrases.with_candidates(df, table, "i", F.col("t"), small_rows=0, broadcast_rows=broadcast_rows)
+            phrases.with_candidates(df, table, F.col("t"), small_rows=0, broadcast_rows=broadcast_rows)
         )
 
     for rows in (0, 1, 2):
@@ -156,18 +156,37 @@ def test_joins_by_size(spark):
 
 
 def test_long_entries_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "BROADCAST_BYTES", 3)
-    table = spark.createDataFrame([("Acme",)], "name string")
-    assert not phrases._fits_broadcast(table, 10, "name")
+    table = spark.createDataFrame([("Acme", "A long name")], "words string, name string")
+    sizes = phrases._sizes(table, "words", "name", F.length("words"))
+    assert sizes["bytes"] == 15 and sizes["longest"] == 4
+    assert phrases._fits(sizes, 10) and not phrases._fits(sizes, 0)
+    monkeypatch.setattr(phrases, "BROADCAST_BYTES", 14)
+    assert not phrases._fits(sizes, 10)
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_all_forms_give_one_answer_for_repeated_and_missing_ids(spark, way):
+    rows = [(1, "A B"), (1, "Zed Co"), (None, "Zed Co a b"), (None, None), (2, "A-B A B")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    names = spark.createDataFrame([("A B",), ("A-B",), ("Zed Co",), ("A",), (None,)], "name string")
+    out = phrases.with_candidates(df, names, F.col("t"), small_rows=way[0], broadcast_rows=way[1])
+    found = sorted(((r["i"], r["t"], r["org_candidates"]) for r in out.collect()), key=repr)
+    both = ["A B", "A-B", "A"]
+    assert found == sorted(
+        [(1, "A B", both), (1, "Zed Co", ["Zed Co"]), (None, "Zed Co a b", ["Zed Co"]), (None, None, []), (2, "A-B A B", both)],
+        key=repr,
+    )
 
 
 @pytest.mark.parametrize("way", WAYS)
 def test_first_rule_of_a_table(spark, way):
-    rows = [(2, "ab", "second"), (1, "abcd", "first"), (3, "zz top", "third"), (0, "", "never")]
+    rows = [(2, "ab", "second"), (1, "abcd", "first"), (3, "zz top", "third"), (0, "", "never"), (9, "q", "one letter")]
     table = spark.createDataFrame(rows, "priority int, keyword string, value string")
-    texts = ["xABx", "abcde", "a", "", None, "a zz top b", "zz abcd"]
+    texts = ["xABx", "abcde", "a", "", None, "a zz top b", "zz abcd", "qqq" * 200]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    out = phrases.with_first_rule(df, table, "i", F.col("t"), "none", *way)
+    out = phrases.with_first_rule(df, table, F.col("t"), "none", *way)
     assert [r["job_board"] for r in out.orderBy("i").collect()] == [
-        "second", "first", "none", "none", "none", "third", "first",
+        "second", "first", "none", "none", "none", "third", "first", "one letter",
     ]
+    none = phrases.with_first_rule(df, table.limit(0), F.col("t"), "none", *way)
+    assert {r["job_board"] for r in none.collect()} == {"none"}

@@ -12,7 +12,7 @@ from lettermill.session import work_dir
 from lettermill.sinks import files
 from lettermill.sources.topics import read_topic_files, stream_topic_files, write_topic_files
 from lettermill.streaming.ingest import Ingest
-from lettermill.streaming.jobs import train_from_files
+from lettermill.streaming.jobs import poll_message_files, train_from_files
 from lettermill.streaming.pipeline import (
     Pipeline,
     batch_seconds,
@@ -96,7 +96,7 @@ def test_restart_goes_on_where_it_stopped(spark, sf_dir):
 def test_failing_second_sink_is_skipped(spark, topics):
     out = work_dir(spark, "out")
 
-    def broken(df, kind, batch_id):
+    def broken(df, kind, batch_id, run_id):
         raise RuntimeError("sheet is down")
 
     pipeline = Pipeline(out, processed_at=STAMP, second_sink=broken)
@@ -229,6 +229,77 @@ def test_backfill_from_the_topic_table(spark, topics):
     assert files.output_counts(spark, out)["rejections"] == files.output_counts(spark, streamed)["rejections"]
 
 
+def test_a_new_checkpoint_adds_to_earlier_output(spark, sf_dir):
+    out = work_dir(spark, "out")
+    all_records = records(mails(spark, sf_dir))
+    totals = []
+    for part in (0, 1):
+        path = work_dir(spark, "topics")
+        write_topic_files(all_records.filter(F.col("offset") % 2 == part), path)
+        totals.append(sum(drain(spark, Pipeline(out, processed_at=STAMP), streams(spark, path), work_dir(spark, "cp")).values()))
+    good = parse_payloads(all_records).filter("failure_reason IS NULL").count()
+    assert 0 < totals[0] < totals[1] == good
+
+
+def test_ids_of_other_runs_are_kept(spark, sf_dir):
+    out, processed = work_dir(spark, "pub"), work_dir(spark, "seen")
+    flat = mails(spark, sf_dir).withColumnRenamed("doc_id", "uid").drop("is_read")
+
+    def handle(part):
+        # Every job is a run of its own, and each begins with batch 0.
+        name = work_dir(spark, "publish")
+        Ingest(lambda records, _: write_topic_files(records, f"{out}/{name[-8:]}"), processed).handle(part, 0)
+
+    handle(flat.filter("uid < 100"))
+    handle(flat.filter("uid >= 100"))
+    before = topic_count(spark, out)
+    assert spark.read.parquet(processed).count() == flat.count()
+    handle(flat)
+    assert topic_count(spark, out) == before == published(mails(spark, sf_dir)).count()
+
+
+def test_mail_without_an_id_is_never_merged(spark):
+    out, processed = work_dir(spark, "pub"), work_dir(spark, "seen")
+    rows = [(None, "gmail", f"not selected for a job {i}", "a@x.com", "2025", "") for i in range(3)]
+    df = spark.createDataFrame(rows, "uid string, source string, subject string, sender string, received_at string, body string")
+    ingest_into(spark, out, processed).handle(df, 0)
+    assert topic_count(spark, out) == 3
+
+
+def test_a_future_date_makes_no_other_mail_late(spark):
+    path, out = work_dir(spark, "in"), work_dir(spark, "out")
+    rows = [("a", "2099-01-01T00:00:00Z"), ("spam", "2099-01-01T00:00:00Z"), ("b", "2025-01-01T00:00:00Z"),
+            ("c", "2025-01-02T00:00:00Z"), ("b", "2025-01-01T00:00:00Z"), (None, "2025"), (None, "2025")]
+    schema = "event_id string, received_at string"
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    (
+        dedup_stream(stream).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", work_dir(spark, "cp")).trigger(availableNow=True).start()
+    ).awaitTermination()
+    assert sorted(str(r["event_id"]) for r in spark.read.parquet(out).collect()) == ["None", "None", "a", "b", "c", "spam"]
+
+
+def test_polling_message_files_with_a_refused_record(spark, tmp_path):
+    folder, out, processed = tmp_path / "mail", work_dir(spark, "pub"), work_dir(spark, "seen")
+    folder.mkdir()
+    for name, body in (("a", "short"), ("b", "long " * 500)):
+        head = "From: hr@x.com\nSubject: not selected for the job\nDate: Sun, 1 Jun 2025 10:00:00 +0000\n\n"
+        (folder / f"{name}.eml").write_text(head + body)
+    publish = lambda records, _: write_topic_files(records, out)
+    poll_message_files(spark, str(folder), publish, processed, work_dir(spark, "cp"), None, max_bytes=1000).awaitTermination()
+    topics = {r["topic"]: r["count"] for r in spark.read.parquet(out).groupBy("topic").count().collect()}
+    assert topics == {rules.TOPIC_REJECTIONS: 1, rules.TOPIC_DLQ_REJECTIONS: 1}
+
+
+def test_built_in_sheet_sink(spark, topics):
+    out, sheets = work_dir(spark, "out"), work_dir(spark, "sheets")
+    pipeline = Pipeline(out, processed_at=STAMP, second_sink=files.sheet_sink(sheets))
+    counts = drain(spark, pipeline, streams(spark, topics), work_dir(spark, "cp"))
+    assert spark.read.parquet(f"{sheets}/rejections/sheet").count() == counts["rejections"] > 0
+
+
 def test_training_job(spark, tmp_path):
     lines = [json.dumps({"text": f"not selected {i}" if i % 2 else f"stay in touch {i}",
                          "label": "hard_rejection" if i % 2 else "soft_rejection"}) for i in range(80)]
