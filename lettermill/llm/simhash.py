@@ -132,7 +132,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
     for k, (shift, width, radius) in enumerate(plan):
         keys = (
             crowds.filter(F.col("segment") == k)
-            .select(F.col("key").bitwiseXOR(F.explode(_masks(width, radius))).alias("key"))
+            .select("key", F.explode(_masks(width, radius)).alias("mask"))
+            .select(F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
             .distinct()
         )
         met = fps.withColumn("key", _segment(fp, shift, width)).join(keys, "key", "left_semi").select("fp")
