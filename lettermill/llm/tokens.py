@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from lettermill.llm.common import whole_text
 
 REMEMBERED = 300_000
+WORDS, PIECES = 400_000, 100_000
 
 # Unicode white space, as the tokenizers read \s.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Characters for which the patterns below and the tokenizers' normalizers are known to
 # agree with the library (a test goes through all of them). Others go to the library.
-_PLAIN = [*range(0x00, 0x130), *range(0x131, 0x250), *range(0x2000, 0x205F)]
-_UNUSUAL = re.compile("[^\\x00-\\u012f\\u0131-\\u024f\\u2000-\\u205e]|<\\|")
+_PLAIN = [*range(0x00, 0x130), *range(0x131, 0x180), *range(0x2000, 0x205F)]
+_UNUSUAL = re.compile("[^\\x00-\\u012f\\u0131-\\u017f\\u2000-\\u205e]|<\\|")
 
 
 def _class(kind: str) -> str:
@@ -71,14 +72,22 @@ def tokenizer(path: str):
 
 
 class Memory(dict):
-    """A dictionary that works out what it lacks; it starts anew when full."""
+    """A dictionary that works out what it lacks, of at most twice ``most`` keys.
+
+    When it is full it starts anew, but what it held stays at hand until it is
+    full again: so keys that come often are worked out once, and rare ones go.
+    """
 
     def __init__(self, find: Callable, most: int = REMEMBERED):
-        self.find, self.most = find, most
+        self.find, self.most, self.older = find, most, {}
 
     def __missing__(self, key):
-        value = self.find(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
         if len(self) >= self.most:
+            self.older = {}
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -158,22 +167,34 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def word_pieces(word: str) -> list[str]:
+    """A plain word's pieces as the word-level vocabulary spells them."""
+    low = word.lower()
+    if word.isascii():
+        # The common cases without the pattern: letters alone, or with one sign behind.
+        if word.isalpha():
+            return [low]
+        if word[:-1].isalpha():
+            return [low[:-1], byte_letters(low[-1])]
+    return [byte_letters(p) for p in _WORD_PIECES.findall(low)]
+
+
 @cache
 def _word_ids(path: str) -> Memory:
-    merge = tokenizer(path).model.tokenize
-    vocabulary = tokenizer(path)
-    pieces = Memory(lambda p: np.array([t.id for t in merge(byte_letters(p))], "<u4").tobytes())
+    library = tokenizer(path)
+    merge = library.model.tokenize
+    pieces = Memory(lambda p: array("I", [t.id for t in merge(p)]).tobytes(), PIECES)
 
     def find(word: str) -> bytes:
         if _UNUSUAL.search(word):
-            return np.array(vocabulary.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(pieces.__getitem__, _WORD_PIECES.findall(word.lower())))
+            return array("I", library.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(pieces.__getitem__, word_pieces(word)))
 
-    return Memory(find)
+    return Memory(find, WORDS)
 
 
 def word_ids(text: str, path: str) -> bytes:
-    """Token ids of a whole text, as little-endian unsigned 32-bit numbers.
+    """Token ids of a whole text, as unsigned 32-bit numbers in the machine's order (little-endian).
 
     For tokenizers that lower-case and drop white space, as ``word_bpe_49k.json``:
     the ids of a text are those of its words in a row.
