@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import whole_text
+from lettermill.llm.common import store, whole_text
 from lettermill.llm.samples import is_held_out, labelled_sample
+from lettermill.llm.tokens import Memory
 
 SLOTS = 1 << 20
 FACTORS = 4
@@ -44,51 +45,64 @@ class FactorModel:
     rows: dict[int, int]
     table: np.ndarray
 
-    def term_row(self, term: str) -> np.ndarray:
-        """A term's weight, factors and square of the factors' length."""
+    def term_row(self, term: str) -> np.ndarray | None:
+        """A term's weight, factors and square of the factors' length; None without a slot in use."""
         found = [r for r in map(self.rows.get, term_slots(term)) if r]
-        out = np.zeros(self.table.shape[1] + 1, np.float32)
-        if found:
-            out[:-1] = self.table[found].sum(0)
-            out[-1] = out[1:-1] @ out[1:-1]
+        if not found:
+            return None
+        out = np.empty(self.table.shape[1] + 1, np.float32)
+        out[:-1] = self.table[found].sum(0)
+        out[-1] = out[1:-1] @ out[1:-1]
         return out
 
 
+def slot_counts(texts, labels) -> np.ndarray:
+    """How many texts with label 0, and with label 1, have each slot."""
+    seen = np.zeros((2, SLOTS), np.int64)
+    for text, label in zip(texts, labels, strict=True):
+        own = {s for t in terms(text) for s in term_slots(t)}
+        seen[int(label), np.fromiter(own, np.int64, len(own))] += 1
+    return seen
+
+
+def screen_score(zeros, ones, n_zeros, n_ones):
+    """By how many standard errors a slot's share of texts differs between the labels."""
+    mean = (zeros + ones) / (n_zeros + n_ones)
+    spread = mean * (1 - mean) * (1 / n_zeros + 1 / n_ones)
+    return (ones / n_ones - zeros / n_zeros) / spread**0.5
+
+
+def pack_text(text: str, rows: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A text's slots in use as rows of the table, term by term, and how many each term has."""
+    kept = [[rows[s] for s in term_slots(t) if s in rows] for t in sorted(terms(text))]
+    kept = [k for k in kept if k]
+    return np.array([r for k in kept for r in k], np.int32), np.array([len(k) for k in kept], np.int32)
+
+
+def constant_model(share: float, factors: int = FACTORS) -> FactorModel:
+    """For labels of one kind only, or none: every score is their share."""
+    return FactorModel(30.0 if share else -30.0, {}, np.zeros((1, factors + 1), np.float32))
+
+
 def fit_factors(
-    texts: list[str], labels: np.ndarray, factors: int = FACTORS, least_texts: int = LEAST_TEXTS,
-    least_z: float = LEAST_Z, epochs: int = 15, batch: int = 64, rate: float = 0.1, ridge: float = 1e-4, seed: int = 11,
+    packed: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rows: dict[int, int], factors: int = FACTORS,
+    epochs: int = 15, batch: int = 64, rate: float = 0.1, ridge: float = 1e-4, seed: int = 11,
 ) -> FactorModel:
-    """Logistic loss by AdaGrad.
+    """Logistic loss by AdaGrad, from packed texts.
 
     A text's score is the bias, the weights of its terms, and the products of
     the factors of every two of its terms; a term's weight and factors are the
-    sums over its slots. Slots are used that are in ``least_texts`` texts and
-    whose share of texts differs between the labels by ``least_z`` standard
-    errors; without that the few labelled texts would be learned by heart. With labels of one kind only, or none, every score is their share.
+    sums over its slots.
     """
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
-        return FactorModel(30.0 if share else -30.0, {}, np.zeros((1, factors + 1), np.float32))
-    found = [[term_slots(t) for t in sorted(terms(text))] for text in texts]
-    seen = np.zeros((2, SLOTS), np.int64)
-    for text, label in zip(found, labels, strict=True):
-        seen[int(label), np.unique([s for slots in text for s in slots]).astype(np.int64)] += 1
-    n = np.array([[len(labels) - labels.sum()], [labels.sum()]])
-    mean = seen.sum(0) / len(labels)
-    z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(mean * (1 - mean) * (1 / n).sum(), 1e-12))
-    chosen = np.flatnonzero((seen.sum(0) >= least_texts) & (np.abs(z) >= least_z))
-    rows = {int(s): k for k, s in enumerate(chosen, 1)}
-    packed = []
-    for text in found:
-        kept = [[rows[s] for s in slots if s in rows] for slots in text]
-        kept = [k for k in kept if k]
-        packed.append((np.array([r for k in kept for r in k], np.int64), np.array([len(k) for k in kept], np.int64)))
+        return constant_model(share, factors)
     random = np.random.default_rng(seed)
     table = np.zeros((len(rows) + 1, factors + 1))
     table[1:, 1:] = random.normal(0, 0.02, (len(rows), factors))
     squares = np.full_like(table, 1e-6)
     bias, bias_square = float(np.log(share / (1 - share))), 1e-6
-    order = np.arange(len(texts))
+    order = np.arange(len(packed))
     for _ in range(epochs):
         random.shuffle(order)
         for at in range(0, len(order), batch):
@@ -121,42 +135,79 @@ def fit_factors(
 
 def score_texts(model: FactorModel, remembered: int = REMEMBERED):
     """A function from texts to scores between 0 and 1. Terms' rows are remembered, up to a bound."""
-    places: dict[str, int] = {}
-    width = model.table.shape[1] + 1
-    held = np.zeros((1024, width), np.float32)
+    held = np.zeros((1024, model.table.shape[1] + 1), np.float32)
     used = 1  # row 0: terms without a slot in use
 
-    def score(texts) -> np.ndarray:
+    def place(term: str) -> int:
         nonlocal held, used
+        row = model.term_row(term)
+        if row is None:
+            return 0
+        if used == len(held):
+            held = np.concatenate([held, np.zeros_like(held)])
+        held[used] = row
+        used += 1
+        return used - 1
+
+    places = Memory(place, remembered)
+
+    def score(texts) -> np.ndarray:
+        nonlocal used
         out = np.zeros(len(texts))
         for k, text in enumerate(texts):
-            if len(places) >= remembered:
+            if used > remembered:
                 places.clear()
+                places.older = {}
                 used = 1
             words = terms(text)
-            for word in words - places.keys():
-                row = model.term_row(word)
-                if row.any():
-                    if used == len(held):
-                        held = np.concatenate([held, np.zeros_like(held)])
-                    held[used] = row
-                    places[word] = used
-                    used += 1
-                else:
-                    places[word] = 0
-            at = np.sort(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
-            total = held[at[at > 0]].sum(0, dtype=np.float64)
+            at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            total = held[np.sort(at[at > 0])].sum(0, dtype=np.float64)
             out[k] = model.bias + total[0] + 0.5 * (total[1:-1] @ total[1:-1] - total[-1])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     return score
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorModel:
-    """A model from ``labels`` (``doc_id``, ``label`` 0 or 1) of at most ``sample`` documents."""
-    rows = labelled_sample(docs, labels, sample).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit_factors([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float64))
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z,
+) -> FactorModel:
+    """A model from ``labels`` (``doc_id``, ``label`` 0 or 1) of at most ``sample`` documents.
+
+    Slots are used that ``least_texts`` texts have and whose share of texts
+    differs between the labels by ``least_z`` standard errors: without that the
+    few labelled texts would be learned by heart. The executors count and choose
+    them; only the chosen slots, and which of them each text has, come to the driver.
+    """
+    rows = store(labelled_sample(docs, labels, sample), "sample")
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    zeros, ones = totals.get(0, 0), totals.get(1, 0)
+    if not zeros or not ones:
+        return constant_model(1.0 if ones else 0.0)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, SLOTS), np.int64)
+        for batch in batches:
+            seen += slot_counts(batch["text"], batch["label"])
+        there = np.flatnonzero(seen.sum(0))
+        yield pd.DataFrame({"slot": there, "zeros": seen[0, there], "ones": seen[1, there]})
+
+    counts = rows.mapInPandas(count, "slot long, zeros long, ones long").groupBy("slot")
+    counts = counts.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    score = screen_score(F.col("zeros"), F.col("ones"), F.lit(zeros), F.lit(ones))
+    enough = counts.filter((F.col("zeros") + F.col("ones")).between(least_texts, zeros + ones - 1))
+    chosen = sorted(r["slot"] for r in enough.filter(F.abs(score) >= least_z).select("slot").collect())
+    places = {slot: k for k, slot in enumerate(chosen, 1)}
+    shared = docs.sparkSession.sparkContext.broadcast(places)
+
+    @F.pandas_udf("struct<slots:binary,sizes:binary>")
+    def packed(texts: pd.Series) -> pd.DataFrame:
+        both = [pack_text(t, shared.value) for t in texts]
+        return pd.DataFrame({"slots": [a.tobytes() for a, _ in both], "sizes": [b.tobytes() for _, b in both]})
+
+    found = rows.select("doc_id", "label", packed("text").alias("p")).collect()
+    found.sort(key=lambda r: r["doc_id"])
+    arrays = [tuple(np.frombuffer(r["p"][c], np.int32) for c in ("slots", "sizes")) for r in found]
+    return fit_factors(arrays, np.array([r["label"] for r in found], np.float64), places)
 
 
 def toxicity(docs: DataFrame, model: FactorModel, predict_at: float = PREDICT_AT) -> DataFrame:

@@ -70,7 +70,8 @@ def test_pairs_are_learned_that_single_terms_miss():
         words = [f"w{k}" for k in draw.integers(0, 40, 6)] + ["insult"] * int(insult) + ["group"] * int(group)
         texts.append(" ".join(words))
         labels.append(float(insult and group))
-    model = toxicity.fit_factors(texts[:900], np.array(labels[:900]), epochs=30)
+    rows = {s: k for k, s in enumerate(sorted({s for t in texts[:900] for w in toxicity.terms(t) for s in toxicity.term_slots(w)}), 1)}
+    model = toxicity.fit_factors([toxicity.pack_text(t, rows) for t in texts[:900]], np.array(labels[:900]), rows, epochs=30)
     score = toxicity.score_texts(model, remembered=20)
     assert np.mean((score(texts[900:]) >= 0.5) == np.array(labels[900:])) > 0.97
     for text in texts[900:910]:
