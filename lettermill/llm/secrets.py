@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.text import let
 from lettermill.llm.common import broadcast_if_small, fresh, store, whole_text
+from lettermill.llm.samples import least_hashed
 
 SHORTEST = 12
 SAMPLE = 6000
@@ -142,7 +143,7 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
         docs["doc_id"].alias("doc_id"), where.alias("path"), F.xxhash64(text, docs["doc_id"]).alias("seed"),
         F.slice(F.split(F.substring(text, 1, 400), SPACES), 1, 24).alias("words"),
     )
-    rows = rows.orderBy("seed", "doc_id").limit(sample)
+    rows = least_hashed(rows, "seed", sample, "doc_id")
     seed = F.col("seed").cast("string")
     hex40, hex32, hex64 = F.sha1(seed), F.md5(seed), F.sha2(seed, 256)
     base64 = F.base64(F.unhex(hex64))
