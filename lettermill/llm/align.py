@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -43,3 +45,25 @@ def local_align(item: Sequence, text: Sequence, diagonal: int = 0, band: int | N
                 best = (cell[0], cell[1], cell[2], j + 1)
         above = row
     return best
+
+
+def score_bound(item: np.ndarray, text: np.ndarray) -> int:
+    """No local alignment scores more: words of ``text`` that ``item`` has count as matches, all others as edits."""
+    gain = np.where(np.isin(text, item), MATCH, MISMATCH)
+    total = np.concatenate([[0], np.cumsum(gain)])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
+def local_score(item: np.ndarray, text: np.ndarray) -> int:
+    """The score of ``local_align`` alone, a row of the table at a time."""
+    if not len(text):
+        return 0
+    places = np.arange(len(text) + 1) * -GAP
+    above, best = np.zeros(len(text) + 1, np.int64), 0
+    for word in item:
+        row = np.maximum(above + GAP, 0)
+        row[1:] = np.maximum(row[1:], above[:-1] + np.where(text == word, MATCH, MISMATCH))
+        # A gap along the row costs the same for each word that it passes.
+        above = np.maximum.accumulate(row + places) - places
+        best = max(best, int(above.max()))
+    return best

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.align import MATCH, local_align
+from lettermill.llm.align import MATCH, local_align, local_score, score_bound
 from lettermill.llm.common import whole_text
 
 SEED_WORDS = 3
-SPREAD = 4
+SPREAD = 1
 LEAST = 0.4
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
@@ -82,7 +82,9 @@ def rare_seeds(items: Items, counts: np.ndarray, spread: int = SPREAD) -> dict[i
 
     Of every ``spread`` n-grams in a row the one that the corpus has least
     often is a seed, so a copied run of ``spread + size - 1`` words always has
-    one, however often the corpus repeats it.
+    one, however often the corpus repeats it. A ``spread`` of 1 makes every
+    n-gram a seed; a greater one loses edited copies, of which the rarest
+    n-grams are those that the edits broke.
     """
     seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for item, words in enumerate(items.words):
@@ -118,6 +120,17 @@ def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
+def _windows(starts: list[int], length: int, slack: int) -> Iterator[tuple[int, int]]:
+    """The passages that reach ``slack`` words beyond copies with these starts; those that overlap are one."""
+    low, until = max(0, starts[0] - slack), starts[0] + length + slack
+    for start in starts[1:]:
+        if start - slack > until:
+            yield low, until
+            low = max(0, start - slack)
+        until = start + length + slack
+    yield low, until
+
+
 def match_text(text: str, items: Items, grams: np.ndarray, seeds: list, least: float) -> list[dict]:
     """The best alignment of each item that reaches ``least`` in one text."""
     numbers = items.numbers(text)
@@ -129,27 +142,26 @@ def match_text(text: str, items: Items, grams: np.ndarray, seeds: list, least: f
     out = []
     for item, starts in sorted(diagonals.items()):
         words = items.words[item]
-        length = len(words)
-        slack = max(4, length // 2)
-        best, until = (0, 0, 0, 0), None
+        own, length = np.array(words, np.int64), len(words)
+        enough = least * MATCH * length
+        # As many words as an alignment that scores enough can have beyond the item's.
+        slack = max(0, int(MATCH * length - enough))
+        best = (0, 0, 0, 0)
         for start in sorted(starts):
-            # One window for the seeds whose windows would overlap it.
-            if until is not None and start + length + slack <= until:
-                continue
-            low, until = max(0, start - slack), start + 2 * (length + slack)
-            window = numbers[low:until].tolist()
-            if window[start - low : start - low + length] == words:
-                found_here = (MATCH * length, length, start, start + length)
-            else:
-                score, same, first, end = local_align(words, window)
-                found_here = (score, same, low + first, low + end)
-            if found_here[0] > best[0]:
-                best = found_here
-        score = best[0] / (MATCH * length)
-        if score >= least:
+            if start >= 0 and numbers[start : start + length].tolist() == words:
+                best = (MATCH * length, length, start, start + length)
+                break
+        else:
+            for low, until in _windows(sorted(starts), length, slack):
+                window = numbers[low:until]
+                if score_bound(own, window) < enough or local_score(own, window) < max(enough, best[0] + 1):
+                    continue
+                score, same, first, end = local_align(words, window.tolist())
+                best = (score, same, low + first, low + end)
+        if best[0] and best[0] >= enough:
             out.append(
                 {
-                    "item_id": items.ids[item], "score": round(score, 6), "matched": best[1],
+                    "item_id": items.ids[item], "score": round(best[0] / (MATCH * length), 6), "matched": best[1],
                     "item_words": length, "first_word": best[2], "end_word": best[3],
                 }
             )
@@ -173,7 +185,8 @@ def item_blocks(benchmark: DataFrame, size: int = SEED_WORDS, block_chars: int =
 
 def matcher(docs: DataFrame, items: Items, spread: int = SPREAD, least: float = LEAST):
     """A column function from text to the items found in it."""
-    seeds = rare_seeds(items, corpus_counts(docs, items), spread)
+    counts = corpus_counts(docs, items) if spread > 1 else np.zeros(len(items.grams), np.int64)
+    seeds = rare_seeds(items, counts, spread)
     grams = np.array(sorted(seeds), np.uint64)
     lists = [seeds[int(g)] for g in grams]
     shared = docs.sparkSession.sparkContext.broadcast((items, grams, lists))
@@ -196,7 +209,8 @@ def contaminated(
 
     ``score`` is the local alignment score over that of a full copy, 0 to 1;
     rows reach ``least``. One row per document row and item, for its best
-    passage; words are counted from 0. Items of fewer than ``size`` words and
+    passage; words are counted from 0. Every passage with ``size`` unedited
+    words in a row is aligned, however often the corpus has them. Items of fewer than ``size`` words and
     null or empty texts match nothing; repeated rows and repeated ids give
     their rows each; other columns are ignored. The items are taken in blocks
     of bounded size, each against all documents.

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lettermill.llm import decontaminate, queries
-from lettermill.llm.align import local_align
+from lettermill.llm.align import local_align, local_score, score_bound
 from lettermill.llm.decontaminate import Items, words_of
 from tests.llm.helpers import DOCS, LONG, ODD, documents, rows_of, texts_of
 
@@ -105,3 +105,31 @@ def test_odd_rows_and_blocks(spark):
     none = decontaminate.contaminated(docs, bench.limit(0))
     assert none.count() == 0 and none.columns == decontaminate.contaminated(docs, bench).columns
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
+def test_scores_alone_equal_the_full_table(a, b):
+    own, text = np.array(a, np.int64), np.array(b, np.int64)
+    assert local_score(own, text) == smith_waterman(a, b) <= score_bound(own, text)
+
+
+def every(n: int, mark: str) -> str:
+    return " ".join(f"{mark}{k}" if k % n == n - 1 else w for k, w in enumerate(ITEM.split()))
+
+
+def test_copies_edited_every_few_words_are_found(spark):
+    """As the sole copy in the corpus, beside full copies, and as one of many alike."""
+    bench = benchmark(spark, [(1, ITEM)])
+    for n in (4, 5, 6):
+        sole = documents(spark, [(1, f"before {every(n, 'new')} after"), (2, "nothing of it here")])
+        assert [r["doc_id"] for r in decontaminate.contaminated(sole, bench).collect()] == [1]
+    texts = [(k, f"intro {k} {every(4 + k % 3, f'new{k}x') if k % 4 else ITEM} outro") for k in range(80)]
+    found = decontaminate.contaminated(documents(spark, texts), bench)
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(80))
+
+
+def test_copies_stretched_by_inserted_words_are_found(spark):
+    words = ITEM.split()
+    stretched = " ".join(" ".join(words[k : k + 3]) + f" put{k} in{k} here{k}" for k in range(0, len(words), 3))
+    found = decontaminate.contaminated(documents(spark, [(1, stretched)]), benchmark(spark, [(1, ITEM)])).collect()
+    assert [r["score"] for r in found] == [round(smith_waterman(words, stretched.split()) / (2 * len(words)), 6)]
