@@ -18,6 +18,7 @@ from lettermill.llm.common import whole_text
 SEED_WORDS = 3
 SPREAD = 1
 LEAST = 0.4
+PASSAGE = 30
 BLOCK_CHARS = 16_000_000
 _WORD = re.compile(r"\w+")
 _FOUND = "array<struct<item_id:long,score:double,matched:int,item_words:int,first_word:int,end_word:int>>"
@@ -131,8 +132,8 @@ def _windows(starts: list[int], length: int, slack: int) -> Iterator[tuple[int,
     yield low, until
 
 
-def match_text(text: str, items: Items, grams: np.ndarray, seeds: list, least: float) -> list[dict]:
-    """The best alignment of each item that reaches ``least`` in one text."""
+def match_text(text: str, items: Items, grams: np.ndarray, seeds: list, least: float, passage: int = PASSAGE) -> list[dict]:
+    """The best alignment of each item in one text that reaches ``least``, or scores as ``passage`` copied words do."""
     numbers = items.numbers(text)
     at, found = items.hits(numbers, grams)
     diagonals: dict[int, set[int]] = defaultdict(set)
@@ -143,7 +144,7 @@ def match_text(text: str, items: Items, grams: np.ndarray, seeds: list, least: f
     for item, starts in sorted(diagonals.items()):
         words = items.words[item]
         own, length = np.array(words, np.int64), len(words)
-        enough = least * MATCH * length
+        enough = MATCH * min(least * length, passage)
         # As many words as an alignment that scores enough can have beyond the item's.
         slack = max(0, int(MATCH * length - enough))
         best = (0, 0, 0, 0)
@@ -183,7 +184,7 @@ def item_blocks(benchmark: DataFrame, size: int = SEED_WORDS, block_chars: int =
         yield Items.of(block, size)
 
 
-def matcher(docs: DataFrame, items: Items, spread: int = SPREAD, least: float = LEAST):
+def matcher(docs: DataFrame, items: Items, spread: int = SPREAD, least: float = LEAST, passage: int = PASSAGE):
     """A column function from text to the items found in it."""
     counts = corpus_counts(docs, items) if spread > 1 else np.zeros(len(items.grams), np.int64)
     seeds = rare_seeds(items, counts, spread)
@@ -195,20 +196,21 @@ def matcher(docs: DataFrame, items: Items, spread: int = SPREAD, least: float =
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, keys, places = shared.value
         for texts in batches:
-            yield pd.Series([match_text(t, own, keys, places, least) for t in texts], dtype=object)
+            yield pd.Series([match_text(t, own, keys, places, least, passage) for t in texts], dtype=object)
 
     return found
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS, spread: int = SPREAD,
-    least: float = LEAST, block_chars: int = BLOCK_CHARS,
+    least: float = LEAST, block_chars: int = BLOCK_CHARS, passage: int = PASSAGE,
 ) -> DataFrame:
     """Test items found in documents: ``doc_id``, ``item_id``, ``score``, ``matched``,
     ``item_words``, ``first_word``, ``end_word``.
 
     ``score`` is the local alignment score over that of a full copy, 0 to 1;
-    rows reach ``least``. One row per document row and item, for its best
+    rows reach ``least``, or the score of ``passage`` words copied in a row
+    however long the item is. One row per document row and item, for its best
     passage; words are counted from 0. Every passage with ``size`` unedited
     words in a row is aligned, however often the corpus has them. Items of fewer than ``size`` words and
     null or empty texts match nothing; repeated rows and repeated ids give
@@ -217,7 +219,7 @@ def contaminated(
     """
     out = None
     for items in item_blocks(benchmark, size, block_chars):
-        found = matcher(docs, items, spread, least)
+        found = matcher(docs, items, spread, least, passage)
         rows = docs.select(docs["doc_id"].alias("doc_id"), F.explode(found(whole_text(docs))).alias("found"))
         rows = rows.select("doc_id", "found.*")
         out = rows if out is None else out.union(rows)
@@ -233,7 +235,7 @@ def _schema(docs: DataFrame) -> str:
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = SEED_WORDS, spread: int = SPREAD,
-    least: float = LEAST, block_chars: int = BLOCK_CHARS,
+    least: float = LEAST, block_chars: int = BLOCK_CHARS, passage: int = PASSAGE,
 ) -> DataFrame:
     """``docs`` without the rows in which a test item is found; all columns kept.
 
@@ -241,6 +243,6 @@ def drop_contaminated(
     """
     kept = docs
     for items in item_blocks(benchmark, size, block_chars):
-        found = matcher(docs, items, spread, least)
+        found = matcher(docs, items, spread, least, passage)
         kept = kept.filter(F.size(found(whole_text(kept))) == 0)
     return kept

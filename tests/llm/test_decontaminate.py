@@ -133,3 +133,14 @@ def test_copies_stretched_by_inserted_words_are_found(spark):
     stretched = " ".join(" ".join(words[k : k + 3]) + f" put{k} in{k} here{k}" for k in range(0, len(words), 3))
     found = decontaminate.contaminated(documents(spark, [(1, stretched)]), benchmark(spark, [(1, ITEM)])).collect()
     assert [r["score"] for r in found] == [round(smith_waterman(words, stretched.split()) / (2 * len(words)), 6)]
+
+
+def test_long_passages_of_longer_items_are_found(spark):
+    item = [f"term{k}" for k in range(300)]
+    edited_run = [f"new{k}" if k % 5 == 4 else w for k, w in enumerate(item[50:150])]
+    texts = [(1, item[100:200]), (2, edited_run), (3, item[:12]), (4, item[:15] + ["other"] * 60 + item[200:214])]
+    docs = documents(spark, [(i, " ".join(["start", *words, "end"])) for i, words in texts])
+    bench = benchmark(spark, [(1, " ".join(item))])
+    found = {r["doc_id"]: (r["score"], r["matched"], r["first_word"], r["end_word"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(found) == {1, 2} and found[1] == (round(1 / 3, 6), 100, 1, 101)
+    assert decontaminate.drop_contaminated(docs, bench).count() == 2
