@@ -18,7 +18,15 @@ SAMPLE = 6000
 SECRET_AT = 0.5
 MASK = "[SECRET]"
 SPACES = r"[\x09-\x0D\x20]+"
-_VALUE = rf"(?:^|[^A-Za-z0-9+/_.\-])([A-Za-z0-9+/_.\-]{{{SHORTEST - 1},}}[A-Za-z0-9+/_]={{0,2}})"
+_RUN = r"[A-Za-z0-9+/_.\-]"
+_VALUE = rf"^{_RUN}{{{SHORTEST - 1},}}[A-Za-z0-9+/_]={{0,2}}$"
+_LONG = rf"{_RUN}{{{SHORTEST - 1}}}"
+_END = r"""(?:={1,2}(?![^"'`,;&(){}\[\]<>]))?"""
+# The parts of a word: runs with their padding, and what lies between, up to an assigning sign.
+_PARTS = (
+    rf"""{_RUN}+{_END}|"""
+    rf"""[^A-Za-z0-9+/_.\-]+?(?=$|{_RUN}|(?<=[=:]["'`]?).)"""
+)
 _NAMES = r"token|secret|passw|pwd|api.?key|auth|credential|private|access|signature|bearer"
 _HARMLESS = (
     r"commit|revision|checksum|digest|sha\d*|md5|hash|uuid|guid|build|version|example|sample|dummy|test|"
@@ -38,28 +46,28 @@ def _near(words: Column, at: Column) -> Column:
 
 def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Strings that could be secrets, one row each: ``doc_id``, ``word_at`` (the word's
-    place in the text from 0), ``value``, ``before2``, ``before``, ``after``, ``path``.
-
-    A candidate is a run of at least 12 letters, digits and ``+/_.-`` in a
-    word, with a digit, or with a sign of assignment before it. ``path`` is
-    where the text comes from (empty if there is no such column).
+    place in the text from 0), ``part_at`` (its place among the word's parts), ``value``,
+    ``before2``, ``before``, ``after``, ``word`` (the value and what is next to it in its word), ``path``.
+
+    Candidates are all runs of at least 12 letters, digits and ``+/_.-`` in a
+    word, with a digit, or with a sign of assignment before them. A name to which the
+    word itself gives a value is none unless it has a digit. ``before`` is the key
+    inside the word if there is one. ``path`` is where the text comes from
+    (empty if there is no such column).
     """
     where = F.coalesce(docs[path_column].cast("string"), F.lit("")) if path_column else F.lit("")
     split = F.split(whole_text(docs), SPACES)
 
     def found(words: Column) -> Column:
         def possible(at: Column) -> Column:
-            word = F.get(words, at)
-            return (F.length(word) >= SHORTEST) & (
-                (word.rlike(r"\d") | word.rlike(r"[=:]") | _near(words, at - 1).rlike(r"[=:]$")) & word.rlike(_VALUE)
-            )
+            word, before = F.get(words, at), _near(words, at - 1)
+            assigned = word.rlike(r"[=:]") | before.rlike(r"[=:]$")
+            return (F.length(word) >= SHORTEST) & (assigned | word.rlike(r"\d")) & word.rlike(_LONG)
 
         def described(at: Column) -> Column:
             return F.struct(
-                at.alias("word_at"), F.get(words, at).alias("word"),
-                F.regexp_extract(F.get(words, at), _VALUE, 1).alias("value"),
-                _near(words, at - 2).alias("before2"), _near(words, at - 1).alias("before"),
-                _near(words, at + 1).alias("after"),
+                at.alias("word_at"), F.get(words, at).alias("word"), _near(words, at - 2).alias("before2"),
+                _near(words, at - 1).alias("before"), _near(words, at + 1).alias("after"),
             )
 
         return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), possible), described)
@@ -68,8 +76,35 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
         docs["doc_id"].alias("doc_id"), where.alias("path"), *[docs[c].alias(c) for c in keep],
         F.explode(let(split, found)).alias("c"),
     )
-    assigned = F.col("c.before").rlike(r"[=:]$") | F.col("c.word").rlike(r"[=:]")
-    return rows.filter(F.col("c.value").rlike(r"\d") | assigned).select("doc_id", "path", *keep, "c.*")
+    word, before, before2 = F.col("c.word"), F.col("c.before"), F.col("c.before2")
+    parts = F.regexp_extract_all(word, F.lit(_PARTS), F.lit(0))
+
+    def valued(parts: Column) -> Column:
+        def part(at: Column) -> Column:
+            return F.coalesce(F.get(parts, at), F.lit(""))
+
+        def one(at: Column) -> Column:
+            inside = F.concat(part(at - 3), part(at - 2), part(at - 1))
+            return F.struct(
+                at.alias("part_at"), F.regexp_replace(part(at), r"[.\-]+$", "").alias("value"), inside.alias("inside"),
+                F.concat(inside, part(at), part(at + 1)).alias("near"),
+                (part(at + 1).rlike(r"""^["'`]?[=:]""") & ~part(at).rlike(r"\d")).alias("key"),
+            )
+
+        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(part(i)) >= SHORTEST)
+        return F.transform(places, one)
+
+    rows = rows.select("doc_id", "path", *keep, "c", F.explode(let(parts, valued)).alias("v"))
+    inside, value = F.lower("v.inside"), F.col("v.value")
+    within = inside.rlike(r"[a-z0-9]")
+    closest = F.regexp_replace(inside, r"""["'`(\[{<]+$""", "")
+    digit = value.rlike(r"\d")
+    run = value.rlike(_VALUE) & (digit | before.rlike(r"[=:]$") | word.rlike(r"[=:]"))
+    return rows.filter(run & ~F.col("v.key")).select(
+        "doc_id", "path", *keep, "c.word_at", "v.part_at", F.col("v.near").alias("word"), "v.value",
+        F.when(within, before).otherwise(before2).alias("before2"),
+        F.when(within, closest).otherwise(before).alias("before"), "c.after",
+    )
 
 
 def dictionary(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -165,6 +200,7 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
         (1, cat("password = ", quoted(F.substring(mixed, 3, 14)))),
         (1, cat("client_secret=", F.substring(mixed, 5, 30))),
         (1, cat(word(6), " token ", F.substring(hex64, 1, 40))),
+        (1, cat("https://api.example.com/", word(3), "?token=", hex40)),
         (0, number(1, 16)),
         (0, cat(number(1, 16), " ", F.reverse(number(2, 16)))),
         (0, cat("+1 (", number(3, 3), ") 555-", number(4, 4), "-", number(2, 8))),
@@ -237,7 +273,7 @@ def redact_secrets(
     """``docs`` with every confirmed secret in ``text`` replaced by ``mask``; all rows and columns stay.
 
     Only texts with a confirmed secret are joined with their secrets, by a hash of text
-    and path; the others pass by. A text's secrets are as many as it has words at
+    and path; the others pass by. A text's secrets are as many as it has parts of words at
     most. A null text stays null.
     """
     text, where = whole_text(docs), (docs[path_column].cast("string") if path_column else F.lit(""))

@@ -80,3 +80,17 @@ def test_main_path_has_no_python(spark, model, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = secrets.scan_secrets(docs, *model, "source")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def values_of(spark, text: str) -> list[tuple[str, str]]:
+    found = secrets.candidates(documents(spark, [(1, text)])).orderBy("word_at", "part_at").collect()
+    return [(r["value"], r["before"]) for r in found]
+
+
+def test_all_values_in_a_word_are_candidates(spark):
+    url = f"https://api.example.com/v1/list?token=ghp_{HEX}&page=2"
+    assert values_of(spark, url) == [("//api.example.com/v1/list", "https:"), (f"ghp_{HEX}", "?token=")]
+    line = f'{{"user":"longusername1","secret":"{HEX}","other":"{HEX[::-1]}"}}'
+    assert [v for v, _ in values_of(spark, line)] == ["longusername1", HEX, HEX[::-1]]
+    assert [v for v, _ in values_of(spark, f"{HEX},{HEX[::-1]};client_secret_key=A{HEX}==")] == [HEX, HEX[::-1], f"A{HEX}=="]
+    assert len(values_of(spark, ",".join(f"{HEX}{k}" for k in range(500)))) == 500
