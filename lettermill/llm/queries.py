@@ -115,7 +115,8 @@ def secret_forest(spark: SparkSession, docs: DataFrame):
 
 
 def masked(value: Column) -> Column:
-    return F.concat(F.substring(value, 1, 4), F.lit("..."), F.substring(F.sha2(value, 256), 1, 16))
+    shown = F.least(F.lit(4), F.floor(F.length(value) / 3).cast("int"))
+    return F.concat(F.substring(value, F.lit(1), shown), F.lit("..."), F.substring(F.sha2(value, 256), 1, 16))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from lettermill.llm.common import broadcast_if_small, fresh, store, whole_text
 from lettermill.llm.samples import least_hashed
 
 SHORTEST = 12
+SHORTEST_GIVEN = 6
 SAMPLE = 6000
 SECRET_AT = 0.5
 MASK = "[SECRET]"
@@ -21,12 +22,19 @@ SPACES = r"[\x09-\x0D\x20]+"
 _RUN = r"[A-Za-z0-9+/_.\-]"
 _VALUE = rf"^{_RUN}{{{SHORTEST - 1},}}[A-Za-z0-9+/_]={{0,2}}$"
 _LONG = rf"{_RUN}{{{SHORTEST - 1}}}"
+# What an assigning sign gives: a quoted value; else all up to a delimiter (an "&" before a further
+# key is one), behind ":" also up to a further sign.
 _END = r"""(?:={1,2}(?![^"'`,;&(){}\[\]<>]))?"""
-# The parts of a word: runs with their padding, and what lies between, up to an assigning sign.
+_GIVEN = r"""(?<=[=:]")[^"]+(?=")|(?<=[=:]')[^']+(?=')""" + "".join(
+    rf"""|(?<={sign}["'`]?)[^"'`=:/,;&(){{}}\[\]<>]{more}*(?:&(?!\w*=){more}*){{0,64}}{_END}"""
+    for sign, more in (("=", r"""[^"'`=,;&(){}\[\]<>]"""), (":", r"""[^"'`=:,;&(){}\[\]<>]"""))
+)
+# The parts of a word: given values, runs with their padding, and what lies between, up to an assigning sign.
 _PARTS = (
-    rf"""{_RUN}+{_END}|"""
+    rf"""{_GIVEN}|{_RUN}+{_END}|"""
     rf"""[^A-Za-z0-9+/_.\-]+?(?=$|{_RUN}|(?<=[=:]["'`]?).)"""
 )
+_SIGN = r"""[=:]["'`]?$"""
 _NAMES = r"token|secret|passw|pwd|api.?key|auth|credential|private|access|signature|bearer"
 _HARMLESS = (
     r"commit|revision|checksum|digest|sha\d*|md5|hash|uuid|guid|build|version|example|sample|dummy|test|"
@@ -50,7 +58,9 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
     ``before2``, ``before``, ``after``, ``word`` (the value and what is next to it in its word), ``path``.
 
     Candidates are all runs of at least 12 letters, digits and ``+/_.-`` in a
-    word, with a digit, or with a sign of assignment before them. A name to which the
+    word, with a digit, or with a sign of assignment before them; and all values
+    of at least 6 characters of any kind, quoted or not, behind a sign of assignment
+    or a secret name, with a digit or a secret name. A name to which the
     word itself gives a value is none unless it has a digit. ``before`` is the key
     inside the word if there is one. ``path`` is where the text comes from
     (empty if there is no such column).
@@ -62,7 +72,8 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
         def possible(at: Column) -> Column:
             word, before = F.get(words, at), _near(words, at - 1)
             assigned = word.rlike(r"[=:]") | before.rlike(r"[=:]$")
-            return (F.length(word) >= SHORTEST) & (assigned | word.rlike(r"\d")) & word.rlike(_LONG)
+            given = assigned | (before.rlike(rf"(?:{_NAMES})\w*\W*$") & word.rlike(r"\d"))
+            return (F.length(word) >= SHORTEST_GIVEN) & (given | (word.rlike(r"\d") & word.rlike(_LONG)))
 
         def described(at: Column) -> Column:
             return F.struct(
@@ -77,7 +88,8 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
         F.explode(let(split, found)).alias("c"),
     )
     word, before, before2 = F.col("c.word"), F.col("c.before"), F.col("c.before2")
-    parts = F.regexp_extract_all(word, F.lit(_PARTS), F.lit(0))
+    behind = before.rlike(rf"[=:]$|(?:{_NAMES})\w*\W*$")
+    parts = F.regexp_extract_all(F.concat(F.when(behind, "=").otherwise(""), word), F.lit(_PARTS), F.lit(0))
 
     def valued(parts: Column) -> Column:
         def part(at: Column) -> Column:
@@ -91,7 +103,7 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
                 (part(at + 1).rlike(r"""^["'`]?[=:]""") & ~part(at).rlike(r"\d")).alias("key"),
             )
 
-        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(part(i)) >= SHORTEST)
+        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(part(i)) >= SHORTEST_GIVEN)
         return F.transform(places, one)
 
     rows = rows.select("doc_id", "path", *keep, "c", F.explode(let(parts, valued)).alias("v"))
@@ -100,7 +112,9 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
     closest = F.regexp_replace(inside, r"""["'`(\[{<]+$""", "")
     digit = value.rlike(r"\d")
     run = value.rlike(_VALUE) & (digit | before.rlike(r"[=:]$") | word.rlike(r"[=:]"))
-    return rows.filter(run & ~F.col("v.key")).select(
+    named = F.concat_ws(" ", F.when(within, inside).otherwise(F.concat_ws(" ", before2, before))).rlike(_NAMES)
+    given = inside.rlike(_SIGN) & (F.length(value) >= SHORTEST_GIVEN) & (digit | named)
+    return rows.filter((run | given) & ~F.col("v.key")).select(
         "doc_id", "path", *keep, "c.word_at", "v.part_at", F.col("v.near").alias("word"), "v.value",
         F.when(within, before).otherwise(before2).alias("before2"),
         F.when(within, closest).otherwise(before).alias("before"), "c.after",
@@ -184,6 +198,7 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
     base64 = F.base64(F.unhex(hex64))
     mixed = F.regexp_replace(base64, r"[+/=]", "x")
     digits = F.regexp_replace(F.conv(F.substring(hex64, 1, 15), 16, 10), r"^", "40")
+    short = F.concat(F.substring(mixed, 3, 6), F.substring(hex64, 9, 2), F.substring(mixed, 11, 2))
     number = lambda at, n: F.substring(digits, at, n)
     word = lambda k: F.coalesce(F.get("words", F.lit(k)), F.lit("and"))
     quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
@@ -200,6 +215,9 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
         (1, cat("password = ", quoted(F.substring(mixed, 3, 14)))),
         (1, cat("client_secret=", F.substring(mixed, 5, 30))),
         (1, cat(word(6), " token ", F.substring(hex64, 1, 40))),
+        (1, cat("password=", short)),
+        (1, cat("password: ", quoted(cat(short, "!", number(4, 2))))),
+        (1, cat('{"user":"', word(3), '","pwd":"', F.substring(mixed, 2, 2), "@", F.substring(mixed, 7, 5), "#", number(3, 2), '"}')),
         (1, cat("https://api.example.com/", word(3), "?token=", hex40)),
         (0, number(1, 16)),
         (0, cat(number(1, 16), " ", F.reverse(number(2, 16)))),
@@ -216,6 +234,10 @@ def labelled_findings(docs: DataFrame, path_column: str | None = None, sample: i
         (0, cat("password = ", word(4), "_", word(8), "_password")),
         (0, cat(octet(0), ".", octet(8), ".", octet(16), ".", octet(24))),
         (0, cat("2", octet(5).substr(2, 2), ".2", octet(12).substr(2, 2), ".1", octet(20).substr(2, 2), ".1", octet(28))),
+        (0, cat("page=", number(3, 6))),
+        (0, cat("time: ", number(3, 2), ":", number(5, 2), ":", number(7, 2))),
+        (0, cat('{"', word(3), '":"', word(5), number(3, 2), '","size":"', number(3, 6), '"}')),
+        (0, cat(word(2), "=", word(5), number(6, 3))),
         (0, cat(word(1), F.lower(word(9)), number(3, 1), F.lower(word(10)))),
     ]
     pick = F.pmod(F.col("seed"), F.lit(len(kinds))).cast("int")

@@ -94,3 +94,17 @@ def test_all_values_in_a_word_are_candidates(spark):
     assert [v for v, _ in values_of(spark, line)] == ["longusername1", HEX, HEX[::-1]]
     assert [v for v, _ in values_of(spark, f"{HEX},{HEX[::-1]};client_secret_key=A{HEX}==")] == [HEX, HEX[::-1], f"A{HEX}=="]
     assert len(values_of(spark, ",".join(f"{HEX}{k}" for k in range(500)))) == 500
+
+
+def test_short_values_behind_names_are_candidates(spark):
+    for text, value in (
+        ("password=hunter2222", "hunter2222"), ('password="P@ssw0rd!24"', "P@ssw0rd!24"), ("pwd: $ecr3t&x", "$ecr3t&x"), ("https://a.example.com?pwd=ab3d&5xyz&page=2", "ab3d&5xyz"),
+        ('the "password": "P@ss,w0rd"', "P@ss,w0rd"), ("password letme1n", "letme1n"), ("secret='$x$y$z'", "$x$y$z"),
+    ):
+        assert [v for v, _ in values_of(spark, text) if "example" not in v] == [value], text
+
+
+def test_later_and_short_secrets_are_redacted(spark, model):
+    texts = [f"see https://api.example.com/v1/list?token={HEX} now", f'{{"user":"longusername1","secret":"{HEX}"}}', 'set password="Px@w0rdQ!24" there']
+    out = secrets.redact_secrets(documents(spark, list(enumerate(texts))), *model).collect()
+    assert all("[SECRET]" in r["text"] and HEX not in r["text"] and "w0rdQ" not in r["text"] for r in out), out
