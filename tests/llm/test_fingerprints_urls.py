@@ -132,3 +132,12 @@ def test_filter_stops_most_of_what_is_not_listed(spark):
     for w, mark in enumerate(urls._marks(F.col("key"), urls.HASHES)):
         passes = passes & (F.col(f"w{w}").bitwiseAND(mark) == mark)
     assert marked.filter(passes).count() < 0.01 * 20_000
+
+
+def test_listed_pages_are_blocked_by_the_join_where_no_rule_decides(spark):
+    rows = [(k, f"http://{'spam-farm' if k % 3 else 'plain'}.example.org/p{k}") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judged = urls.judge_urls(pages, queries.listed_pages(pages), queries.URL_RULES).collect()
+    assert len(judged) == 300 and all(r["rule"] is None for r in judged)
+    assert {r["page_id"] for r in judged if r["verdict"] == "block" and r["listed"]} == {k for k in range(300) if k % 3}
+    assert all(r["verdict"] == "allow" for r in judged if r["page_id"] % 3 == 0)
