@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.session import work_dir
@@ -42,3 +42,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 64, most_bytes: int = 32
     The results are the same. ``df`` is counted, so it should be stored.
     """
     return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+
+
+def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """``df`` with column ``name``: the sum of ``weight`` over all rows before, in the order of ``order``.
+
+    Rows are dealt by ranges of ``order``, summed within their range, and moved
+    on by the totals of the ranges before: one row a task reaches the driver.
+    No two rows should agree in ``order``. The ranges are written first, so a
+    task that runs again finds the same ones. Nulls come first; no rows, none.
+    """
+    part, base = fresh(df, "range_"), fresh(df, "base_")
+    dealt = store(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sums = sorted(dealt.groupBy(part).agg(F.sum(weight)).collect())
+    starts = [sum(s for _, s in sums[:k]) for k in range(len(sums))]
+    rows = [(p, start) for (p, _), start in zip(sums, starts, strict=True)]
+    # At most one row of two numbers for each shuffle partition.
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"{part} int, {base} long"))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(weight).over(within), F.lit(0)) + F.col(base)
+    return dealt.join(offsets, part).withColumn(name, before.cast("long")).drop(part, base)

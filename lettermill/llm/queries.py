@@ -11,6 +11,7 @@ from lettermill.llm import (
     decontaminate,
     fingerprints,
     licenses,
+    merkle,
     packing,
     quality,
     secrets,
@@ -128,6 +129,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.verify(merkle.manifest(docs, other_leaf=merkle.tampered_leaf(docs)))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_simhash_near_dedup,
         op10_secret_scan,
+        op11_merkle_manifest,
         pipeline,
     )
 }
@@ -183,6 +191,64 @@ def _alike_sql(a: str, b: str) -> str:
     )
 
 
+def _manifest_sql() -> str:
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+    def leaf(n_chars: str) -> str:
+        values = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+        return f"sha256({' || '.join(map(field, values))})"
+
+    # CRC-32 of the id's decimal digits, bit by bit.
+    step = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    crc = (
+        "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda crc, d: "
+        f"list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c ELSE {step.format(c='c')} END, xor(crc, d)),"
+        " 4294967295::BIGINT), 4294967295)"
+    )
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {leaf("n_chars")} AS leaf,
+    CASE WHEN coalesce({crc} % 7 = 0, FALSE) THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS other
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM rows
+), tree(lang, level, pos, n, node) AS (
+  SELECT lang, 0, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n
+), subroots AS (
+  SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), top(level, pos, n, node) AS (
+  SELECT 0, pos, n, node FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n
+), climb(lang, doc_id, leaf, other, start, level, pos, n, node, proof) AS (
+  SELECT lang, doc_id, leaf, other, pos, 0, pos, n, other, '' FROM leaves
+  UNION ALL
+  SELECT c.lang, c.doc_id, c.leaf, c.other, c.start, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(t.node, '') || c.node ELSE c.node || coalesce(t.node, '') END),
+    c.proof || coalesce(t.node, '')
+  FROM climb c LEFT JOIN tree t
+    ON t.lang IS NOT DISTINCT FROM c.lang AND t.level = c.level AND t.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+), over(lang, doc_id, leaf, start, level, pos, n, node, proof, subroot) AS (
+  SELECT c.lang, c.doc_id, c.leaf, c.start, 0, s.pos, s.n, c.node, c.proof, s.node
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.lang, c.doc_id, c.leaf, c.start, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN coalesce(t.node, '') || c.node ELSE c.node || coalesce(t.node, '') END),
+    c.proof || coalesce(t.node, ''), c.subroot
+  FROM over c LEFT JOIN top t ON t.level = c.level AND t.pos = xor(c.pos, 1) WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, over.node AS folded_root,
+  over.node = root.node AS verified
+FROM over, (SELECT node FROM top WHERE n = 1) AS root WHERE over.n = 1"""
+
+
 def oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     op1 = f"""
@@ -227,4 +293,4 @@ SELECT page_id, host, path, found.rule AS rule,
   coalesce(found.verdict, CASE WHEN list.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
   list.canonical IS NOT NULL AS listed
 FROM named LEFT JOIN list ON named.canonical = list.canonical""".replace("{{", "{").replace("}}", "}")
-    return {"op1_document_fingerprints": op1, "op7_url_filter": op7}
+    return {"op1_document_fingerprints": op1, "op7_url_filter": op7, "op11_merkle_manifest": _manifest_sql()}
