@@ -13,6 +13,7 @@ from lettermill.llm import (
     licenses,
     merkle,
     packing,
+    phrases,
     quality,
     secrets,
     simhash,
@@ -135,6 +136,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_near_dedup,
         op10_secret_scan,
         op11_merkle_manifest,
+        op12_collocations,
         pipeline,
     )
 }
@@ -249,6 +255,38 @@ SELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256,
 FROM over, (SELECT node FROM top WHERE n = 1) AS root WHERE over.n = 1"""
 
 
+def _collocations_sql() -> str:
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), runs AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM runs GROUP BY lang
+), spans AS (SELECT lang, w, m.m AS m, unnest(range(1, len(w) - m.m + 2)) AS i FROM runs, range(1, 5) AS m(m) WHERE len(w) >= m.m
+), f AS (
+  SELECT lang, m, w[i:i + m - 1] AS gram, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= {phrases.LEAST}
+), held AS (
+  SELECT lang, gram[i:i + k - 1] AS gram, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2)) GROUP BY ALL
+), kept AS (
+  SELECT f.lang, f.m, f.gram, f.f AS a FROM f LEFT JOIN held USING (lang, gram)
+  WHERE m > 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * f.f, FALSE)
+), cuts AS (
+  SELECT kept.lang, kept.gram, a, k, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f + q.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) AS kept
+  JOIN f AS p ON p.lang = kept.lang AND p.gram = kept.gram[1:k]
+  JOIN f AS q ON q.lang = kept.lang AND q.gram = kept.gram[k + 1:]
+), best AS (
+  SELECT lang, array_to_string(gram, ' ') AS phrase, a, l, r, score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}"""
+
+
 def oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     op1 = f"""
@@ -293,4 +331,4 @@ SELECT page_id, host, path, found.rule AS rule,
   coalesce(found.verdict, CASE WHEN list.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
   list.canonical IS NOT NULL AS listed
 FROM named LEFT JOIN list ON named.canonical = list.canonical""".replace("{{", "{").replace("}}", "}")
-    return {"op1_document_fingerprints": op1, "op7_url_filter": op7, "op11_merkle_manifest": _manifest_sql()}
+    return {"op1_document_fingerprints": op1, "op7_url_filter": op7, "op11_merkle_manifest": _manifest_sql(), "op12_collocations": _collocations_sql()}
