@@ -27,7 +27,7 @@ RANKED = 1 << 19
 FILTER_BITS = 28
 # A tile is _SIDE x _SIDE cells, the tiled corner _TILES x _TILES tiles.
 _SIDE, _TILES, _DENSE = 1 << 10, 4, 1 << 16
-_SLICE_BYTES, _TOKENS, _BLOB = 8 << 20, 1 << 22, 1 << 16
+_SLICE_BYTES, _TOKENS, _BLOB = 4 << 20, 1 << 20, 1 << 16
 _SALTS = 64
 # Numbers of phrases without a rank start here.
 _UNRANKED = 1 << 30
