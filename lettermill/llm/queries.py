@@ -12,6 +12,7 @@ from lettermill.llm import (
     fingerprints,
     licenses,
     merkle,
+    neighbours,
     packing,
     phrases,
     quality,
@@ -140,6 +141,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_merkle_manifest,
         op12_collocations,
+        op13_nearest_neighbours,
         pipeline,
     )
 }
