@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +67,14 @@ def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> Da
     within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(weight).over(within), F.lit(0)) + F.col(base)
     return dealt.join(offsets, part).withColumn(name, before.cast("long")).drop(part, base)
+
+
+def text_slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to ``most_bytes`` bytes in column ``text``, or one row: a text is never cut."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most_bytes, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import store, whole_text
-from lettermill.llm.tokens import word_ids
+from lettermill.llm.common import store, text_slices, whole_text
+from lettermill.llm.tokens import batch_word_ids, word_memory
 
 SEQUENCE = 2048
 END_ID = 0
 _RANK_BITS = 48
+_SLICE_BYTES = 16 << 20
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -27,28 +29,40 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool
     other columns are ignored; no documents, no rows.
     """
 
-    @F.pandas_udf("struct<n:long,crcs:array<long>,ids:array<array<long>>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        end = np.array([END_ID], "<u4").tobytes()
-        for texts in batches:
-            rows = []
-            for text in texts:
-                ids = word_ids(text, path) + end
-                parts = [ids[at : at + 4 * sequence] for at in range(0, len(ids), 4 * sequence)]
-                numbers = [np.frombuffer(p, "<u4").astype("i8") for p in parts] if with_ids else None
-                rows.append((len(ids) // 4, [zlib.crc32(p) for p in parts], numbers))
-            yield pd.DataFrame(rows, columns=["n", "crcs", "ids"])
-
-    start = F.col("piece").cast("long") * sequence
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), cut(whole_text(docs)).alias("cut"))
-    return rows.select("doc_id", "cut", F.posexplode("cut.crcs").alias("piece", "ids_crc32")).select(
-        "doc_id",
-        "piece",
-        start.alias("start"),
-        F.least(F.lit(sequence).cast("long"), F.col("cut.n") - start).alias("length"),
-        "ids_crc32",
-        *([F.element_at("cut.ids", F.col("piece") + 1).alias("ids")] if with_ids else []),
-    )
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Kept for one task: a worker takes no memory of one stage to the next.
+        memory = word_memory(path)
+        for batch in batches:
+            for part in text_slices(batch, _SLICE_BYTES):
+                yield _cut(part.column("doc_id"), *batch_word_ids(part.column("text"), memory), sequence, with_ids)
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    return rows.mapInArrow(cut, schema)
+
+
+def _cut(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, sequence: int, with_ids: bool) -> pa.RecordBatch:
+    """Rows of ``pieces`` for texts whose ``ids`` stand in a row, ``counts`` of them each."""
+    ends = np.cumsum(counts)
+    closed = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+    lengths = counts + 1
+    begins = np.cumsum(lengths) - lengths
+    n = -(-lengths // sequence)
+    doc = np.repeat(np.arange(len(n)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    start = piece * sequence
+    length = np.minimum(sequence, lengths[doc] - start)
+    held, at = memoryview(closed).cast("B"), begins[doc] + start
+    crcs = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+    columns = [doc_ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if with_ids:
+        # Pieces stand in a row, so their ends are the offsets.
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(closed.astype("i8"))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _complement(count: np.ndarray, gap: int, most: int) -> list[int] | None:

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import broadcast_if_small, running_total, store, whole_text
+from lettermill.llm.common import broadcast_if_small, running_total, store, text_slices, whole_text
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 # Bounds of what is broadcast: words and their bytes, phrases with a rank, bits of the filter.
@@ -35,17 +35,6 @@ _BREAKS = r"[.,;:!?\x0A-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about the same number of text bytes; a row is never cut."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + _SLICE_BYTES, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Code of every token (-1: a break between pieces), the codes' words, and tokens a row."""
     marked = pc.replace_substring_regex(pc.ascii_lower(texts), _BREAKS, " . ")
@@ -68,7 +57,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch, _SLICE_BYTES):
                 langs = pc.dictionary_encode(part.column("lang"))
                 codes, words, lengths = _tokens(part.column("text"))
                 lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths)
@@ -147,7 +136,7 @@ def encode(docs: DataFrame, vocab: DataFrame, head: DataFrame, has_tail: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch, _SLICE_BYTES):
                 ids = ids_of(part)
                 blobs = [b.astype("<i4").tobytes() for b in np.split(ids, _cuts(ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["ids"])

@@ -13,14 +13,19 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import whole_text
 
 REMEMBERED = 300_000
-WORDS, PIECES = 400_000, 100_000
+WORDS, PIECES = 200_000, 100_000
+# Characters of the longest key that is remembered.
+LONGEST = 64
 
 # Unicode white space, as the tokenizers read \s.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -29,6 +34,10 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _PLAIN = [*range(0x00, 0x130), *range(0x131, 0x180), *range(0x2000, 0x205F)]
 _UNUSUAL = re.compile("[^\\x00-\\u012f\\u0131-\\u017f\\u2000-\\u205e]|<\\|")
 
+# White space beyond ASCII as Arrow's patterns write it; a single sign that ends a clause behind a letter.
+_WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SENTENCE_SIGN = r"([a-z])([.,])([ \n]|$)"
+
 
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)
@@ -76,6 +85,7 @@ class Memory(dict):
 
     When it is full it starts anew, but what it held stays at hand until it is
     full again: so keys that come often are worked out once, and rare ones go.
+    Long keys are never kept, so its bytes are bounded as well.
     """
 
     def __init__(self, find: Callable, most: int = REMEMBERED):
@@ -85,6 +95,8 @@ class Memory(dict):
         value = self.older.get(key)
         if value is None:
             value = self.find(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.older = {}
             self.older = dict(self)
@@ -179,8 +191,8 @@ def word_pieces(word: str) -> list[str]:
     return [byte_letters(p) for p in _WORD_PIECES.findall(low)]
 
 
-@cache
-def _word_ids(path: str) -> Memory:
+def word_memory(path: str) -> Memory:
+    """Token ids of words, as unsigned 32-bit little-endian numbers; new ones are worked out and remembered."""
     library = tokenizer(path)
     merge = library.model.tokenize
     pieces = Memory(lambda p: array("I", [t.id for t in merge(p)]).tobytes(), PIECES)
@@ -193,11 +205,38 @@ def _word_ids(path: str) -> Memory:
     return Memory(find, WORDS)
 
 
-def word_ids(text: str, path: str) -> bytes:
+def word_ids(text: str, memory: Memory) -> bytes:
     """Token ids of a whole text, as unsigned 32-bit numbers in the machine's order (little-endian).
 
     For tokenizers that lower-case and drop white space, as ``word_bpe_49k.json``:
     the ids of a text are those of its words in a row.
     """
     words = _WORDS.findall(text) if _ODD_SPACE.search(text) else text.split()
-    return b"".join(map(_word_ids(path).__getitem__, words))
+    return b"".join(map(memory.__getitem__, words))
+
+
+def batch_word_ids(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+    """``word_ids`` of many texts in a row, and the number of ids of each.
+
+    Arrow cuts the texts and finds the different words; only those meet Python.
+    Two steps make words alike that have the same ids: A-Z are lower-cased, but
+    not in texts with what may be a special token, and a single full stop
+    or comma behind a letter becomes a word of its own, as the pattern has it.
+    """
+    special = pc.match_substring(texts, "<|")
+    lowered = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+    parted = pc.replace_substring_regex(pc.replace_substring_regex(lowered, _WIDE_SPACE, " "), _SENTENCE_SIGN, r"\1 \2\3")
+    lists = pc.ascii_split_whitespace(parted)
+    words_in = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = pc.dictionary_encode(lists.flatten())
+    codes = encoded.indices.to_numpy(zero_copy_only=False)
+    found = [memory[w] for w in encoded.dictionary.to_pylist()]
+    sizes = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
+    ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    # Where the ids of each word stand among those of the different words.
+    at = np.repeat(starts[codes] - (ends - n), n)
+    at += np.arange(len(at))
+    upto = np.concatenate(([0], ends))[np.cumsum(words_in)]
+    return ids[at], np.diff(upto, prepend=0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import duckdb
 import public_tokenizers
@@ -26,6 +27,7 @@ ODD = [
 ]
 
 
+@cache
 def tokenizer(name: str):
     from tokenizers import Tokenizer
 

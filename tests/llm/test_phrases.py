@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lettermill.llm import phrases, queries
+from lettermill.llm.common import text_slices
 from tests.llm.helpers import DOCS, LONG, ODD, documents, rows_of
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -101,13 +102,12 @@ def test_blobs_are_cut_at_gaps_only(monkeypatch):
     assert all(p[0] < 0 for p in parts) and len(parts) > 1
 
 
-def test_batches_are_read_whole_in_parts(monkeypatch):
+def test_batches_are_read_whole_in_parts():
     """Parts of a batch start inside its buffers."""
-    monkeypatch.setattr(phrases, "_SLICE_BYTES", 40)
     texts_ = [f"Wörd{k} of a, text {k}" for k in range(50)]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts_)})
     words = []
-    for part in phrases._slices(batch):
+    for part in text_slices(batch, 40):
         codes, known, lengths = phrases._tokens(part.column("text"))
         assert len(codes) == lengths.sum()
         words += [known[c].as_py() for c in codes if c >= 0]

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,6 +22,7 @@ def counted(text: str) -> int:
 
 
 WHOLE = tokens.whole_tokens(BYTES)
+MEMORY = tokens.word_memory(WORDS)
 
 
 def library_ids(name: str, text: str) -> list[int]:
@@ -36,7 +38,10 @@ def check(libraries, text: str) -> None:
     byte_level, word_level = libraries
     assert counted(text) == len(byte_level.encode(text, add_special_tokens=False).ids), repr(text)
     expected = np.array(word_level.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert tokens.word_ids(text, WORDS) == expected, repr(text)
+    assert tokens.word_ids(text, MEMORY) == expected, repr(text)
+    ids, counts = tokens.batch_word_ids(pa.array([text, "", f"x {text}"]), MEMORY)
+    assert ids[: counts[0]].tobytes() == expected and counts[1] == 0, repr(text)
+    assert ids[counts[0] + 1 :].tobytes() == expected and counts.sum() == len(ids), repr(text)
 
 
 def test_every_plain_character_is_cut_as_the_library_cuts_it(libraries):
