@@ -17,7 +17,7 @@ from lettermill.llm.tokens import batch_word_ids, word_memory
 SEQUENCE = 2048
 END_ID = 0
 _RANK_BITS = 48
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:

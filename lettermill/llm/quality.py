@@ -21,6 +21,7 @@ from lettermill.llm.tokens import Memory
 SLOTS = 1 << 18
 SAMPLE = 6000
 KEEP_AT = 0.5
+REMEMBERED = 100_000
 _RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[^\W\d_A]+", "a"), (r"\d+", "0"))]
 
 
@@ -146,7 +147,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int
 
 def score_texts(weights: np.ndarray):
     """A function from texts to scores, whose word weights are remembered."""
-    of_word = Memory(lambda w: float(weights[list(word_slots(w))].sum()))
+    of_word = Memory(lambda w: float(weights[list(word_slots(w))].sum()), REMEMBERED)
 
     def score(texts) -> np.ndarray:
         out = np.zeros(len(texts))

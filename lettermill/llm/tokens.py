@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.common import whole_text
 
 REMEMBERED = 300_000
-WORDS, PIECES = 200_000, 100_000
+WORDS, PIECES = 100_000, 50_000
 # Characters of the longest key that is remembered.
 LONGEST = 64
 
