@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lettermill import rules
+from lettermill.functions.text import pin
 
 
 def recent_unread(
@@ -95,12 +96,16 @@ def first_delivery(
     """One row per key: the first by ``order``. Rows without a key all stay.
 
     Spark limits each task to one row per key before the shuffle, so many
-    copies of one event shrink to one per task.
+    copies of one event shrink to one per task. Rows without a key get one of
+    their own, so the table is read and its keys are worked out once.
     """
-    window = W.partitionBy(key).orderBy(*order)
-    keyed = events.filter(F.col(key).isNotNull())
+    pinned = pin(events, key, F.col(key)).withColumn("__row", F.monotonically_increasing_id())
+    own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.col("__row").cast("string")))
+    # A key that looks like a row's stand-in is told apart by whether there is one.
+    keyed = pinned.withColumn("__own", own).withColumn("__none", F.col(key).isNull())
+    window = W.partitionBy("__own", "__none").orderBy(*order)
     first = keyed.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1")
-    return first.drop("__rank").unionByName(events.filter(F.col(key).isNull()))
+    return first.select(*events.columns)
 
 
 def retain(df: DataFrame, column: str, days: int, asof: dt.date) -> DataFrame:

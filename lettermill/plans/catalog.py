@@ -16,18 +16,20 @@ from lettermill.functions.scoring import id_label, label_id, top_label
 from lettermill.functions.text import first_words, pin, text_array
 from lettermill.models.backends import label_by_scores
 from lettermill.models.bayes import apply_bayes, save_bayes, train_bayes
-from lettermill.operators import deadletter, display, events, metrics, phrases, select
+from lettermill.operators import audit, deadletter, display, events, metrics, phrases, select
 from lettermill.operators.classify import category_counts, classify
 from lettermill.operators.enrich import enrich
 from lettermill.plans.mails import INGESTED_AT, late_mails, mails, published, records, table
 from lettermill.session import state_session, work_dir
-from lettermill.sinks import files
+from lettermill.sinks import commits, files
 from lettermill.sources.mailboxes import decode_messages, normalise_messages
 from lettermill.sources.topics import stream_topic_files, write_topic_files
+from lettermill.streaming.ordered import order_stream
 from lettermill.streaming.pipeline import (
     Pipeline,
     dedup_stream,
     drain,
+    events_table,
     read_dead_letters,
 )
 
@@ -737,6 +739,80 @@ def stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _json_lines(spark, out_dir)
 
 
+@query
+def stream_backfill_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records live, and all again as a backfill under a new checkpoint: merged by id, none is doubled."""
+    topics, events_dir = work_dir(spark, "topics"), work_dir(spark, "events")
+    write_topic_files(records(mails(spark, sf_dir)), topics)
+    for _ in range(2):
+        streams = {
+            topic: stream_topic_files(spark, topics, topic)
+            for topic in (rules.TOPIC_REJECTIONS, rules.TOPIC_APPLICATIONS)
+        }
+        pipeline = Pipeline(
+            work_dir(spark, "out"), processed_at=STREAM_STAMP, producer_name="stream", events_dir=events_dir, buckets=8
+        )
+        drain(spark, pipeline, streams, work_dir(spark, "checkpoint"))
+    kinds = [
+        events_table(spark, events_dir, kind, 8).read().withColumn("event_type", F.lit(kind)) for kind in files.FOLDERS
+    ]
+    return _one_decimal(kinds[0].unionByName(kinds[1]), "nlp_confidence")
+
+
+@query
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and dead letters written by kind, from the log of commits alone."""
+    return commits.committed_counts(spark, _drained(spark, sf_dir)).select("event_type", "rows", "dead_letters")
+
+
+@query
+def stream_short_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets missing inside what a batch read, from the ranges in the log of commits."""
+    found = audit.short_ranges(commits.read_ranges(spark, _drained(spark, sf_dir)))
+    return found.select("topic", "partition", "first", "last", "records", "missing")
+
+
+@query
+def offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lost offsets of a topic in four partitions, at their ends too."""
+    place = F.col("event_id")
+    kept = table(spark, sf_dir, "events").select(
+        F.lit("events").alias("topic"), (place % 4).cast("int").alias("partition"), F.floor(place / 4).alias("offset")
+    )
+    lost = (F.col("offset") % 250).between(40, 44) | ((F.col("partition") == 2) & F.col("offset").between(300, 420))
+    bounds = kept.groupBy("topic", "partition").agg((F.min("offset") - 3).alias("first"), (F.max("offset") + 2).alias("last"))
+    return audit.offset_gaps(kept.filter(~lost), bounds, slice_offsets=512)
+
+
+@query
+def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in any order, released source by source in the order of their time.
+
+    A last event moves the watermark past all others; what comes after that is late and left out.
+    """
+    arrivals, out_dir, checkpoint = (work_dir(spark, n) for n in ("arrivals", "ordered", "checkpoint"))
+    schema = "event_id string, source string, received_at string"
+    events_ = published(mails(spark, sf_dir)).select("event_id", "source", "received_at")
+    last = spark.createDataFrame([("last", None, "2099-01-01T00:00:00+00:00")], schema)
+    late = spark.createDataFrame([("late", "gmail", "2024-01-01T00:00:00+00:00")], schema)
+    session = state_session(spark)
+    for part in (events_.repartition(4, F.xxhash64("event_id")), last, late):
+        part.write.mode("append").parquet(arrivals)
+        stream = session.readStream.schema(schema).parquet(arrivals)
+        (
+            order_stream(stream, span="6 hours")
+            .writeStream.format("parquet")
+            .option("path", out_dir)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    rows = spark.read.schema(f"{schema}, position string").parquet(out_dir)
+    place = F.row_number().over(Window.partitionBy("source").orderBy("position"))
+    return rows.select("event_id", "source", "received_at", place.alias("position"))
+
+
 @query
 def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sheet tables a second sink wrote beside the JSON lines."""

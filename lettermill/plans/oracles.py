@@ -585,6 +585,24 @@ SELECT {PAYLOAD_FIELDS.replace('topic, id AS event_id', 'CAST(doc_id AS VARCHAR)
   category AS event_type
 FROM enriched WHERE {good}"""
     out["stream_backfill"] = out["stream_pipeline"]
+    out["stream_backfill_overlap"] = out["stream_pipeline"]
+    out["stream_ordered"] = out["source_order"]
+    out["stream_summary"] = f"""WITH {ENRICHED}
+SELECT category AS event_type, count(*) FILTER ({good}) AS rows, count(*) FILTER (NOT ({good})) AS dead_letters
+FROM enriched GROUP BY category"""
+    out["stream_short_ranges"] = f"""WITH {MAILS}, {GATE}, {ROUTED}, {RECORDS}
+SELECT topic, CAST(0 AS INTEGER) AS partition, min(doc_id) AS first, max(doc_id) AS last, count(*) AS records,
+  max(doc_id) - min(doc_id) + 1 - count(*) AS missing
+FROM records GROUP BY topic HAVING max(doc_id) - min(doc_id) + 1 > count(*)"""
+    out["offset_gaps"] = """WITH places AS (
+  SELECT 'events' AS topic, CAST(event_id % 4 AS INTEGER) AS partition, event_id // 4 AS place FROM events
+), ends AS (SELECT topic, partition, min(place) - 3 AS first, max(place) + 2 AS last FROM places GROUP BY ALL
+), marks AS (
+  SELECT * FROM places WHERE NOT (place % 250 BETWEEN 40 AND 44 OR (partition = 2 AND place BETWEEN 300 AND 420))
+  UNION ALL SELECT topic, partition, first - 1 FROM ends UNION ALL SELECT topic, partition, last + 1 FROM ends
+), steps AS (SELECT *, lag(place) OVER (PARTITION BY topic, partition ORDER BY place) AS before FROM marks)
+SELECT topic, partition, before + 1 AS first_missing, place - 1 AS last_missing, place - before - 1 AS missing
+FROM steps WHERE place - before > 1"""
     sheets = [
         _summary(kind).replace("event_id\nFROM", "CAST(doc_id AS VARCHAR) AS event_id\nFROM") + f" AND {good}"
         for kind in ("rejection", "application")

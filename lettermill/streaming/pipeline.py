@@ -17,7 +17,8 @@ from lettermill import rules, schemas
 from lettermill.operators.deadletter import dead_letters, parse_payloads
 from lettermill.operators.enrich import enrich
 from lettermill.operators.events import utc_now
-from lettermill.sinks import files
+from lettermill.sinks import commits, files
+from lettermill.sinks.merge import BUCKETS, MergeTable
 from lettermill.sinks.metrics import write_batch_metrics
 from lettermill.streaming.runs import stream_run
 
@@ -38,7 +39,10 @@ class Pipeline:
     it fails the failure is logged and the batch goes on. A batch's output is keyed
     by the stream's checkpoint and the batch id; batches handed over without a stream
     belong to ``run_id``, by default a new one for every pipeline. Give a backfill a
-    name of its own to replace its output when it runs again. With ``stage_dir`` the enriched
+    name of its own to replace its output when it runs again. Outputs are seen once
+    the batch is committed, after all of them. With ``events_dir`` a batch's events
+    are also merged by id into a table there, one for each kind: a backfill that
+    overlaps what is there replaces events and doubles none. With ``stage_dir`` the enriched
     batch is written to a table there and every output reads that; without it
     the batch is cached, which suits batches that fit the executors' disks.
     """
@@ -51,6 +55,8 @@ class Pipeline:
     processed_at: str | None = None
     max_bytes: int | None = None
     stage_dir: str | None = None
+    events_dir: str | None = None
+    buckets: int = BUCKETS
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     failures: list[str] = field(default_factory=list)
 
@@ -92,36 +98,61 @@ class Pipeline:
         self, batch: DataFrame, event_type: str, batch_id: int, run_id: str, started: float
     ) -> None:
         stamp = utc_now() if self.processed_at is None else F.lit(self.processed_at)
+        attempt = commits.new_attempt()
+        where = (self.out_dir, event_type, batch_id, run_id, attempt)
         good = batch.filter(F.col("failure_reason").isNull())
-        files.write_json_lines(
-            files.json_records(good, event_type, stamp), self.out_dir, event_type, batch_id, run_id
-        )
-        files.write_csv(
-            files.summary_rows(good, event_type), self.out_dir, event_type, batch_id, run_id
-        )
+        lines = files.json_records(good, event_type, stamp)
+        files.write_json_lines(lines, *where)
+        files.write_csv(files.summary_rows(good, event_type), *where)
         letters = dead_letters(batch, self.producer_name, stamp)
-        letters.drop("topic").write.mode("overwrite").json(
-            f"{self.out_dir}/dead_letters/event_type={event_type}/run_id={run_id}/batch_id={batch_id}"
-        )
-        self._write_second(good, event_type, batch_id, run_id)
-        write_batch_metrics(
-            good,
-            self.out_dir,
-            self.backend,
-            event_type,
-            batch_id,
-            time.perf_counter() - started,
-            run_id,
+        files.write_dead_letters(letters.drop("topic"), *where)
+        if self.events_dir is not None:
+            self._merge(good, event_type, batch_id, run_id, stamp)
+        second_error = self._write_second(good, event_type, batch_id, run_id)
+        seconds = time.perf_counter() - started
+        write_batch_metrics(good, self.out_dir, self.backend, event_type, batch_id, seconds, run_id)
+        sizes = batch.agg(
+            F.count_if(F.col("failure_reason").isNull()).alias("good"),
+            F.count_if(F.col("failure_reason").isNotNull()).alias("bad"),
+        ).first()
+        commits.commit(
+            batch.sparkSession, self.out_dir, event_type, run_id, batch_id, attempt,
+            sizes["good"], sizes["bad"], seconds, second_error, self._ranges(batch),
         )
 
-    def _write_second(self, good: DataFrame, event_type: str, batch_id: int, run_id: str) -> None:
+    def _ranges(self, batch: DataFrame) -> list[tuple] | None:
+        """Offsets read from each partition of the topic, for the audit of gaps."""
+        if not {"topic", "partition", "offset"} <= set(batch.columns):
+            return None
+        found = batch.filter("offset IS NOT NULL").groupBy("topic", F.col("partition").cast("int").alias("partition"))
+        ranges = found.agg(F.min("offset"), F.max("offset"), F.count(F.lit(1)))
+        return [tuple(r) for r in ranges.collect()]
+
+    def _merge(self, good: DataFrame, event_type: str, batch_id: int, run_id: str, stamp: Column) -> None:
+        table = events_table(good.sparkSession, self.events_dir, event_type, self.buckets)
+        rows = files.json_records(good, event_type, stamp)
+        position = [F.col(c) for c in ("partition", "offset") if c in good.columns]
+        if position:
+            # A record without an id is told apart by its place in the topic, so a replay replaces it too.
+            place = F.concat_ws(":", F.lit("at"), *[c for c in ("topic", "partition", "offset") if c in good.columns])
+            rows = files.json_records(
+                good.withColumn("event_id", F.coalesce("event_id", place)), event_type, stamp
+            )
+        # Of copies in one batch any will do if they are alike: the order makes the choice the same each time.
+        order = [F.xxhash64(*rows.columns)]
+        table.merge(rows, order, run_id, batch_id)
+
+    def _write_second(self, good: DataFrame, event_type: str, batch_id: int, run_id: str) -> str | None:
+        """What went wrong, if anything did."""
         if self.second_sink is None:
-            return
+            return None
         try:
             self.second_sink(good, event_type, batch_id, run_id)
+            return None
         except Exception as exc:
             self.failures.append(f"{event_type} batch {batch_id}: {exc}")
             log.error("second sink failed for %s batch %s: %s", event_type, batch_id, exc)
+            return str(exc)[:500]
 
     def start(
         self,
@@ -174,7 +205,12 @@ def batch_seconds(query: StreamingQuery) -> float | None:
 
 def read_dead_letters(spark: SparkSession, out_dir: str) -> DataFrame:
     """All dead letters with their event kind and batch."""
-    return spark.read.schema(schemas.DEAD_LETTER).json(f"{out_dir}/dead_letters")
+    return files.read_dead_letters(spark, out_dir)
+
+
+def events_table(spark: SparkSession, events_dir: str, event_type: str, buckets: int = BUCKETS) -> MergeTable:
+    """The table of one kind's events that ``Pipeline(events_dir=...)`` merges into."""
+    return MergeTable(spark, f"{events_dir}/{files.FOLDERS[event_type]}", schemas.ENRICHED, "event_id", buckets)
 
 
 def dedup_stream(

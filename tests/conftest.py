@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # Plans are searched for what reaches the scan.
+            "spark.sql.maxMetadataStringLength": "10000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
