@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from lettermill import rules
 from lettermill.functions.scoring import UNKNOWN, top_label, unless_blank
 from lettermill.functions.text import or_empty, text_array
-from lettermill.operators.phrases import plain_words
+from lettermill.operators.phrases import _stored, plain_words
 from lettermill.sources.files import split_known_labels
 
+# Bounds of what is broadcast: words, and the bytes of all of them.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+
 
 def tokens(text: Column) -> Column:
     """The lower-cased words of a text."""
@@ -35,11 +38,13 @@ class BayesModel:
 def train_bayes(labelled: DataFrame, labels: Sequence[str] = tuple(rules.REJECTION_LABELS)) -> BayesModel:
     """Count the tokens of ``text`` by ``label``; rows with an unknown label are left out."""
     known, _ = split_known_labels(labelled, labels)
-    each = known.select("label", F.explode(tokens(F.col("text"))).alias("token"))
+    each = known.select("label", tokens(F.col("text")).alias("__words"))
+    each = each.select("label", F.explode_outer("__words").alias("token")).filter("token IS NOT NULL")
     # Counted by token and label first: a word that every text has is one row a task.
     counted = each.groupBy("token", "label").count()
     by_label = [F.sum(F.when(F.col("label") == label, F.col("count")).otherwise(0)) for label in labels]
-    counts = counted.groupBy("token").agg(F.array(*by_label).alias("counts"))
+    # Stored: the totals and every use of the model read it.
+    counts = _stored(counted.groupBy("token").agg(F.array(*by_label).alias("counts")), "counts")
     texts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     totals = counts.agg(
         F.count(F.lit(1)).alias("vocabulary"),
@@ -69,14 +74,21 @@ def load_bayes(spark: SparkSession, path: str) -> BayesModel:
     )
 
 
+def _fits(model: BayesModel, broadcast_rows: int) -> bool:
+    if model.vocabulary > broadcast_rows:
+        return False
+    return (model.counts.agg(F.sum(F.octet_length("token"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def apply_bayes(
     model: BayesModel, df: DataFrame, text: str = "text", out: str = "label", score: str = "score",
-    threshold: float = rules.LABEL_THRESHOLD,
+    threshold: float = rules.LABEL_THRESHOLD, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the likeliest label of each text and its probability; labels never seen in training have none.
 
     The result depends on the text alone: tokens are summed by a hash of the
-    text, and a text that occurs several times counts as one.
+    text, and a text that occurs several times counts as one. A vocabulary of at
+    most ``broadcast_rows`` words and 32 MB goes to every task, a longer one is joined.
     """
     key = F.md5(or_empty(F.col(text)))
     n = len(model.labels)
@@ -85,33 +97,43 @@ def apply_bayes(
         nothing = F.lit(None).cast("double").alias(score)
         return df.select("*", F.lit(UNKNOWN).alias(out), nothing)
     total = sum(model.texts)
-    keyed = df.select(key.alias("__key"), F.col(text).alias("__text"))
-    copies = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__copies"))
-    each = keyed.select("__key", F.explode(tokens(F.col("__text"))).alias("token"))
-    counted = each.groupBy("__key", "token").agg(F.count(F.lit(1)).alias("__n"))
+    # The key and the words are worked out below the generator, once a text; its outer form
+    # keeps Spark from splitting every text once more to leave out empty ones.
+    keyed = df.select(key.alias("__key"), tokens(F.col(text)).alias("__words"))
+    keyed = keyed.select("__key", F.posexplode_outer("__words").alias("__at", "token")).filter("token IS NOT NULL")
+    # Copies of a text are told by its first word, so sums and copies come from one pass.
+    first = F.count_if(F.col("__at") == 0).alias("__copies")
     weights = model.counts.select(
         "token",
         *[F.log((F.col("counts")[k] + 1) / (model.words[k] + model.vocabulary)).alias(f"__w{k}") for k in seen],
     )
     unknown = {k: -math.log(max(1, model.words[k] + model.vocabulary)) for k in seen}
-    sums = (
-        counted.join(weights, "token", "left")
-        .groupBy("__key")
-        .agg(*[F.sum(F.col("__n") * F.coalesce(f"__w{k}", F.lit(unknown[k]))).alias(f"__s{k}") for k in seen])
-    )
-    logs = copies.join(sums, "__key", "left")
+    known = [F.coalesce(f"__w{k}", F.lit(unknown[k])) for k in seen]
+    if _fits(model, broadcast_rows):
+        # Checked rows and bytes: words stay where they are, and a task sends one row a text.
+        sums = keyed.join(F.broadcast(weights), "token", "left").groupBy("__key").agg(
+            first, *[F.sum(w).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)]
+        )
+    else:
+        counted = keyed.groupBy("__key", "token").agg(F.count(F.lit(1)).alias("__n"), first)
+        sums = counted.join(weights, "token", "left").groupBy("__key").agg(
+            F.sum("__copies").alias("__copies"),
+            *[F.sum(F.col("__n") * w).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)],
+        )
+    prior = [math.log(model.texts[k] / total) if k in seen else None for k in range(n)]
     likely = [
-        (F.coalesce(F.col(f"__s{k}") / F.col("__copies"), F.lit(0.0)) + math.log(model.texts[k] / total)) if k in seen
-        else F.lit(None).cast("double")
-        for k in range(n)
+        F.col(f"__s{k}") / F.col("__copies") + prior[k] if k in seen else F.lit(None).cast("double") for k in range(n)
     ]
-    logs = logs.withColumn("__logs", F.array(*likely)).withColumn("__most", F.array_max("__logs"))
+    logs = sums.withColumn("__logs", F.array(*likely)).withColumn("__most", F.array_max("__logs"))
     rest = F.aggregate(
         "__logs", F.lit(0.0), lambda s, x: s + F.coalesce(F.exp(x - F.col("__most")), F.lit(0.0))
     )
     chances = F.transform("__logs", lambda x: F.coalesce(F.exp(x - F.col("__most")), F.lit(0.0)) / F.col("__rest"))
     scored = logs.withColumn("__rest", rest).select("__key", chances.alias("__chances"))
+    # A text without words has the shares of the labels.
+    shares = F.array(*[F.lit(model.texts[k] / total) for k in range(n)])
     found = df.withColumn("__key", key).join(scored, "__key", "left")
+    found = found.withColumn("__chances", F.coalesce("__chances", shares))
     label = top_label(text_array(model.labels), F.col("__chances"), threshold)
     return found.select(
         *df.columns, unless_blank(F.col(text), label).alias(out), F.array_max("__chances").alias(score)
