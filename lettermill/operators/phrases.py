@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from lettermill.functions.text import first_rule, head, or_empty, pin, text_array
+from lettermill.functions.text import first_rule, head, let, or_empty, pin, text_array
 from lettermill.session import work_dir
 
 SMALL_ROWS = 500
@@ -22,6 +22,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
 ANCHOR_CHARS = 3
+BLOCK_CHARS = 512
 
 
 def _rows_if_small(table: DataFrame, small_rows: int) -> list[Row] | None:
@@ -148,6 +149,23 @@ def _substrings_of(text: Column, chars: int) -> Callable[[Column], Column]:
     return lambda start: F.substring(text, start, F.lit(chars))
 
 
+def _blocks(text: Column, longest: int) -> Column:
+    """The text in blocks, each with what a keyword that begins in it can reach of the next.
+
+    A substring is counted off from the start of its string, so all substrings of
+    a text take the square of its length; those of its blocks do not.
+    """
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{max(BLOCK_CHARS, longest)}}}"), F.lit(0))
+
+    def reaching(blocks: Column) -> Column:
+        def more(at: Column) -> Column:
+            return F.substring(F.coalesce(F.get(blocks, at + 1), F.lit("")), 1, longest - 1)
+
+        return F.transform(blocks, lambda block, at: F.concat(block, more(at)))
+
+    return let(cut, reaching)
+
+
 def with_first_rule(
     texts: DataFrame,
     rule_table: DataFrame,
@@ -160,7 +178,8 @@ def with_first_rule(
     """Add the value of the first rule, by priority, whose keyword occurs in the text.
 
     ``rule_table`` has ``priority, keyword, value``; keywords match anywhere in
-    the lower-cased text. Without rules every text has the default.
+    the lower-cased text. Without rules every text has the default. A long rule
+    table takes time in proportion to a text's length.
     """
     table = rule_table.select(
         F.col("priority").alias("priority"),
@@ -180,18 +199,24 @@ def with_first_rule(
     anchored = table.withColumn("__anchor", F.substring("__keyword", F.lit(1), anchor_chars))
     table = _stored(anchored, "rules")
     sizes = _sizes(table, "__keyword", "__value", F.length("__keyword"))
+    if not sizes["rows"]:
+        return texts.withColumn(out, F.lit(default))
     key = F.md5(lower)
+    # The key is worked out below the blocks, once a text and not once a block.
     lowered = texts.select(key.alias("__key"), lower.alias("__lower"))
+    blocks = F.explode_outer(_blocks(F.col("__lower"), sizes["longest"]))
+    blocks = lowered.select("__key", blocks.alias("__block"))
     pieces = None
-    for chars in range(1, ANCHOR_CHARS + 1):
-        # Short keywords are their own anchor: each different piece of a text counts
+    # At most ANCHOR_CHARS rows; a length that no keyword has is not looked for.
+    for (chars,) in sorted(table.select(F.length("__anchor")).distinct().collect()):
+        # Short keywords are their own anchor: each different piece of a block counts
         # once, so no letter that stands everywhere is met at every place.
-        longest = chars if chars < ANCHOR_CHARS else max(chars, sizes["longest"] or 0)
+        longest = chars if chars < ANCHOR_CHARS else sizes["longest"]
         starts = F.when(
-            F.length("__lower") >= chars, F.sequence(F.lit(1), F.length("__lower") - chars + 1)
+            F.length("__block") >= chars, F.sequence(F.lit(1), F.length("__block") - chars + 1)
         )
-        part = F.transform(starts, _substrings_of(F.col("__lower"), longest))
-        some = lowered.select("__key", F.explode_outer(F.array_distinct(part)).alias("__rest"))
+        part = F.transform(starts, _substrings_of(F.col("__block"), longest))
+        some = blocks.select("__key", F.explode_outer(F.array_distinct(part)).alias("__rest"))
         some = some.select("__key", "__rest", F.substring("__rest", 1, chars).alias("__anchor"))
         pieces = some if pieces is None else pieces.unionByName(some)
     if _fits(sizes, broadcast_rows):

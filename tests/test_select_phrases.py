@@ -190,3 +190,23 @@ def test_first_rule_of_a_table(spark, way):
     ]
     none = phrases.with_first_rule(df, table.limit(0), F.col("t"), "none", *way)
     assert {r["job_board"] for r in none.collect()} == {"none"}
+
+
+@pytest.mark.parametrize("way", WAYS[1:])
+def test_first_rule_in_long_texts(spark, way):
+    """Keywords of all lengths across the ends of blocks, and texts of a megabyte."""
+    rng = random.Random(3)
+    rows = [(9, "q"), (8, "zü"), (7, "ab9c"), (6, "Never" * 5), (5, "x" * 70), (4, "long keyword with 日本 in it"), (3, "\U0001f600mid")]
+    rows = [(p, k.lower(), f"v{p}") for p, k in rows]
+    table = spark.createDataFrame(rows, "priority int, keyword string, value string")
+    fill = "".join(rng.choice("abcdefghij \né日") for _ in range(3000))
+    texts = [None, "", "Q", fill]
+    for at in (0, 500, 505, 511, 512, 690, 700, 1024, 2999):
+        texts += [fill[:at] + k.upper() + fill[at:] for _, k, _ in rows if k.upper().lower() == k]
+    texts += [fill * 350, fill * 350 + "zü", fill * 200 + rows[5][1] + fill * 150]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = phrases.with_first_rule(df, table, F.col("t"), "none", *way)
+    found = {r["i"]: r["job_board"] for r in out.collect()}
+    for i, text in enumerate(texts):
+        met = [(p, v) for p, k, v in rows if k in (text or "").lower()]
+        assert found[i] == (min(met)[1] if met else "none"), i
