@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.text import let
-from lettermill.llm.common import broadcast_if_small, fresh, store, whole_text
+from lettermill.llm.common import fresh, store, whole_text
 from lettermill.llm.samples import least_hashed
 
 SHORTEST = 12
@@ -52,6 +52,16 @@ def _near(words: Column, at: Column) -> Column:
     return F.coalesce(F.lower(F.get(words, at)), F.lit(""))
 
 
+def _behind(before: Column) -> Column:
+    """Whether the word before gives the next one a value."""
+    return before.rlike(rf"[=:]$|(?:{_NAMES})\w*\W*$")
+
+
+def _parts(word: Column, before: Column) -> Column:
+    """The parts of a word; joined they are the word, with ``=`` ahead of it if the word before assigns it."""
+    return F.regexp_extract_all(F.concat(F.when(_behind(before), "=").otherwise(""), word), F.lit(_PARTS), F.lit(0))
+
+
 def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Strings that could be secrets, one row each: ``doc_id``, ``word_at`` (the word's
     place in the text from 0), ``part_at`` (its place among the word's parts), ``value``,
@@ -88,8 +98,6 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
         F.explode(let(split, found)).alias("c"),
     )
     word, before, before2 = F.col("c.word"), F.col("c.before"), F.col("c.before2")
-    behind = before.rlike(rf"[=:]$|(?:{_NAMES})\w*\W*$")
-    parts = F.regexp_extract_all(F.concat(F.when(behind, "=").otherwise(""), word), F.lit(_PARTS), F.lit(0))
 
     def valued(parts: Column) -> Column:
         def part(at: Column) -> Column:
@@ -106,7 +114,7 @@ def candidates(docs: DataFrame, path_column: str | None = None, keep: tuple[str,
         places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.length(part(i)) >= SHORTEST_GIVEN)
         return F.transform(places, one)
 
-    rows = rows.select("doc_id", "path", *keep, "c", F.explode(let(parts, valued)).alias("v"))
+    rows = rows.select("doc_id", "path", *keep, "c", F.explode(let(_parts(word, before), valued)).alias("v"))
     inside, value = F.lower("v.inside"), F.col("v.value")
     within = inside.rlike(r"[a-z0-9]")
     closest = F.regexp_replace(inside, r"""["'`(\[{<]+$""", "")
@@ -288,28 +296,71 @@ def scan_secrets(
     return judged(candidates(docs, path_column), words, forest, secret_at)
 
 
+def _masked_word(word: Column, before: Column, hit: Column, mask: str) -> Column:
+    """The word with the values of the parts at the places ``hit`` masked."""
+
+    def one(part: Column, at: Column) -> Column:
+        closing = F.regexp_extract(part, r"[.\-]*$", 0)
+        return F.when(F.array_contains(hit, at), F.concat(F.lit(mask), closing)).otherwise(part)
+
+    joined = F.array_join(F.transform(_parts(word, before), one), "")
+    return F.substring(joined, F.when(_behind(before), 2).otherwise(1), F.length(word) + F.size(hit) * len(mask) + 1)
+
+
+def _masked_text(text: Column, places: Column, mask: str) -> Column:
+    """The text with the words at ``places`` (``word_at``, ``hit``; ascending) masked, all else as it was.
+
+    What lies between two such words is cut out once, so the time grows with the text.
+    """
+
+    def rebuilt(words: Column, gaps: Column, tokens: Column) -> Column:
+        def upto(place: Column, k: Column) -> Column:
+            at, start = place["word_at"], F.coalesce(F.get(places, k - 1)["word_at"] + 1, F.lit(0))
+            word = _masked_word(F.get(words, at), _near(words, at - 1), place["hit"], mask)
+            kept = F.array_join(F.slice(tokens, start + 1, at - start), "")
+            return F.concat(kept, word, F.coalesce(F.get(gaps, at), F.lit("")))
+
+        rest = F.slice(tokens, F.element_at(places, -1)["word_at"] + 2, F.size(tokens))
+        return F.concat(F.array_join(F.transform(places, upto), ""), F.array_join(rest, ""))
+
+    def joined(words: Column, gaps: Column) -> Column:
+        whole = F.zip_with(words, gaps, lambda word, gap: F.concat(word, F.coalesce(gap, F.lit(""))))
+        return let(whole, lambda tokens: rebuilt(words, gaps, tokens))
+
+    gaps = F.regexp_extract_all(text, F.lit(f"({SPACES})"), F.lit(1))
+    return let(F.split(text, SPACES), lambda words: let(gaps, lambda g: joined(words, g)))
+
+
 def redact_secrets(
     docs: DataFrame, words: DataFrame, forest: PipelineModel | None, path_column: str | None = None,
-    secret_at: float = SECRET_AT, mask: str = MASK,
+    secret_at: float = SECRET_AT, mask: str = MASK, broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """``docs`` with every confirmed secret in ``text`` replaced by ``mask``; all rows and columns stay.
 
-    Only texts with a confirmed secret are joined with their secrets, by a hash of text
-    and path; the others pass by. A text's secrets are as many as it has parts of words at
-    most. A null text stays null.
+    Masked are the places of confirmed secrets, and of other candidates of the same text with the
+    same value; a longer word that contains the value stays. Only texts with a confirmed secret
+    are joined with their places, by a hash of text and path; the others pass by. Places are
+    broadcast if they take at most ``broadcast_bytes``, counted. A null text stays null; repeated rows
+    are masked alike; no documents, no rows.
     """
     text, where = whole_text(docs), (docs[path_column].cast("string") if path_column else F.lit(""))
     key = fresh(docs, "secret_key")
     keyed = docs.withColumn(key, F.xxhash64(text, where))
     found = judged(candidates(keyed, path_column, (key,)), words, forest, secret_at)
-    secrets = (
-        found.filter("is_secret").groupBy(F.col(key).alias("found_key")).agg(F.array_sort(F.collect_set("value")).alias("found_values"))
+    # Copies of a text have the same places, so a group holds no more than a text's own.
+    alike = found.groupBy(F.col(key).alias("found_key"), "value").agg(
+        F.max("is_secret").alias("is_secret"), F.collect_set(F.struct("word_at", "part_at")).alias("at")
+    )
+    hits = alike.filter("is_secret").select("found_key", F.explode("at").alias("at"))
+    hits = hits.groupBy("found_key", "at.word_at").agg(F.collect_list("at.part_at").alias("hit"))
+    places = fresh(docs, "secret_places")
+    secrets = hits.groupBy(F.col("found_key").alias(f"{key}_")).agg(
+        F.array_sort(F.collect_list(F.struct("word_at", "hit"))).alias(places)
     )
-    values = fresh(docs, "secret_values")
-    secrets = store(secrets.select(F.col("found_key").alias(f"{key}_"), F.col("found_values").alias(values)), "secrets")
-    met = keyed.join(broadcast_if_small(secrets, 256), F.col(key) == F.col(f"{key}_"), "left")
-    # Longer values first, so that none is cut by a part of it.
-    longest = F.array_sort(F.col(values), lambda a, b: F.length(b) - F.length(a))
-    clean = F.reduce(longest, F.col("`text`"), lambda t, v: F.replace(t, v, F.lit(mask)))
-    redacted = F.when(F.col(values).isNull(), F.col("`text`")).otherwise(clean)
+    secrets = store(secrets, "secrets")
+    hit_words, hit_parts = F.size(places), F.size(F.flatten(F.col(f"{places}.hit")))
+    (size,) = secrets.agg(F.sum(64 + 64 * hit_words + 8 * hit_parts)).first()
+    met = keyed.join(F.broadcast(secrets) if (size or 0) <= broadcast_bytes else secrets, F.col(key) == F.col(f"{key}_"), "left")
+    clean = _masked_text(F.col("`text`"), F.col(places), mask)
+    redacted = F.when(F.col(places).isNull(), F.col("`text`")).otherwise(clean)
     return met.select(*[redacted.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

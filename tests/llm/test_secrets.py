@@ -108,3 +108,42 @@ def test_later_and_short_secrets_are_redacted(spark, model):
     texts = [f"see https://api.example.com/v1/list?token={HEX} now", f'{{"user":"longusername1","secret":"{HEX}"}}', 'set password="Px@w0rdQ!24" there']
     out = secrets.redact_secrets(documents(spark, list(enumerate(texts))), *model).collect()
     assert all("[SECRET]" in r["text"] and HEX not in r["text"] and "w0rdQ" not in r["text"] for r in out), out
+
+
+def masked_plainly(text: str, rows: list, mask: str = "[SECRET]") -> str:
+    """The plain rule: in each word the candidates' values are replaced from left to right, each at its own place."""
+    tokens = re.split(r"([\x09-\x0D\x20]+)", text)
+    confirmed = {r["value"] for r in rows if r["is_secret"]}
+    for at in {r["word_at"] for r in rows}:
+        word, done, out = tokens[2 * at], 0, ""
+        for r in sorted((r for r in rows if r["word_at"] == at), key=lambda r: r["part_at"]):
+            begin = word.index(r["value"], done)
+            out += word[done:begin] + (mask if r["value"] in confirmed else r["value"])
+            done = begin + len(r["value"])
+        tokens[2 * at] = out + word[done:]
+    return "".join(tokens)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_secrets_are_masked_by_place(spark, model, broadcast_bytes):
+    """Longer words that contain a secret's value, white space and all other words stay as they were."""
+    short = "abcdef12"
+    texts = [
+        f"\ttoken={short}  then\r\n{short}3456 and x{short} or token: {short}. End ",
+        f'a "secret" = "{HEX}"\n\n{HEX}, {HEX}ff;pwd={short}-- more', f"  api_key={HEX},client_secret={HEX[::-1]}; \x0b {HEX[::-1]}",
+        " ".join(f"token={HEX[k % 20:]}{k}," for k in range(300)), ",".join(f"token={HEX}{k}" for k in range(200)) + "\n",
+    ]
+    docs = documents(spark, list(enumerate(texts)), "secret_places")
+    for forest in (model[1], None):
+        found = secrets.scan_secrets(docs, model[0], forest, "source").collect()
+        out = secrets.redact_secrets(docs, model[0], forest, "source", broadcast_bytes=broadcast_bytes).collect()
+        for r in out:
+            rows = [f for f in found if f["doc_id"] == r["doc_id"]]
+            assert r["text"] == masked_plainly(texts[r["doc_id"]], rows) and "[SECRET]" in r["text"]
+    assert f"{short}3456 and x{short} or" in next(r["text"] for r in out if r["doc_id"] == 0) or forest is None
+
+
+def test_redaction_of_many_secrets_in_one_text(spark, model):
+    text = " ".join(f"token={k:06d}{HEX}" for k in range(16000))
+    (row,) = secrets.redact_secrets(documents(spark, [(1, text)]), *model).collect()
+    assert row["text"] == " ".join(["token=[SECRET]"] * 16000)
