@@ -33,7 +33,7 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 # Hosts whose pages are put on the list of blocked urls.
-LISTED_HOSTS = r"(?:^|\.)(?:spam-farm|cheap-pills)\."
+LISTED_HOSTS = r"(?:^|\.)(?:spam-farm|cheap-pills|casino-win|ads-track)\."
 
 
 def tokenizer_file(name: str) -> str:

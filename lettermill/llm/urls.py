@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import fresh
+from lettermill.llm.common import fresh, store
 
 BITS_EACH = 16
 HASHES = 6
@@ -90,7 +90,7 @@ def listed_urls(
     joined by block. A null key is never listed; keys may repeat on both
     sides; an empty list lists nothing. The rows keep their columns.
     """
-    keys = listed.select("key").filter("key is not null").distinct()
+    keys = store(listed.select("key").filter("key is not null").distinct(), "listed")  # read three times
     n = keys.count()
     blocks = max(1, -(-n * bits_each // BLOCK_BITS))
     filter_ = bloom(keys, blocks, hashes)

@@ -140,7 +140,7 @@ def test_secrets_are_masked_by_place(spark, model, broadcast_bytes):
         for r in out:
             rows = [f for f in found if f["doc_id"] == r["doc_id"]]
             assert r["text"] == masked_plainly(texts[r["doc_id"]], rows) and "[SECRET]" in r["text"]
-    assert f"{short}3456 and x{short} or" in next(r["text"] for r in out if r["doc_id"] == 0) or forest is None
+            assert "[SECRET]3456" not in r["text"]
 
 
 def test_redaction_of_many_secrets_in_one_text(spark, model):
