@@ -37,6 +37,9 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, with_ids: bool
         for batch in batches:
             for part in text_slices(batch, _SLICE_BYTES):
                 yield _cut(part.column("doc_id"), *batch_word_ids(part.column("text"), memory), sequence, with_ids)
+            # The batch goes before the next one is read.
+            part = batch = None
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     return rows.mapInArrow(cut, schema)

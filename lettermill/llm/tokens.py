@@ -218,25 +218,30 @@ def word_ids(text: str, memory: Memory) -> bytes:
 def batch_word_ids(texts: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """``word_ids`` of many texts in a row, and the number of ids of each.
 
-    Arrow cuts the texts and finds the different words; only those meet Python.
+    Arrow cuts the texts and finds the different words; only those meet Python,
+    and Arrow puts their ids where the words stand.
+    """
+    words_in, encoded = _different_words(texts)
+    if not len(encoded):
+        return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+    found = pa.array([memory[w] for w in encoded.dictionary.to_pylist()], pa.large_binary())
+    placed = found.take(encoded.indices)
+    bounds = np.frombuffer(placed.buffers()[1], np.int64, len(placed) + 1)
+    ids = np.frombuffer(placed.buffers()[2] or b"", "<u4", bounds[-1] // 4)
+    return ids, np.diff(bounds[np.cumsum(words_in)] // 4, prepend=0)
+
+
+def _different_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of words of each text, and all words in a row by their places among the different ones.
+
     Two steps make words alike that have the same ids: A-Z are lower-cased, but
     not in texts with what may be a special token, and a single full stop
     or comma behind a letter becomes a word of its own, as the pattern has it.
     """
     special = pc.match_substring(texts, "<|")
-    lowered = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
-    parted = pc.replace_substring_regex(pc.replace_substring_regex(lowered, _WIDE_SPACE, " "), _SENTENCE_SIGN, r"\1 \2\3")
+    parted = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+    parted = pc.replace_substring_regex(parted, _WIDE_SPACE, " ")
+    parted = pc.replace_substring_regex(parted, _SENTENCE_SIGN, r"\1 \2\3")
     lists = pc.ascii_split_whitespace(parted)
     words_in = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    encoded = pc.dictionary_encode(lists.flatten())
-    codes = encoded.indices.to_numpy(zero_copy_only=False)
-    found = [memory[w] for w in encoded.dictionary.to_pylist()]
-    sizes = np.fromiter((len(b) // 4 for b in found), np.int64, len(found))
-    ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-    n = sizes[codes]
-    ends = np.cumsum(n)
-    # Where the ids of each word stand among those of the different words.
-    at = np.repeat(starts[codes] - (ends - n), n)
-    at += np.arange(len(at))
-    upto = np.concatenate(([0], ends))[np.cumsum(words_in)]
-    return ids[at], np.diff(upto, prepend=0)
+    return words_in, pc.dictionary_encode(lists.flatten())
