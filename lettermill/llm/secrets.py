@@ -138,7 +138,9 @@ def dictionary(spark: SparkSession, vocabulary: str) -> DataFrame:
 
     entries = {w.removesuffix("</w>") for w in Tokenizer.from_file(vocabulary).get_vocab() if w.endswith("</w>")}
     words = sorted(w for w in entries if len(w) >= 4 and w.isascii() and w.isalpha() and w.islower())
-    return spark.createDataFrame([(w,) for w in words], "entry string")
+    # One value, split by Spark and stored: plans that use the words don't hold them.
+    entries = spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(" ".join(words)), " ")).alias("entry"))
+    return store(entries.filter("entry <> ''"), "dictionary")
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
