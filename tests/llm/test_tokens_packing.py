@@ -148,3 +148,14 @@ def test_exact_complements_come_first():
     assert packing.plan({60: 2, 35: 1, 25: 1, 40: 1, 12: 1, 8: 1, 30: 1, 15: 1, 10: 1, 5: 1}, 60) == [
         ([60], 2), ([40, 15, 5], 1), ([35, 25], 1), ([30, 12, 10, 8], 1),
     ]
+
+
+def test_batches_without_words_or_rows(spark):
+    """A batch of blank texts, one without rows, and partitions without any."""
+    for texts in ([], [""], ["", " ", "\n"]):
+        ids, counts = tokens.batch_word_ids(pa.array(texts, pa.string()), MEMORY)
+        assert len(ids) == 0 and counts.tolist() == [0] * len(texts)
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "a word")], "doc_id long, text string").repartition(9, "doc_id")
+    rows = {r["doc_id"]: r["length"] for r in packing.pieces(docs, WORDS).collect()}
+    assert rows[1] == rows[2] == 1 and rows[3] > 1
+    assert packing.pieces(docs.filter("doc_id < 0"), WORDS).count() == 0
