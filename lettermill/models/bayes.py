@@ -17,6 +17,8 @@ from lettermill.sources.files import split_known_labels
 
 # Bounds of what is broadcast: words, and the bytes of all of them.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+# Longer words are the last to be broadcast.
+_WORD_BYTES = 64
 
 
 def tokens(text: Column) -> Column:
@@ -74,10 +76,22 @@ def load_bayes(spark: SparkSession, path: str) -> BayesModel:
     )
 
 
-def _fits(model: BayesModel, broadcast_rows: int) -> bool:
-    if model.vocabulary > broadcast_rows:
-        return False
-    return (model.counts.agg(F.sum(F.octet_length("token"))).first()[0] or 0) <= BROADCAST_BYTES
+def _head(model: BayesModel, broadcast_rows: int) -> tuple[Column, bool]:
+    """Which words are broadcast, the most frequent that the bounds admit, and whether those are all.
+
+    Frequency goes by levels of about 4%, of which at most some thousand reach the driver.
+    """
+    seen = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    level = F.floor(F.log2(F.greatest(seen, F.lit(1)).cast("double")) * 16).cast("int")
+    level = F.when(F.octet_length("token") <= _WORD_BYTES, level).otherwise(-1)
+    sizes = F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("token")).alias("bytes")
+    words, size, least = 0, 0, None
+    for row in sorted(model.counts.groupBy(level.alias("level")).agg(*sizes).collect(), reverse=True):
+        words, size = words + row["words"], size + row["bytes"]
+        if words > broadcast_rows or size > BROADCAST_BYTES:
+            return (F.lit(False) if least is None else level >= least), False
+        least = row["level"]
+    return F.lit(True), True
 
 
 def apply_bayes(
@@ -87,10 +101,11 @@ def apply_bayes(
     """Add the likeliest label of each text and its probability; labels never seen in training have none.
 
     The result depends on the text alone: tokens are summed by a hash of the
-    text, and a text that occurs several times counts as one. A vocabulary of at
-    most ``broadcast_rows`` words and 32 MB goes to every task, a longer one is joined.
+    text, and a text that occurs several times counts as one. The most frequent
+    words, at most ``broadcast_rows`` and 32 MB, go to every task; only words of a
+    text that are not among them are joined with the rest of the vocabulary.
     """
-    key = F.md5(or_empty(F.col(text)))
+    key = F.unhex(F.md5(or_empty(F.col(text))))
     n = len(model.labels)
     seen = [k for k in range(n) if model.texts[k]]
     if not seen:
@@ -103,23 +118,31 @@ def apply_bayes(
     keyed = keyed.select("__key", F.posexplode_outer("__words").alias("__at", "token")).filter("token IS NOT NULL")
     # Copies of a text are told by its first word, so sums and copies come from one pass.
     first = F.count_if(F.col("__at") == 0).alias("__copies")
+    in_head, whole = _head(model, broadcast_rows)
     weights = model.counts.select(
-        "token",
+        "token", in_head.alias("__head"),
         *[F.log((F.col("counts")[k] + 1) / (model.words[k] + model.vocabulary)).alias(f"__w{k}") for k in seen],
     )
     unknown = {k: -math.log(max(1, model.words[k] + model.vocabulary)) for k in seen}
     known = [F.coalesce(f"__w{k}", F.lit(unknown[k])) for k in seen]
-    if _fits(model, broadcast_rows):
-        # Checked rows and bytes: words stay where they are, and a task sends one row a text.
-        sums = keyed.join(F.broadcast(weights), "token", "left").groupBy("__key").agg(
-            first, *[F.sum(w).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)]
-        )
+    # Checked rows and bytes: words stay where they are.
+    met = keyed.join(F.broadcast(weights.filter("__head").drop("__head")), "token", "left")
+    if whole:
+        # A task sends one row a text.
+        sums = met.groupBy("__key").agg(first, *[F.sum(w).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)])
     else:
-        counted = keyed.groupBy("__key", "token").agg(F.count(F.lit(1)).alias("__n"), first)
-        sums = counted.join(weights, "token", "left").groupBy("__key").agg(
-            F.sum("__copies").alias("__copies"),
-            *[F.sum(F.col("__n") * w).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)],
+        # A task sends one row for all broadcast words of a text and one for each other word. The
+        # first goes by the text's key, spelled as no word is: nulls would all meet in one task.
+        own = F.concat(F.lit(" "), F.hex("__key"))
+        each = met.withColumn("token", F.when(F.col(f"__w{seen[0]}").isNull(), F.col("token")).otherwise(own))
+        each = each.groupBy("__key", "token").agg(
+            first, F.count(F.lit(1)).alias("__n"), *[F.sum(f"__w{k}").alias(f"__s{k}") for k in seen]
         )
+        rest = weights.filter("NOT __head").drop("__head")
+        summed = [
+            F.sum(F.coalesce(f"__s{k}", F.col("__n") * w)).alias(f"__s{k}") for k, w in zip(seen, known, strict=True)
+        ]
+        sums = each.join(rest, "token", "left").groupBy("__key").agg(F.sum("__copies").alias("__copies"), *summed)
     prior = [math.log(model.texts[k] / total) if k in seen else None for k in range(n)]
     likely = [
         F.col(f"__s{k}") / F.col("__copies") + prior[k] if k in seen else F.lit(None).cast("double") for k in range(n)
@@ -132,9 +155,11 @@ def apply_bayes(
     scored = logs.withColumn("__rest", rest).select("__key", chances.alias("__chances"))
     # A text without words has the shares of the labels.
     shares = F.array(*[F.lit(model.texts[k] / total) for k in range(n)])
-    found = df.withColumn("__key", key).join(scored, "__key", "left")
+    # Blank texts are told before the join, which then needs no text unless the caller keeps it.
+    blank = unless_blank(F.col(text), F.lit(None).cast("string"))
+    found = df.withColumns({"__key": key, "__blank": blank}).join(scored, "__key", "left")
     found = found.withColumn("__chances", F.coalesce("__chances", shares))
     label = top_label(text_array(model.labels), F.col("__chances"), threshold)
     return found.select(
-        *df.columns, unless_blank(F.col(text), label).alias(out), F.array_max("__chances").alias(score)
+        *df.columns, F.coalesce("__blank", label).alias(out), F.array_max("__chances").alias(score)
     )

@@ -164,3 +164,50 @@ def test_bayes_equals_the_plain_rule(spark, tmp_path):
     assert len(found) == len(texts)
     empty = train_bayes(spark.createDataFrame([], "text string, label string"))
     assert [r["label"] for r in apply_bayes(empty, spark.createDataFrame([("a",)], "text string")).collect()] == ["unknown"]
+
+
+@pytest.mark.parametrize("bounds", [{"broadcast_rows": rows} for rows in (0, 1, 20, 500)])
+def test_bayes_gives_the_same_whatever_is_broadcast(spark, bounds):
+    from lettermill.models.bayes import apply_bayes, train_bayes
+
+    # Word w<k> is in every k-th mail, x<i> in one; one word is too long to be broadcast early.
+    mails = [" ".join(f"w{k}" for k in range(1, 60) if i % k == 0) + f" x{i}, w1 w1" for i in range(300)]
+    mails += ["", " \t", None, "new words only", "y" * 100, mails[7], mails[7]]
+    labels = ["hard_rejection", "soft_rejection"]
+    df = spark.createDataFrame([(i, t, labels[i % 2]) for i, t in enumerate(mails)], "i int, text string, label string")
+    model, texts = train_bayes(df), df.select("i", "text")
+    texts = texts.union(spark.createDataFrame([(-1, "w1 never trained, never")], texts.schema))
+    expected = {r["i"]: r for r in apply_bayes(model, texts).collect()}
+    found = {r["i"]: r for r in apply_bayes(model, texts, **bounds).collect()}
+    assert len(found) == len(mails) + 1 and found.keys() == expected.keys()
+    for i, row in found.items():
+        assert row["text"] == expected[i]["text"] and row["label"] == expected[i]["label"]
+        assert row["score"] == pytest.approx(expected[i]["score"])
+
+
+def shuffled_bytes(df) -> int:
+    """Bytes of all rows that the shuffles of a query that ran have sent."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            total += node.metrics().get("dataSize").get().value()
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("rows", [70, 1_000_000])
+def test_bayes_sends_less_than_the_texts(spark, rows):
+    """Frequent words stay where they are when the vocabulary is too long to be broadcast whole, and so do texts."""
+    from lettermill.models.bayes import apply_bayes, train_bayes
+
+    mails = [" ".join(f"frequent{(i + k) % 64}" for k in range(400)) + f" x{i}" for i in range(200)]
+    df = spark.createDataFrame([(i, t, "hard_rejection") for i, t in enumerate(mails)], "i int, text string, label string")
+    found = apply_bayes(train_bayes(df), df.select("i", "text"), broadcast_rows=rows).select("i", "label", "score")
+    assert len(found.collect()) == len(mails)
+    assert 0 < shuffled_bytes(found) < sum(map(len, mails)) / 4
