@@ -27,7 +27,8 @@ RANKED = 1 << 19
 FILTER_BITS = 28
 # A tile is _SIDE x _SIDE cells, the tiled corner _TILES x _TILES tiles.
 _SIDE, _TILES, _DENSE = 1 << 10, 4, 1 << 16
-_SLICE_BYTES, _TOKENS, _BLOB = 4 << 20, 1 << 20, 1 << 16
+# Words counted at a time, and rows of a batch that a task hands over: both bound its memory.
+_SLICE_BYTES, _TOKENS, _BLOB, _ROWS = 2 << 20, 1 << 18, 1 << 16, 1 << 15
 _SALTS = 64
 # Numbers of phrases without a rank start here.
 _UNRANKED = 1 << 30
@@ -140,6 +141,7 @@ def encode(docs: DataFrame, vocab: DataFrame, head: DataFrame, has_tail: bool) -
                 ids = ids_of(part)
                 blobs = [b.astype("<i4").tobytes() for b in np.split(ids, _cuts(ids))]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["ids"])
+        pa.default_memory_pool().release_unused()
 
     if has_tail:
         rows = _tail_words(docs, vocab.join(head.select("id"), "id", "left_anti").select("lang", "word", "id"))
@@ -304,30 +306,63 @@ def _numbered(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def phrase_counts(blobs: DataFrame, words: int, least: int, known: Broadcast | None) -> DataFrame:
-    """``w0``, ``w1``, ... and ``n`` of all phrases of ``words`` words that occur ``least`` times."""
-    names = [f"w{k}" for k in range(words)]
+def counted_parts(blobs: Iterator[pa.Buffer], words: int, known: list[Often]) -> Iterator[pa.RecordBatch]:
+    """Phrases of blobs, two words a code, in batches of at most ``_ROWS`` rows.
+
+    ``_TOKENS`` words and the rest of a blob are counted at a time.
+    """
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         # A blob ends before a gap, and the next begins with it.
-        columns = count_phrases(np.concatenate(parts), words, known.value if known else [])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*names, "n"])
+        *columns, n = count_phrases(np.concatenate(parts), words, known)
+        columns = [*(_pair(*columns[k : k + 2]) for k in range(0, words, 2)), n]
+        for at in range(0, len(n), _ROWS):
+            rows = [pa.array(c[at : at + _ROWS], pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays(rows, _codes(words) + ["n"])
+
+    parts, held = [], 0
+    for blob in blobs:
+        # Copied: the batch's memory is not kept.
+        parts.append(np.frombuffer(blob, "<i4").copy())
+        held += len(parts[-1])
+        if held >= _TOKENS:
+            yield from counted(parts)
+            parts, held = [], 0
+    if parts:
+        yield from counted(parts)
+    del parts
+    # The worker outlives the task.
+    pa.default_memory_pool().release_unused()
+
+
+def _pair(first: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    return first if last is None else (first << 32) | last
+
+
+def _codes(words: int) -> list[str]:
+    return [f"c{k}" for k in range(0, words, 2)]
+
+
+def phrase_counts(blobs: DataFrame, words: int, least: int, known: Broadcast | None) -> DataFrame:
+    """``w0``, ``w1``, ... and ``n`` of all phrases of ``words`` words that occur ``least`` times."""
+    codes = _codes(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for blob in batch.column("ids"):
-                # Copied: the batch's memory is not kept.
-                parts.append(np.frombuffer(blob.as_buffer(), "<i4").copy())
-                held += len(parts[-1])
-                if held >= _TOKENS:
-                    yield counted(parts)
-                    parts, held = [], 0
-        if parts:
-            yield counted(parts)
-
-    rows = blobs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return rows.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        buffers = (blob.as_buffer() for batch in batches for blob in batch.column("ids"))
+        yield from counted_parts(buffers, words, known.value if known else [])
+
+    rows = blobs.mapInArrow(run, ", ".join(f"{c} long" for c in [*codes, "n"]))
+    # Two words a code: a task's table of phrases and the shuffle are of few numbers.
+    counts = rows.groupBy(*codes).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    spelled = []
+    for k in range(words):
+        code = F.col(f"c{k - k % 2}")
+        if k % 2:
+            code = code.bitwiseAND(0xFFFFFFFF)
+        elif k + 1 < words:
+            code = F.shiftright(code, 32)
+        spelled.append(code.alias(f"w{k}"))
+    return counts.select(*spelled, "n")
 
 
 def _named(df: DataFrame, id_column: str, head: DataFrame, tail: DataFrame | None, *names: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -102,6 +103,25 @@ def test_blobs_are_cut_at_gaps_only(monkeypatch):
     assert all(p[0] < 0 for p in parts) and len(parts) > 1
 
 
+def test_counting_holds_little_at_a_time():
+    """Memory of a count is that of a part of the words, and batches are small, however many blobs come."""
+    draw = np.random.default_rng(2)
+    blobs = [np.append(np.int32(-1), draw.integers(0, 700, 1 << 16, np.int32)) for _ in range(24)]
+    expected, found = np.zeros((700, 700), np.int64), np.zeros((700, 700), np.int64)
+    for ids in blobs:
+        np.add.at(expected, (ids[1:-1], ids[2:]), 1)
+    tracemalloc.start()
+    try:
+        for batch in phrases.counted_parts((pa.py_buffer(ids.tobytes()) for ids in blobs), 2, []):
+            assert 0 < batch.num_rows <= 1 << 15
+            pair, n = (column.to_numpy() for column in batch.columns)
+            np.add.at(found, (pair >> 32, pair & 0xFFFFFFFF), n)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (found == expected).all() and most < 40 << 20
+
+
 def test_batches_are_read_whole_in_parts():
     """Parts of a batch start inside its buffers."""
     texts_ = [f"Wörd{k} of a, text {k}" for k in range(50)]
