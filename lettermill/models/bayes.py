@@ -105,7 +105,8 @@ def apply_bayes(
     words, at most ``broadcast_rows`` and 32 MB, go to every task; only words of a
     text that are not among them are joined with the rest of the vocabulary.
     """
-    key = F.unhex(F.md5(or_empty(F.col(text))))
+    # Never null, and known to be so: else the join would test the whole text for it in a filter.
+    key = F.coalesce(F.unhex(F.md5(or_empty(F.col(text)))), F.lit(b""))
     n = len(model.labels)
     seen = [k for k in range(n) if model.texts[k]]
     if not seen:
