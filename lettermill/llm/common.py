@@ -41,12 +41,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 64, most_bytes: int = 32 << 20) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows fit; else left to be shuffled.
+def broadcast_if_small(
+    df: DataFrame, row_bytes: int = 64, most_bytes: int = 32 << 20, rows: int | None = None
+) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows fit; else for a shuffle.
 
-    The results are the same. ``df`` is counted, so it should be stored.
+    The results are the same. ``df`` is counted unless ``rows`` says how many
+    it may have, so it should be stored.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= most_bytes else df
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df.hint("merge")
+
+
+def shuffle_if_large(
+    df: DataFrame, row_bytes: int = 64, most_bytes: int = 8 << 20, rows: int | None = None
+) -> DataFrame:
+    """``df``, marked for a shuffle join if its counted rows don't fit a broadcast; else left to Spark.
+
+    Spark takes a table for as large as its compressed files, and does not see
+    the rows that an explode adds: by that size it may broadcast far too much.
+    Counts are as in ``broadcast_if_small``; the larger side of a join is the one to give.
+    """
+    rows = df.count() if rows is None else rows
+    return df if rows * row_bytes <= most_bytes else df.hint("merge")
 
 
 def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:

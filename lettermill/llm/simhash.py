@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import broadcast_if_small, fresh, store, whole_text
+from lettermill.llm.common import broadcast_if_small, fresh, shuffle_if_large, store, whole_text
 from lettermill.llm.components import components
 
 WORDS = 3
@@ -119,14 +119,18 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
         "crowds",
     )
     at = ["segment", "key"]
+    n_crowds = crowds.count()
+    few = broadcast_if_small(crowds, rows=n_crowds)
+    # Spark would size the probes as if each fingerprint had one.
+    balls = sum(len(ball(width, radius)) for _, width, radius in plan)
+    probes = shuffle_if_large(probes.join(few, at, "left_anti"), rows=fps.count() * balls)
     pairs = (
-        probes.join(crowds, at, "left_anti")
-        .join(slots.join(crowds, at, "left_anti"), at)
+        probes.join(slots.join(few, at, "left_anti"), at)
         .filter("probe <> fp")
         .filter(F.bit_count(F.col("probe").bitwiseXOR(fp)) <= max_bits)
         .select(F.greatest("probe", "fp").alias("u"), F.least("probe", "fp").alias("v"))
     )
-    if crowds.isEmpty():
+    if not n_crowds:
         return pairs.distinct()
     crowded = None
     for k, (shift, width, radius) in enumerate(plan):
@@ -136,6 +140,7 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
             .select(F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
             .distinct()
         )
+        keys = broadcast_if_small(keys, rows=n_crowds * len(ball(width, radius)))
         met = fps.withColumn("key", _segment(fp, shift, width)).join(keys, "key", "left_semi").select("fp")
         crowded = met if crowded is None else crowded.union(met)
     points = crowded.distinct().select("fp", F.explode(_masks(64, (max_bits + 1) // 2)).alias("mask"))
@@ -153,9 +158,10 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENT
 
 def fingerprint_groups(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """``fp`` and ``group`` (a fingerprint of the group) for each distinct ``fp``."""
-    distinct = fps.select("fp").filter("fp is not null").distinct()
-    linked = components(near_links(store(distinct, "fingerprints"), max_bits, segments, crowd))
-    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+    distinct = store(fps.select("fp").filter("fp is not null").distinct(), "fingerprints")
+    linked = components(near_links(distinct, max_bits, segments, crowd))
+    linked = shuffle_if_large(linked.withColumnRenamed("node", "fp"), rows=distinct.count())
+    return distinct.join(linked, "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("group")
     )
 
@@ -174,9 +180,9 @@ def near_duplicates(
     rows = docs.select(docs["doc_id"].alias("doc_id"), simhash_column(words)(whole_text(docs)).alias("fp"))
     rows = store(rows, "simhash")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    groups = store(fingerprint_groups(least, max_bits, segments, crowd), "groups")
+    groups = shuffle_if_large(store(fingerprint_groups(least, max_bits, segments, crowd), "groups"))
     ids = least.join(groups, "fp").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(groups.join(ids, "group").select("fp", "component_id"), "fp")
+    return shuffle_if_large(rows).join(groups.join(ids, "group").select("fp", "component_id"), "fp")
 
 
 def drop_near_duplicates(

@@ -7,8 +7,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lettermill.llm import queries, simhash
+from lettermill.llm import common, queries, simhash
 from lettermill.llm.components import components
+from tests.conftest import plan_of
 from tests.llm.helpers import DOCS, ODD, documents, rows_of, texts_of
 
 
@@ -86,6 +87,30 @@ def test_crowds_and_tables_give_the_same_groups(spark):
             assert [first.setdefault(g, k) for k, g in enumerate(groups)] == expected, (bits, crowd)
 
 
+def test_exploded_probes_are_not_broadcast(spark):
+    """By the size of the file, 6,000 fingerprints and their 34 probes each look small."""
+    draw = random.Random(3)
+    fps = common.store(spark.createDataFrame([(draw.getrandbits(63),) for _ in range(6000)], "fp long"), "fps")
+    inner = [line for line in plan_of(simhash.near_links(fps)).splitlines() if "Join" in line and " Inner" in line]
+    assert inner and all("SortMergeJoin" in line for line in inner)
+
+
+def test_groups_are_the_same_without_broadcasts(spark, monkeypatch):
+    import lettermill.llm.components as module
+
+    fps = crowd_of_fingerprints(200)
+    expected = plain_groups([(k, fp) for k, fp in enumerate(fps)])
+    signed = [int(np.uint64(fp).astype(np.int64)) for fp in fps]
+    docs = common.store(spark.createDataFrame([(k, fp) for k, fp in enumerate(signed)], "doc_id long, fp long"), "fps")
+    for owner in (simhash, module):
+        monkeypatch.setattr(owner, "shuffle_if_large", lambda df, rows=None: common.shuffle_if_large(df, most_bytes=0, rows=rows))
+    monkeypatch.setattr(simhash, "broadcast_if_small", lambda df, rows=None: common.broadcast_if_small(df, most_bytes=0, rows=rows))
+    for crowd in (1000, 3):
+        found = {r["fp"]: r["group"] for r in simhash.fingerprint_groups(docs, crowd=crowd).collect()}
+        first = {}
+        assert [first.setdefault(found[s], k) for k, s in enumerate(signed)] == expected
+
+
 @settings(max_examples=40)
 @given(st.integers(0, 7), st.integers(1, 5))
 def test_segments_leave_no_distance_out(bits, segments):
