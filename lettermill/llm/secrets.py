@@ -362,7 +362,9 @@ def redact_secrets(
     secrets = store(secrets, "secrets")
     hit_words, hit_parts = F.size(places), F.size(F.flatten(F.col(f"{places}.hit")))
     (size,) = secrets.agg(F.sum(64 + 64 * hit_words + 8 * hit_parts)).first()
-    met = keyed.join(F.broadcast(secrets) if (size or 0) <= broadcast_bytes else secrets, F.col(key) == F.col(f"{key}_"), "left")
+    # Places are stored in far fewer bytes than they take: Spark is not to go by those.
+    secrets = F.broadcast(secrets) if (size or 0) <= broadcast_bytes else secrets.hint("merge")
+    met = keyed.join(secrets, F.col(key) == F.col(f"{key}_"), "left")
     clean = _masked_text(F.col("`text`"), F.col(places), mask)
     redacted = F.when(F.col(places).isNull(), F.col("`text`")).otherwise(clean)
     return met.select(*[redacted.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

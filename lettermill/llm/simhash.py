@@ -203,11 +203,13 @@ def drop_near_duplicates(
     )
     rows = store(rows.groupBy("doc_id", "text_key", "fp").agg(F.count("*").alias("copies")), "simhash")
     groups = store(fingerprint_groups(rows, max_bits, segments, crowd), "groups")
-    grouped = rows.join(groups, "fp")
+    n_rows = rows.count()
+    grouped = shuffle_if_large(rows, rows=n_rows).join(groups, "fp")
     kept = store(grouped.groupBy("group").agg(F.min(row).alias("row")).select("group", "row.*"), "kept")
     key, id_key = fresh(docs, "text_key_"), fresh(docs, "id_key_")
     is_kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
     of_kept = kept.select("group", F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    of_kept = shuffle_if_large(of_kept, rows=n_rows)
     # Rows to go, and rows of which one of several stays: those are put back below.
     gone = grouped.join(of_kept, "group").filter(~is_kept | (F.col("copies") > 1))
     gone = store(gone.select(F.col("text_key").alias(key), F.col("doc_id").alias(id_key)), "gone")

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from lettermill.llm import queries, secrets
+from tests.conftest import plan_of
 from tests.llm.helpers import DOCS, LONG, ODD, documents, rows_of, texts_of
 
 HEX = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
@@ -147,3 +148,11 @@ def test_redaction_of_many_secrets_in_one_text(spark, model):
     text = " ".join(f"token={k:06d}{HEX}" for k in range(16000))
     (row,) = secrets.redact_secrets(documents(spark, [(1, text)]), *model).collect()
     assert row["text"] == " ".join(["token=[SECRET]"] * 16000)
+
+
+def test_places_beyond_the_bound_are_not_broadcast(spark):
+    docs = documents(spark, [(k, f'password = "x{k}y{k}z{k}w{k}"') for k in range(20)])
+    words = secrets.store(spark.createDataFrame([("word",)], "entry string"), "words")
+    out = secrets.redact_secrets(docs, words, None, broadcast_bytes=0)
+    assert "BroadcastHashJoin" not in plan_of(out)
+    assert all(secrets.MASK in r["text"] for r in out.collect())
