@@ -9,7 +9,8 @@ word for triples, and so on. Tasks count what they read, Spark adds up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ _SALTS = 64
 _UNRANKED = 1 << 30
 _BREAKS = r"[.,;:!?\x0A-\x0D]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -72,6 +75,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     ],
                     ["lang", "word", "n"],
                 )
+            # The batch goes before the next one is read.
+            part = batch = None
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(_lang(docs).alias("lang"), whole_text(docs).alias("text"))
     return rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -87,72 +93,151 @@ def vocabulary(counts: DataFrame, least: int) -> DataFrame:
     return running_total(often, ["falling", "lang", "word"], "one", "id").select("id", "lang", "word", "n")
 
 
-def _tail_words(docs: DataFrame, tail: DataFrame) -> DataFrame:
-    """``lang``, ``text`` and ``own``: the ids of a text's words that are not broadcast, by a join."""
-    keyed = docs.select(_lang(docs).alias("lang"), whole_text(docs).alias("text"))
-    keyed = store(keyed.withColumn("row", F.monotonically_increasing_id()), "texts")
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.array_distinct(F.split(F.translate("text", upper, upper.lower()), r"[ \x09.,;:!?\x0A-\x0D]+"))
-    met = keyed.select("row", "lang", F.explode(words).alias("word")).join(tail, ["lang", "word"])
-    own = met.groupBy("row").agg(F.collect_list(F.struct("word", "id")).alias("own"))
-    return keyed.join(own, "row", "left").select("lang", "text", "own")
+def _hashed_words(lang: str, words: pa.Array) -> np.ndarray:
+    """A number for each word of a lang, which must not be null. Different words may share one; a join tells."""
+    words = words.cast(pa.string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
+    letters = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends = ends - ends[0]
+    with np.errstate(over="ignore"):
+        # Sums of bytes by the powers of an odd number; those of its inverse take a word's place out again.
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(letters * _powers(_BASE, len(letters)))))
+        hashed = (sums[ends[1:]] - sums[ends[:-1]]) * _powers(_INVERSE, len(letters) + 1)[ends[:-1]]
+    return _mixed(hashed, np.array([zlib.crc32(lang.encode("utf-8", "surrogatepass"))]))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """1, ``base``, its square ..., ``n`` of them, modulo 2 ** 64."""
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors)
+
+
+def _tail_filter(tail: DataFrame, n: int, filter_bits: int) -> Filter:
+    """Hashed bits of the ``n`` words that are not broadcast, never without one that is there."""
+
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        langs = pc.dictionary_encode(batch.column("lang"))
+        lang, out = langs.indices.to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, np.uint64)
+        for k, name in enumerate(langs.dictionary.to_pylist()):
+            mine = lang == k
+            out[mine] = _hashed_words(name, batch.column("word").filter(pa.array(mine)))
+        return out
 
+    return Filter.of(tail.select("lang", "word"), hashed, n, filter_bits)
 
-def encode(docs: DataFrame, vocab: DataFrame, head: DataFrame, has_tail: bool) -> DataFrame:
-    """``ids``: word ids of many texts in a row as 32-bit numbers, -1 between pieces and for other words."""
+
+def encode(docs: DataFrame, head: DataFrame, tail: DataFrame | None, filter_bits: int) -> DataFrame:
+    """``ids``: word ids of many texts in a row as 32-bit numbers, -1 between pieces and for other words.
+
+    Words of ``head`` are broadcast. Those that may be in ``tail``, by a filter,
+    stand as -2 and less, for the places in their blob's list of such words, until
+    a join has found their ids: neither texts nor other words are shuffled.
+    """
     table = head.select("lang", "word", "id").orderBy("id").toArrow()
     langs = pc.unique(table["lang"]).to_pylist()
     by_lang = {k: table.filter(pc.equal(table["lang"], k)).combine_chunks() for k in langs}
-    near = docs.sparkSession.sparkContext.broadcast(
-        {k: (pa.array(t["word"].to_pylist(), pa.string()), t["id"].to_numpy()) for k, t in by_lang.items()}
-    )
-
-    def ids_of(part: pa.RecordBatch) -> np.ndarray:
+    known_words = {k: (pa.array(t["word"].to_pylist(), pa.string()), t["id"].to_numpy()) for k, t in by_lang.items()}
+    n_tail = 0 if tail is None else tail.count()
+    held = _tail_filter(tail, n_tail, filter_bits) if n_tail else None
+    near = docs.sparkSession.sparkContext.broadcast((known_words, held))
+
+    def ids_of(part: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray]:
+        """Ids of the part's words, and the words that may be in the tail: -2 - k is the k-th of them."""
+        head_words, tail_filter = near.value
         codes, words, lengths = _tokens(part.column("text"))
         rows = np.repeat(np.arange(len(lengths)), lengths)
         langs = pc.dictionary_encode(part.column("lang"))
         lang = langs.indices.to_numpy(zero_copy_only=False)[rows]
         ids = np.full(len(codes), -1, np.int32)
+        own_langs, own_words, n_own = [pa.array([], pa.string())], [pa.array([], pa.string())], 0
         for k, name in enumerate(langs.dictionary.to_pylist()):
-            if name in near.value:
-                known, numbers = near.value[name]
+            mine = np.flatnonzero((lang == k) & (codes >= 0))
+            number = np.full(len(words), -1, np.int32)
+            if name in head_words:
+                known, numbers = head_words[name]
                 at = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False)
-                mine = (lang == k) & (codes >= 0)
-                place = at[codes[mine]]
-                ids[mine] = np.where(place >= 0, numbers[place], -1)
-        if "own" in part.schema.names:
-            for row, own in enumerate(part.column("own").to_pylist()):
-                if own:
-                    mine = np.flatnonzero((rows == row) & (codes >= 0))
-                    numbers = np.full(len(words), -1, np.int64)
-                    at = pc.index_in(pa.array([o["word"] for o in own], words.type), words).to_numpy()
-                    numbers[at] = [o["id"] for o in own]
-                    found = numbers[codes[mine]]
-                    ids[mine] = np.where(found >= 0, found, ids[mine])
-        # A gap before each text; gaps in a row say no more than one.
+                number = np.where(at >= 0, numbers[at], -1).astype(np.int32)
+            if tail_filter is not None:
+                there = np.zeros(len(words), bool)
+                there[codes[mine]] = True
+                other = np.flatnonzero(there & (number < 0))
+                other = other[tail_filter.may_hold(_hashed_words(name, words.take(pa.array(other))))]
+                number[other] = -2 - n_own - np.arange(len(other))
+                own_langs.append(pa.array([name] * len(other), pa.string()))
+                own_words.append(words.take(pa.array(other)).cast(pa.string()))
+                n_own += len(other)
+            ids[mine] = number[codes[mine]]
+        # A gap before each text.
         spaced = np.full(len(ids) + len(lengths), -1, np.int32)
         spaced[np.arange(len(ids)) + rows + 1] = ids
-        gap = spaced < 0
-        return spaced[~(gap & np.concatenate(([False], gap[:-1])))]
+        own = pa.StructArray.from_arrays([pa.concat_arrays(own_langs), pa.concat_arrays(own_words)], ["lang", "word"])
+        return _one_gap(spaced), own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, _SLICE_BYTES):
-                ids = ids_of(part)
-                blobs = [b.astype("<i4").tobytes() for b in np.split(ids, _cuts(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["ids"])
+                ids, own = ids_of(part)
+                blobs, lists = [], []
+                for blob in np.split(ids, _cuts(ids)):
+                    waits = blob < -1
+                    places, numbers = np.unique(-2 - blob[waits], return_inverse=True)
+                    blob[waits] = -2 - numbers
+                    blobs.append(blob.astype("<i4").tobytes())
+                    lists.append(places)
+                columns = [pa.array(blobs, pa.binary())]
+                if n_tail:
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), own.take(pa.array(np.concatenate(lists)))))
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "own"][: len(columns)])
+            part = batch = None
         pa.default_memory_pool().release_unused()
 
-    if has_tail:
-        rows = _tail_words(docs, vocab.join(head.select("id"), "id", "left_anti").select("lang", "word", "id"))
-    else:
-        rows = docs.select(_lang(docs).alias("lang"), whole_text(docs).alias("text"))
-    return rows.mapInArrow(run, "ids binary")
+    rows = docs.select(_lang(docs).alias("lang"), whole_text(docs).alias("text"))
+    if not n_tail:
+        return rows.mapInArrow(run, "ids binary")
+    blobs = rows.mapInArrow(run, "ids binary, own array<struct<lang:string,word:string>>")
+    blobs = store(blobs.withColumn("blob", F.monotonically_increasing_id()), "blobs")
+    wanted = blobs.select("blob", F.posexplode("own").alias("k", "w")).select("blob", "k", "w.lang", "w.word")
+    rare = broadcast_if_small(tail.select("lang", "word", "id"), 256, rows=n_tail)
+    # Place and id in one number.
+    found = wanted.join(rare, ["lang", "word"]).select(
+        "blob", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("id").cast("long")).alias("found")
+    )
+    found = found.groupBy("blob").agg(F.collect_list("found").alias("found")).hint("merge")
+    return blobs.select("blob", "ids").join(found, "blob", "left").select("ids", "found").mapInArrow(_put, "ids binary")
+
+
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs with the ids of their list's words in place; words without one are gaps."""
+    for batch in batches:
+        for blob, found in zip(batch.column("ids"), batch.column("found"), strict=True):
+            # Copied: the buffer is not to be written to.
+            ids = np.frombuffer(blob.as_buffer(), "<i4").copy()
+            waits = ids < -1
+            if waits.any():
+                at = -2 - ids[waits]
+                numbers = np.full(int(at.max()) + 1, -1, np.int32)
+                if found.is_valid:
+                    pairs = found.values.to_numpy()
+                    numbers[pairs >> 32] = pairs & 0xFFFFFFFF
+                ids[waits] = numbers[at]
+            yield pa.RecordBatch.from_arrays([pa.array([_one_gap(ids).tobytes()], pa.binary())], ["ids"])
+    pa.default_memory_pool().release_unused()
+
+
+def _one_gap(ids: np.ndarray) -> np.ndarray:
+    """``ids`` with one gap for several in a row, which say no more."""
+    gap = ids == -1
+    return ids[~(gap & np.concatenate(([False], gap[:-1])))]
 
 
 def _cuts(ids: np.ndarray) -> list[int]:
     """Where to cut ``ids`` into parts of at least ``_BLOB`` words: at gaps, so that no phrase is cut."""
-    gaps, out, at = np.flatnonzero(ids < 0), [], 0
+    gaps, out, at = np.flatnonzero(ids == -1), [], 0
     while (k := int(np.searchsorted(gaps, at + _BLOB))) < len(gaps):
         at = int(gaps[k])
         out.append(at)
@@ -171,6 +256,34 @@ def _slot(hashed: np.ndarray, bits: int) -> np.ndarray:
         return ((hashed * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+class Filter:
+    """Hashed bits of some rows, never without one that is there."""
+
+    def __init__(self, bits: int, held: np.ndarray):
+        self.bits, self.held = bits, held
+
+    @classmethod
+    def of(cls, rows: DataFrame, hashed: Callable[[pa.RecordBatch], np.ndarray], n: int, most_bits: int) -> Filter:
+        """The filter of ``n`` rows, of which ``hashed`` gives a batch's hashes; 2 ** ``most_bits`` bits at most."""
+        bits = int(min(most_bits, max(15, (16 * n).bit_length())))
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = np.unique(_slot(hashed(batch), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array(slot & 0x7FFF)], ["bucket", "bit"])
+
+        marks = rows.mapInArrow(mark, "bucket long, bit long")
+        maps = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+        held = np.zeros(1 << (bits - 3), np.uint8)
+        for bucket, part in zip(maps["bucket"].to_pylist(), maps["bits"].to_pylist(), strict=True):
+            held[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(part, np.uint8)
+        return cls(bits, held)
+
+    def may_hold(self, hashed: np.ndarray) -> np.ndarray:
+        slot = _slot(hashed, self.bits)
+        return (self.held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 class Often:
     """What tasks know of the frequent phrases of some length, bounded at every size.
 
@@ -178,12 +291,8 @@ class Often:
     ``codes``: those with a rank, as (rank of the beginning, last word), and their ranks.
     """
 
-    def __init__(self, bits: int, filter: np.ndarray, codes: np.ndarray, ranks: np.ndarray):
-        self.bits, self.filter, self.codes, self.ranks = bits, filter, codes, ranks
-
-    def may_hold(self, hashed: np.ndarray) -> np.ndarray:
-        slot = _slot(hashed, self.bits)
-        return (self.filter[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    def __init__(self, filter: Filter, codes: np.ndarray, ranks: np.ndarray):
+        self.filter, self.codes, self.ranks = filter, codes, ranks
 
     def rank(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Ranks of phrases, -1 without one."""
@@ -207,24 +316,17 @@ def often(grams: DataFrame, words: int, below: list[Often], ranked: int, filter_
         if total + row["count"] > ranked:
             break
         total, least = total + row["count"], row["level"]
-    bits = int(min(filter_bits, max(15, (16 * sum(r["count"] for r in levels)).bit_length())))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(words)]
-            hashed = columns[0].astype(np.uint64)
-            for column in columns[1:]:
-                hashed = _mixed(hashed, column)
-            slot = np.unique(_slot(hashed, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array(slot & 0x7FFF)], ["bucket", "bit"])
-
-    marks = grams.select(*names).mapInArrow(mark, "bucket long, bit long")
-    maps = marks.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
-    filter = np.zeros(1 << (bits - 3), np.uint8)
-    for bucket, held in zip(maps["bucket"].to_pylist(), maps["bits"].to_pylist(), strict=True):
-        filter[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(held, np.uint8)
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(words)]
+        out = columns[0].astype(np.uint64)
+        for column in columns[1:]:
+            out = _mixed(out, column)
+        return out
+
+    filter = Filter.of(grams.select(*names), hashed, sum(r["count"] for r in levels), filter_bits)
     if least is None:
-        return Often(bits, filter, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Often(filter, np.zeros(0, np.int64), np.zeros(0, np.int64))
     top = grams.filter(level >= least).select(*names, "n").toArrow()
     columns = [top[name].to_numpy().astype(np.int64) for name in names]
     order = np.lexsort([*reversed(columns), -top["n"].to_numpy()])
@@ -234,7 +336,7 @@ def often(grams: DataFrame, words: int, below: list[Often], ranked: int, filter_
     known = first >= 0
     codes = (first[known] << 32) | columns[-1][order][known]
     by_code = np.argsort(codes)
-    return Often(bits, filter, codes[by_code], np.flatnonzero(known)[by_code])
+    return Often(filter, codes[by_code], np.flatnonzero(known)[by_code])
 
 
 def count_pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,7 +382,7 @@ def count_phrases(ids: np.ndarray, words: int, known: list[Often]) -> list[np.nd
             hashed = ids[at + shift].astype(np.uint64)
             for k in range(1, words - 1):
                 hashed = _mixed(hashed, ids[at + shift + k])
-            at = at[known[words - 3].may_hold(hashed)]
+            at = at[known[words - 3].filter.may_hold(hashed)]
     first = ids[at].astype(np.int64)
     for k in range(1, words - 1):
         first = known[k - 1].rank(first, ids[at + k].astype(np.int64))
@@ -400,7 +502,7 @@ def collocations(
     near = store(vocab.filter((F.col("id") < head) & (F.octet_length("word") <= HEAD_BYTES)), "head")
     tail = vocab.join(F.broadcast(near.select("id")), "id", "left_anti")
     tail = None if tail.isEmpty() else store(tail, "tail")
-    blobs = store(encode(docs, vocab, near, tail is not None), "ids")
+    blobs = store(encode(docs, near, tail, filter_bits), "ids")
     context = docs.sparkSession.sparkContext
     known, tables = [], [vocab.select(F.array("id").alias("gram"), F.col("n").alias("f"))]
     for words in range(2, LONGEST + 1):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from lettermill.llm import phrases, queries
-from lettermill.llm.common import text_slices
+from lettermill.llm.common import store, text_slices
 from tests.llm.helpers import DOCS, LONG, ODD, documents, rows_of
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -122,6 +123,42 @@ def test_counting_holds_little_at_a_time():
     assert (found == expected).all() and most < 40 << 20
 
 
+def test_words_hash_alike_wherever_they_stand():
+    words = [f"wörd{k % 300}" for k in range(900)] + ["", "a", "b", "ab", "ba"]
+    array = pa.array(words)
+    hashed = phrases._hashed_words("en", array)
+    by_word = dict(zip(words, hashed.tolist(), strict=True))
+    assert len(set(by_word.values())) == len(by_word) and hashed.tolist() == [by_word[w] for w in words]
+    assert phrases._hashed_words("en", array[450:460]).tolist() == hashed[450:460].tolist()
+    assert not set(phrases._hashed_words("de", array).tolist()) & set(hashed.tolist())
+    assert len(phrases._hashed_words("en", array[:0])) == 0
+
+
+def test_places_take_the_ids_that_were_found():
+    """A word that the join did not find, or a blob of which none was, leaves gaps."""
+    blobs = [np.array(ids, "<i4").tobytes() for ids in ([-1, 5, -2, -3, -4, 7, -2], [-1, -2, -1, 3], [-1, 4, -1])]
+    found = pa.array([[(0 << 32) | 900, (2 << 32) | 901], None, []], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), found], ["ids", "found"])
+    out = [np.frombuffer(b, "<i4").tolist() for part in phrases._put(iter([batch])) for b in part.column("ids").to_pylist()]
+    assert out == [[-1, 5, 900, -1, 901, 7, 900], [-1, 3], [-1, 4, -1]]
+
+
+def test_rare_words_take_time_with_the_texts(spark):
+    """Many short texts of words that are not broadcast, all of them in one part."""
+    rows = [("en", f"w{k % 9000} x{k % 7000} y{k % 8000}.") for k in range(40_000)]
+    docs = store(frame(spark, rows).coalesce(1), "docs")
+    counts = store(phrases.word_counts(docs), "words")
+    vocab = store(phrases.vocabulary(counts, 1), "vocabulary")
+    began = time.time()
+    blobs = phrases.encode(docs, vocab.filter("id < 5"), vocab.filter("id >= 5"), 28).collect()
+    took = time.time() - began
+    word = {r["id"]: r["word"] for r in vocab.collect()}
+    ids = [np.frombuffer(b["ids"], "<i4").tolist() for b in blobs]
+    said = re.split(r"(?: \.)+ ", " ".join(word.get(i, ".") for blob in ids for i in blob).strip(" ."))
+    assert Counter(said) == Counter(t.strip(".") for _, t in rows)
+    assert took < 15
+
+
 def test_batches_are_read_whole_in_parts():
     """Parts of a batch start inside its buffers."""
     texts_ = [f"Wörd{k} of a, text {k}" for k in range(50)]
