@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from lettermill import schemas
 from lettermill.operators.display import application_rows, rejection_rows
-from lettermill.sinks.commits import committed, committed_counts, read_commits
+from lettermill.sinks.commits import commit, committed, committed_counts, new_attempt, read_commits
 
 FIRST_RUN = "single"
 FIRST_ATTEMPT = "first"
@@ -48,14 +48,17 @@ def json_records(enriched: DataFrame, event_type: str, processed_at: Column) ->
 
 def write_json_lines(
     records: DataFrame, out_dir: str, event_type: str, batch_id: int, run_id: str = FIRST_RUN,
-    attempt: str = FIRST_ATTEMPT,
+    attempt: str | None = None,
 ) -> None:
-    """Null fields are kept, as every line has all keys."""
-    (
-        records.write.mode("overwrite")
-        .option("ignoreNullFields", "false")
-        .json(batch_path(out_dir, FOLDERS[event_type], "jsonl", batch_id, run_id, attempt))
-    )
+    """Null fields are kept, as every line has all keys.
+
+    Without an ``attempt`` the lines are all of the batch: it is committed here.
+    """
+    spark, own = records.sparkSession, attempt or new_attempt()
+    path = batch_path(out_dir, FOLDERS[event_type], "jsonl", batch_id, run_id, own)
+    records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    if attempt is None:
+        commit(spark, out_dir, event_type, run_id, batch_id, own, spark.read.text(path).count(), 0)
 
 
 def write_csv(
